@@ -143,14 +143,14 @@ for _key, _column, _method, _sql, _value in [
         "fill_mean",
         "amount",
         "mean",
-        "coalesce(amount, (SELECT round(avg(amount), 2) FROM d))",
+        "coalesce(amount, (SELECT pyround(avg(amount), 2) FROM d))",
         None,
     ),
     (
         "fill_median",
         "amount",
         "median",
-        "coalesce(amount, (SELECT round(median(amount), 2) FROM d))",
+        "coalesce(amount, (SELECT pyround(median(amount), 2) FROM d))",
         None,
     ),
     ("fill_mode", "event_type", "mode", f"coalesce(event_type, {_MODE})", None),
@@ -216,7 +216,7 @@ PLAN = CleaningPlan(
 _CLEANED = f"""{DIRTY}, t AS (SELECT DISTINCT event_id, ts, user_id, event_type, amount, sparse_value,
       {_SQUEEZE.format(c='label_text')} AS label_text, flag_text, int_text, money_text, date_text,
       whole_float, constant_text FROM d),
-    f AS (SELECT * REPLACE (coalesce(amount, (SELECT round(median(amount), 2) FROM t)) AS amount,
+    f AS (SELECT * REPLACE (coalesce(amount, (SELECT pyround(median(amount), 2) FROM t)) AS amount,
       coalesce(event_type, (SELECT event_type FROM t WHERE event_type IS NOT NULL
         GROUP BY event_type ORDER BY count(*) DESC, event_type LIMIT 1)) AS event_type) FROM t),
     cleaned AS (SELECT event_id, user_id, event_type,

@@ -253,11 +253,11 @@ for _key, _sql, _question, _source in [
     ),
     (
         "ask_summary",
-        """SELECT 'o_totalprice' AS "column", round(avg(o_totalprice), 2) AS mean,
-        round(median(o_totalprice), 2) AS median, round(min(o_totalprice), 2) AS min,
-        round(max(o_totalprice), 2) AS max, CAST(0 AS BIGINT) AS null_count FROM orders""",
-        "Describe o_totalprice",
-        "orders",
+        """SELECT 'p_retailprice' AS "column", round(avg(p_retailprice), 2) AS mean,
+        round(median(p_retailprice), 2) AS median, round(min(p_retailprice), 2) AS min,
+        round(max(p_retailprice), 2) AS max, CAST(0 AS BIGINT) AS null_count FROM part""",
+        "Describe p_retailprice",
+        "part",
     ),
 ]:
     _ask_query(_key, _sql, _question, _source)

@@ -51,7 +51,7 @@ _FILLED = " + ".join(f"count({c})" for c in DIRTY_COLUMNS)
 @query(
     DIRTY
     + f"""SELECT CAST(13 * count(*) - ({_FILLED}) AS BIGINT) AS total_missing_cells,
-    round((13 * count(*) - ({_FILLED})) * 100.0 / (13 * count(*)), 2) AS missing_cells_percentage
+    round((13 * count(*) - ({_FILLED})) / (13 * count(*)) * 100, 2) AS missing_cells_percentage
     FROM d"""
 )
 def missing_total(spark, sf):
@@ -59,7 +59,7 @@ def missing_total(spark, sf):
     cells = F.sum(F.col("null_count") + F.col("non_null_count"))
     return found.agg(
         F.sum("null_count").alias("total_missing_cells"),
-        F.round(F.sum("null_count") * 100.0 / cells, 2).cast("double").alias("missing_cells_percentage"),
+        F.round(F.sum("null_count") / cells * 100, 2).cast("double").alias("missing_cells_percentage"),
     )
 
 
@@ -67,7 +67,7 @@ _MISSING = union(
     DIRTY_COLUMNS,
     """SELECT CAST({i} AS BIGINT) AS column_index, '{c}' AS "column", count({c}) AS non_null_count,
     count(*) - count({c}) AS null_count,
-    round((count(*) - count({c})) * 100.0 / count(*), 2) AS null_percentage FROM d""",
+    round((count(*) - count({c})) / count(*) * 100, 2) AS null_percentage FROM d""",
 )
 
 
@@ -88,7 +88,7 @@ _COPIES = f"""SELECT CAST(sum(n - 1) AS BIGINT) FROM
 @query(
     DIRTY
     + f"""SELECT ({_COPIES}) AS duplicate_rows_count,
-    round(({_COPIES}) * 100.0 / count(*), 2) AS duplicate_rows_percentage FROM d"""
+    round(({_COPIES}) / count(*) * 100, 2) AS duplicate_rows_percentage FROM d"""
 )
 def duplicate_rows(spark, sf):
     return answers.duplicate_rows(dirty(spark, sf))
@@ -130,9 +130,9 @@ def sample_values(spark, sf):
     DIRTY
     + union(
         DIRTY_NUMBERS,
-        """SELECT '{c}' AS "column", round(CAST(min({c}) AS DOUBLE), 2) AS min_value,
-        round(CAST(max({c}) AS DOUBLE), 2) AS max_value, round(avg({c}), 2) AS mean_value,
-        round(stddev_samp({c}), 2) AS std_value FROM d""",
+        """SELECT '{c}' AS "column", pyround(CAST(min({c}) AS DOUBLE), 2) AS min_value,
+        pyround(CAST(max({c}) AS DOUBLE), 2) AS max_value, pyround(avg({c}), 2) AS mean_value,
+        pyround(stddev_samp({c}), 2) AS std_value FROM d""",
     )
 )
 def numeric_stats(spark, sf):
@@ -162,8 +162,8 @@ def iqr_fences(spark, sf):
 
 
 _OUTLIERS = f"""SELECT "column", outside AS outlier_count,
-    round(outside * 100.0 / filled, 2) AS outlier_percentage, round(lb, 2) AS lower_bound,
-    round(ub, 2) AS upper_bound, '{V.FENCE_METHOD}' AS method
+    pyround(outside / filled * 100, 2) AS outlier_percentage, pyround(lb, 2) AS lower_bound,
+    pyround(ub, 2) AS upper_bound, '{V.FENCE_METHOD}' AS method
     FROM ({_fence_sql(DIRTY_NUMBERS, 'd')}) WHERE q3 > q1 AND outside > 0"""
 
 
@@ -174,8 +174,8 @@ def outliers(spark, sf):
 
 @query(
     f"""SELECT "column", outside AS outlier_count,
-    round(outside * 100.0 / filled, 2) AS outlier_percentage, round(lb, 2) AS lower_bound,
-    round(ub, 2) AS upper_bound, '{V.FENCE_METHOD}' AS method
+    pyround(outside / filled * 100, 2) AS outlier_percentage, pyround(lb, 2) AS lower_bound,
+    pyround(ub, 2) AS upper_bound, '{V.FENCE_METHOD}' AS method
     FROM ({_fence_sql(PRICES, 'lineitem')}) WHERE q3 > q1 AND outside > 0"""
 )
 def outliers_lineitem(spark, sf):
@@ -220,10 +220,10 @@ _ISSUES = f"""
 ) + " UNION ALL " + " UNION ALL ".join(
     f"""SELECT '{c}', '{V.ISSUE_MISSING}',
       concat('Column ''{c}'' is missing ',
-        CAST(round((count(*) - count({c})) * 100.0 / count(*), 2) AS DOUBLE),
+        CAST(pyround((count(*) - count({c})) / count(*) * 100, 2) AS DOUBLE),
         '% of entries (', count(*) - count({c}), '/', count(*), ').'),
       count(*) - count({c}), 'high' FROM d
-      HAVING round((count(*) - count({c})) * 100.0 / count(*), 2) >= 50"""
+      HAVING pyround((count(*) - count({c})) / count(*) * 100, 2) >= 50"""
     for c in DIRTY_COLUMNS
 )
 
@@ -257,19 +257,19 @@ def whitespace_totals(spark, sf):
 
 _SCORES = f"""
   parts AS (SELECT
-    greatest(0, round(100 - 2.5 * round((13 * count(*) - ({_FILLED})) * 100.0 / (13 * count(*)), 2), 1))
+    greatest(0, pyround(100 - 2.5 * pyround((13 * count(*) - ({_FILLED})) / (13 * count(*)) * 100, 2), 1))
       AS completeness_score,
-    greatest(0, round(100 - 4 * round(({_COPIES}) * 100.0 / count(*), 2), 1)) AS uniqueness_score,
-    greatest(0, round(100 - 8 * (SELECT count(*) FROM ({_ISSUES})), 1)) AS consistency_score,
-    greatest(0, round(100 - 3 * round((SELECT sum(outlier_count) FROM ({_OUTLIERS})) * 100.0
-      / (count(*) * {len(DIRTY_NUMBERS)}), 2), 1)) AS validity_score
+    greatest(0, pyround(100 - 4 * pyround(({_COPIES}) / count(*) * 100, 2), 1)) AS uniqueness_score,
+    greatest(0, pyround(100 - 8 * (SELECT count(*) FROM ({_ISSUES})), 1)) AS consistency_score,
+    greatest(0, pyround(100 - 3 * pyround((SELECT sum(outlier_count) FROM ({_OUTLIERS})) 
+      / (count(*) * {len(DIRTY_NUMBERS)}) * 100, 2), 1)) AS validity_score
     FROM d)"""
 
 
 @query(
     DIRTY
     + f""", {_SCORES}
-    SELECT CAST(round(0.35 * completeness_score + 0.25 * uniqueness_score
+    SELECT CAST(pyround(0.35 * completeness_score + 0.25 * uniqueness_score
         + 0.2 * consistency_score + 0.2 * validity_score, 1) AS DOUBLE) AS overall_quality_score,
       CAST(completeness_score AS DOUBLE) AS completeness_score,
       CAST(uniqueness_score AS DOUBLE) AS uniqueness_score,
@@ -286,7 +286,7 @@ def quality_scores(spark, sf):
         DIRTY_COLUMNS,
         """SELECT CAST({i} AS BIGINT) AS column_index, '{c}' AS "column",
         count({c}) AS non_null_count, count(*) - count({c}) AS null_count,
-        round((count(*) - count({c})) * 100.0 / count(*), 2) AS null_percentage,
+        pyround((count(*) - count({c})) / count(*) * 100, 2) AS null_percentage,
         count(DISTINCT {c}) AS unique_count FROM d""",
     )
 )
@@ -310,7 +310,7 @@ def _r(a, b, source="lineitem"):
 
 _MATRIX = " UNION ALL ".join(
     f"""SELECT '{a}' AS column_a, '{b}' AS column_b, {i} AS i, {j} AS j,
-    round({_r(a, b)}, 3) AS r"""
+    pyround({_r(a, b)}, 3) AS r"""
     for i, a in enumerate(LINE_NUMBERS)
     for j, b in enumerate(LINE_NUMBERS)
 )
@@ -325,7 +325,7 @@ def correlation_matrix(spark, sf):
 @query(
     DIRTY
     + " UNION ALL ".join(
-        f"SELECT '{a}' AS column_a, '{b}' AS column_b, round({_r(a, b, 'd')}, 3) AS r"
+        f"SELECT '{a}' AS column_a, '{b}' AS column_b, pyround({_r(a, b, 'd')}, 3) AS r"
         for a in DIRTY_NUMBERS
         for b in DIRTY_NUMBERS
     )
@@ -344,7 +344,7 @@ _CV = union(
 
 
 @query(
-    f"""SELECT "column", round(variance, 2) AS variance, round(cv, 2) AS coefficient_of_variation
+    f"""SELECT "column", pyround(variance, 2) AS variance, pyround(cv, 2) AS coefficient_of_variation
     FROM ({_CV})"""
 )
 def variance_cv(spark, sf):
@@ -364,10 +364,10 @@ def top_partner(spark, sf):
 
 
 @query(
-    f"""SELECT c."column", round(variance, 2) AS variance, round(cv, 2) AS coefficient_of_variation,
+    f"""SELECT c."column", pyround(variance, 2) AS variance, pyround(cv, 2) AS coefficient_of_variation,
     partner_column, CASE WHEN partner_column IS NOT NULL THEN correlation_coefficient END
       AS correlation_coefficient,
-    round(least(100, cv * 20 + abs(correlation_coefficient) * 40), 1) AS importance_score
+    pyround(least(100, cv * 20 + abs(correlation_coefficient) * 40), 1) AS importance_score
     FROM ({_CV}) c JOIN ({_PARTNER}) p ON c."column" = p."column"
     ORDER BY importance_score DESC, i LIMIT 6"""
 )
@@ -376,7 +376,7 @@ def important_variables(spark, sf):
 
 
 @query(
-    f"""SELECT variable, '{V.SKEW_PATTERN}' AS pattern_type, round(s, 2) AS metric_value,
+    f"""SELECT variable, '{V.SKEW_PATTERN}' AS pattern_type, pyround(s, 2) AS metric_value,
     CASE WHEN s > 1 THEN '{V.SKEW_RIGHT}' WHEN s < -1 THEN '{V.SKEW_LEFT}'
       ELSE '{V.SKEW_NONE}' END AS interpretation FROM ("""
     + union(
@@ -463,8 +463,8 @@ def _type_sql(c: str) -> str:
 
 
 _TYPES = f"""SELECT "column", 'text/string' AS current_type, kind AS suggested_type,
-      CASE kind WHEN 'boolean' THEN 0.95 WHEN 'integer' THEN round(i, 2) WHEN 'decimal' THEN round(f, 2)
-        ELSE round(t, 2) END AS confidence,
+      CASE kind WHEN 'boolean' THEN 0.95 WHEN 'integer' THEN pyround(i, 2) WHEN 'decimal' THEN pyround(f, 2)
+        ELSE pyround(t, 2) END AS confidence,
       CASE kind WHEN 'boolean' THEN concat('Column values are exclusively boolean indicators (', three, ').')
         WHEN 'integer' THEN concat(CAST(round(i * 100) AS BIGINT), '{V.REASON_INTEGER[2:]}')
         WHEN 'decimal' THEN concat(CAST(round(f * 100) AS BIGINT), '{V.REASON_DECIMAL[2:]}')

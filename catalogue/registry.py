@@ -14,12 +14,32 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
+def expand(sql: str) -> str:
+    """Replace ``pyround(x, d)`` by SQL for the correctly rounded decimal.
+
+    Profile values are rounded as Python's ``round`` does it, which differs
+    from SQL's half-up on ties.
+    """
+    name = "pyround("
+    while (start := sql.rfind(name)) >= 0:
+        depth, end, comma = 1, start + len(name), None
+        while depth:
+            ch = sql[end]
+            depth += (ch == "(") - (ch == ")")
+            comma = end if ch == "," and depth == 1 else comma
+            end += 1
+        value, digits = sql[start + len(name) : comma], sql[comma + 1 : end - 1].strip()
+        text = f"CAST(format('{{:.{digits}f}}', CAST({value} AS DOUBLE)) AS DOUBLE)"
+        sql = sql[:start] + text + sql[end:]
+    return sql
+
+
 def query(sql: str | None = None, name: str | None = None):
     def register(fn):
         key = name or fn.__name__
         QUERIES[key] = fn
         if sql is not None:
-            ORACLES[key] = sql
+            ORACLES[key] = expand(sql)
         return fn
 
     return register

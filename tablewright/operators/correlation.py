@@ -168,15 +168,13 @@ def matrix(
     df: DataFrame, columns: list[str], digits: int = 3, facts: dict[str, dict] | None = None
 ) -> DataFrame:
     """Full symmetric matrix as rows, rounded."""
-    half = pairs(df, columns, facts)
-    mirrored = half.where("index_a < index_b").select(
-        F.col("index_b").alias("index_a"),
-        F.col("index_a").alias("index_b"),
-        F.col("column_b").alias("column_a"),
-        F.col("column_a").alias("column_b"),
-        "r",
-    )
-    return half.unionByName(mirrored).withColumn("r", F.round("r", digits))
+    place = {c: i for i, c in enumerate(columns)}
+    rows = []
+    for (a, b), r in coefficients(df, columns, facts).items():
+        rows.append((place[a], place[b], a, b, round(r, digits)))
+        if a != b:
+            rows.append((place[b], place[a], b, a, round(r, digits)))
+    return small_frame(df.sparkSession, rows, PAIR_SCHEMA)
 
 
 def ranked_pairs(df: DataFrame, columns: list[str], top: int = 5) -> DataFrame:

@@ -7,7 +7,8 @@ removes rows; only there a new batch starts.
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -48,12 +49,20 @@ class CleaningPlan:
     custom_notes: str | None = None
 
 
-@dataclass
 class CleanResult:
-    df: DataFrame
-    audit: DataFrame
-    metrics: dict[str, int]
-    before: DataFrame = field(repr=False, default=None)
+    """The cleaned table, its audit trail, and metrics computed when asked for."""
+
+    def __init__(self, df: DataFrame, audit: DataFrame, before: DataFrame):
+        self.df, self.audit, self.before = df, audit, before
+
+    @cached_property
+    def metrics(self) -> dict[str, int]:
+        before, after = table_counts(self.before), table_counts(self.df)
+        return {
+            f"{name}_{when}": counts[name]
+            for name in ("rows", "columns", "missing_cells", "duplicates")
+            for when, counts in (("before", before), ("after", after))
+        }
 
     def diff(self) -> DataFrame:
         return small_frame(self.df.sparkSession, [tuple(self.metrics.values())], METRIC_SCHEMA)
@@ -123,31 +132,24 @@ class _Run:
 
     def result(self) -> CleanResult:
         plan = self.plan
-        before = table_counts(self.raw)
         if plan.drop_note_columns:
             self.df = cleaning.drop_columns(self.df, cleaning.note_columns(self.df))
         if plan.trim_spaces:
             self.trim()
         if plan.remove_duplicates:
-            self.deduplicate(before)
+            self.deduplicate()
         for segment in segments(plan.decisions):
             self.decide(segment)
         dropped = [d.column for d in plan.decisions if d.action == "remove_column"]
         self.df = cleaning.drop_columns(self.df, dropped)
         if plan.drop_note_columns:
             self.df = cleaning.drop_columns(self.df, cleaning.note_like_columns(self.df))
-        after = table_counts(self.df)
-        metrics = {
-            f"{name}_{when}": counts[name]
-            for name in ("rows", "columns", "missing_cells", "duplicates")
-            for when, counts in (("before", before), ("after", after))
-        }
         audit = small_frame(
             self.raw.sparkSession,
             [(*r[:5], list(r[5].items()), list(r[6].items())) for r in self.audit],
             AUDIT_SCHEMA,
         )
-        return CleanResult(self.df, audit, metrics, self.raw)
+        return CleanResult(self.df, audit, self.raw)
 
     def trim(self):
         renamed = [c for c in self.df.columns if cleaning.squeeze_name(c) != c]
@@ -163,10 +165,11 @@ class _Run:
             {"text_columns_sanitized": len(texts)},
         )
 
-    def deduplicate(self, before):
+    def deduplicate(self):
         copies = frequencies.duplicate_count(self.df)
         if not copies:
             return
+        rows = self.df.count()
         self.df = frequencies.drop_duplicates(self.df)
         if self.plan.decisions:
             # Later statistics would repeat the shuffle.
@@ -176,8 +179,8 @@ class _Run:
             "ALL_COLUMNS",
             f"Removed {copies} identical duplicate rows across all features.",
             "The plan asks for one copy of every row.",
-            {"duplicate_count": copies, "row_count": before["rows"]},
-            {"duplicate_count": 0, "row_count": before["rows"] - copies},
+            {"duplicate_count": copies, "row_count": rows},
+            {"duplicate_count": 0, "row_count": rows - copies},
         )
 
     def decide(self, segment: list[ColumnDecision]):

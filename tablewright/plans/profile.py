@@ -7,7 +7,6 @@ returned below is derived from those rows.
 from __future__ import annotations
 
 import json
-from decimal import ROUND_HALF_UP, Decimal
 from functools import cached_property
 
 from pyspark.sql import Column, DataFrame
@@ -30,21 +29,8 @@ from tablewright.operators import correlation, frequencies, quantiles
 
 COLUMNS_PER_SCAN = 100
 
-COLUMN_SCHEMA = """column_index int, column string, class string, data_type string,
-    non_null_count bigint, null_count bigint, null_percentage double,
-    min_value double, max_value double, mean_value double, std_value double,
-    variance double, negative_count bigint, whole_numbers boolean,
-    constant_value string, space_count bigint, name_has_space boolean"""
-
-
-def half_up(value: float, digits: int) -> float:
-    """Decimal rounding as Spark's ``round`` does it."""
-    step = Decimal(1).scaleb(-digits)
-    return float(Decimal(repr(float(value))).quantize(step, rounding=ROUND_HALF_UP))
-
-
 def percent(part: float, whole: float, digits: int = 2) -> float:
-    return half_up(part / whole * 100, digits) if whole else 0.0
+    return round(part / whole * 100, digits) if whole else 0.0
 
 
 def name_has_irregular_space(name: str) -> bool:
@@ -250,13 +236,13 @@ class TableProfile:
         outliers = percent(sum(self.outlier_counts.values()), self.rows * len(self.numeric))
         issues = len(self.inconsistency_rows())
         parts = {
-            "completeness": max(0.0, half_up(100.0 - missing * V.COMPLETENESS_PENALTY, 1)),
-            "uniqueness": max(0.0, half_up(100.0 - repeated * V.UNIQUENESS_PENALTY, 1)),
-            "consistency": max(0.0, half_up(100.0 - issues * V.CONSISTENCY_PENALTY, 1)),
-            "validity": max(0.0, half_up(100.0 - outliers * V.VALIDITY_PENALTY, 1)),
+            "completeness": max(0.0, round(100.0 - missing * V.COMPLETENESS_PENALTY, 1)),
+            "uniqueness": max(0.0, round(100.0 - repeated * V.UNIQUENESS_PENALTY, 1)),
+            "consistency": max(0.0, round(100.0 - issues * V.CONSISTENCY_PENALTY, 1)),
+            "validity": max(0.0, round(100.0 - outliers * V.VALIDITY_PENALTY, 1)),
         }
         total = sum(parts[k] * w for k, w in V.SCORE_WEIGHTS.items())
-        return {"overall": half_up(total, 1), **parts}
+        return {"overall": round(total, 1), **parts}
 
     def quality_scores(self) -> DataFrame:
         s = self.scores()
@@ -269,49 +255,47 @@ class TableProfile:
 
     # --- column level ------------------------------------------------------
 
-    def column_frame(self) -> DataFrame:
-        rows = [tuple(c.values()) for c in self.columns]
-        return small_frame(self.spark, rows, COLUMN_SCHEMA)
-
     def column_metrics(self) -> DataFrame:
         """The column summary: counts, distinct values and rounded statistics."""
-        uniques = small_frame(
-            self.spark,
-            list(self.unique_counts.items()),
-            "column string, unique_count bigint",
-        )
-        rounded = [
-            F.round(c, 2).alias(c) for c in ("min_value", "max_value", "mean_value", "std_value")
-        ]
-        return (
-            self.column_frame()
-            .join(uniques, "column", "left")
-            .select(
-                "column_index",
-                "column",
-                "data_type",
-                "non_null_count",
-                "null_count",
-                "null_percentage",
-                "unique_count",
-                F.expr("class = 'numeric'").alias("is_numeric"),
-                F.expr("class in ('categorical', 'boolean')").alias("is_categorical"),
-                F.expr("class = 'datetime'").alias("is_datetime"),
-                *rounded,
+        rows = []
+        for c in self.columns:
+            stats = [c[k] for k in ("min_value", "max_value", "mean_value", "std_value")]
+            rows.append(
+                (
+                    c["column_index"],
+                    c["column"],
+                    c["data_type"],
+                    c["non_null_count"],
+                    c["null_count"],
+                    c["null_percentage"],
+                    self.unique_counts[c["column"]],
+                    c["class"] == "numeric",
+                    c["class"] in ("categorical", "boolean"),
+                    c["class"] == "datetime",
+                    *[None if v is None else round(v, 2) for v in stats],
+                )
             )
+        return small_frame(
+            self.spark,
+            rows,
+            """column_index int, column string, data_type string, non_null_count bigint,
+            null_count bigint, null_percentage double, unique_count bigint, is_numeric boolean,
+            is_categorical boolean, is_datetime boolean, min_value double, max_value double,
+            mean_value double, std_value double""",
         )
 
     def numeric_stats(self) -> DataFrame:
-        return (
-            self.column_frame()
-            .where("class = 'numeric' and non_null_count > 0")
-            .select(
-                "column",
-                *[
-                    F.round(c, 2).alias(c)
-                    for c in ("min_value", "max_value", "mean_value", "std_value")
-                ],
+        rows = [
+            (
+                c["column"],
+                *[round(c[k], 2) for k in ("min_value", "max_value", "mean_value", "std_value")],
             )
+            for c in self.numeric
+        ]
+        return small_frame(
+            self.spark,
+            rows,
+            "column string, min_value double, max_value double, mean_value double, std_value double",
         )
 
     def fences(self) -> DataFrame:
@@ -329,8 +313,8 @@ class TableProfile:
                 c,
                 n,
                 percent(n, sizes[c]),
-                half_up(self.fence_values[c]["lower"], 2),
-                half_up(self.fence_values[c]["upper"], 2),
+                round(self.fence_values[c]["lower"], 2),
+                round(self.fence_values[c]["upper"], 2),
                 V.FENCE_METHOD,
             )
             for c, n in self.outlier_counts.items()
@@ -446,62 +430,57 @@ class TableProfile:
             )
         return correlation.matrix(self.df, names, facts=self.correlation_facts)
 
+    def _spreads(self) -> list[tuple[dict, float]]:
+        """Columns with more than one value and their coefficient of variation."""
+        return [
+            (c, abs(c["std_value"] / (c["mean_value"] or 1.0)))
+            for c in self.numeric
+            if c["non_null_count"] > 1
+        ]
+
     def variance_cv(self) -> DataFrame:
-        return (
-            self.column_frame()
-            .where("class = 'numeric' and non_null_count > 1")
-            .select(
-                "column",
-                F.round("variance", 2).alias("variance"),
-                F.round(F.abs(self._cv()), 2).alias("coefficient_of_variation"),
-            )
+        rows = [(c["column"], round(c["variance"], 2), round(cv, 2)) for c, cv in self._spreads()]
+        return small_frame(
+            self.spark, rows, "column string, variance double, coefficient_of_variation double"
         )
 
-    @staticmethod
-    def _cv() -> Column:
-        mean = F.col("mean_value")
-        return F.col("std_value") / F.when(mean != 0, mean).otherwise(F.lit(1.0))
-
-    def top_partner(self) -> DataFrame:
+    @cached_property
+    def partners(self) -> dict[str, tuple[str | None, float]]:
         """Strongest partner per column; earliest column on ties, none when every r is 0."""
-        rows = []
         names = [c["column"] for c in self.numeric]
+        found = {}
         for c in names:
             best, strength = None, 0.0
             for other in names:
                 if other == c:
                     continue
                 pair = (c, other) if (c, other) in self.correlations else (other, c)
-                r = half_up(self.correlations[pair], 3)
+                r = round(self.correlations[pair], 3)
                 if abs(r) > abs(strength):
                     best, strength = other, r
-            rows.append((c, best, strength))
+            found[c] = (best, strength)
+        return found
+
+    def top_partner(self) -> DataFrame:
         return small_frame(
             self.spark,
-            rows,
+            [(c, *p) for c, p in self.partners.items()],
             "column string, partner_column string, correlation_coefficient double",
         )
 
     def important_variables(self, n: int = 6) -> DataFrame:
-        score = F.abs(self._cv()) * 20.0 + F.abs("correlation_coefficient") * 40.0
-        return (
-            self.column_frame()
-            .where("class = 'numeric' and non_null_count > 1")
-            .join(self.top_partner(), "column", "left")
-            .select(
-                "column_index",
-                "column",
-                F.round("variance", 2).alias("variance"),
-                F.round(F.abs(self._cv()), 2).alias("coefficient_of_variation"),
-                "partner_column",
-                F.when(
-                    F.col("partner_column").isNotNull(), F.col("correlation_coefficient")
-                ).alias("correlation_coefficient"),
-                F.round(F.least(F.lit(100.0), score), 1).alias("importance_score"),
-            )
-            .orderBy(F.desc("importance_score"), "column_index")
-            .limit(n)
-            .drop("column_index")
+        rows = []
+        for c, cv in self._spreads():
+            partner, r = self.partners[c["column"]]
+            score = round(min(100.0, cv * 20.0 + abs(r) * 40.0), 1)
+            shown = r if partner else None
+            rows.append((c["column"], round(c["variance"], 2), round(cv, 2), partner, shown, score))
+        rows.sort(key=lambda row: -row[-1])
+        return small_frame(
+            self.spark,
+            rows[:n],
+            """column string, variance double, coefficient_of_variation double,
+            partner_column string, correlation_coefficient double, importance_score double""",
         )
 
     def skew_patterns(self) -> DataFrame:
@@ -512,7 +491,7 @@ class TableProfile:
                 label = V.SKEW_RIGHT
             elif skew < -1.0:
                 label = V.SKEW_LEFT
-            rows.append((column, V.SKEW_PATTERN, half_up(skew, 2), label))
+            rows.append((column, V.SKEW_PATTERN, round(skew, 2), label))
         return small_frame(
             self.spark,
             rows,
@@ -545,8 +524,8 @@ class TableProfile:
         doc["inconsistencies"] = rows(self.inconsistencies())
         matrix: dict[str, dict[str, float]] = {}
         for (a, b), r in self.correlations.items():
-            matrix.setdefault(a, {})[b] = half_up(r, 3)
-            matrix.setdefault(b, {})[a] = half_up(r, 3)
+            matrix.setdefault(a, {})[b] = round(r, 3)
+            matrix.setdefault(b, {})[a] = round(r, 3)
         doc["correlations"] = matrix
         doc["important_variables"] = rows(self.important_variables())
         doc["trends_and_patterns"] = rows(self.skew_patterns())
