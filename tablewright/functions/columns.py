@@ -86,7 +86,7 @@ def as_text(df: DataFrame, name: str) -> Column:
 
 def trimmed(c: Column) -> Column:
     """Strip Unicode whitespace from both ends."""
-    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    return F.btrim(c, F.lit(V.WHITESPACE))
 
 
 def squeezed(c: Column) -> Column:
@@ -130,8 +130,15 @@ def to_boolean(c: Column) -> Column:
     return F.when(word.isin(V.TRUE_WORDS), True).when(word.isin(V.FALSE_WORDS), False)
 
 
-def row_struct(df: DataFrame) -> Column:
-    return F.struct(*[ref(c) for c in df.columns])
+def unrolled(df: DataFrame, items: Column, position: str, value: str) -> DataFrame:
+    """One row per array element, with its position from 0.
+
+    The outer form with a null check: for the inner form the optimizer adds a
+    size filter below it, which computes ``items`` a second time.
+    """
+    others = [ref(c) for c in df.columns]
+    rows = df.select(*others, F.posexplode_outer(items).alias(position, value))
+    return rows.where(ref(position).isNotNull())
 
 
 def small_frame(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:

@@ -112,8 +112,17 @@ TOP_N_PATTERN = r"(?:top|first|highest)\s*(\d+)"
 BOTTOM_N_PATTERN = r"(?:bottom|lowest|last)\s*(\d+)"
 
 # --- text, HTML and graph extraction ---------------------------------------
+# Characters that count as whitespace at the ends of a text.
+WHITESPACE = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006"
+    "\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+)
 FIELD_SEPARATOR = r"(?U)\s{2,}|\t|,"
-LINE_BREAK = "\\r\\n|[\\n\\r\\x0b\\x0c\\x1c-\\x1e\\x85\\u2028\\u2029]"
-DOT_EDGE_PATTERN = r"""(?U)(["'\w]+)\s*(?:->|--)\s*(["'\w]+)(?:\s*\[([^\]]*)\])?"""
-DOT_NODE_PATTERN = r"""(?U)(["'\w]+)\s*\[([^\]]*)\]"""
+LINE_BREAK_CHARS = "[\\n\\r\\x0b\\x0c\\x1c-\\x1e\\x85\\u2028\\u2029]"
+LINE_BREAK = "\\r\\n|" + LINE_BREAK_CHARS
+# Quantifiers are possessive where giving back characters could never help.
+DOT_EDGE_PATTERN = (
+    r"""(?U)(?<!["'\w])["'\w]++\s*+(?:->|--)\s*+["'\w]++(?:\s*+\[[^\]]*+\])?"""
+)
+DOT_NODE_PATTERN = r"""(?U)(?<!["'\w])["'\w]++\s*+\[[^\]]*+\]"""
 DOT_WEIGHT_PATTERN = r"weight\s*=\s*([0-9.]+)"

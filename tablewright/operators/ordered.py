@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tablewright.functions import fixed_values as V
-from tablewright.functions.columns import clean_value, ref
+from tablewright.functions.columns import clean_value, ref, small_frame
 
 ROWS_PER_BUCKET = 2_000_000
 MAX_BUCKETS = 4096
@@ -106,39 +106,56 @@ def fill_backward(
 
 
 def _fill(df, columns, order_by, rows_per_bucket, forward):
+    """A running ``last`` inside each bucket, then what earlier buckets hand over.
+
+    For backward filling the order is reversed. Frames only ever grow, as
+    frames that shrink towards the end are evaluated from scratch per row.
+    """
     bucketed = with_bucket(df, order_by, rows_per_bucket)
-    key = order_key(order_by)
-    values = {c: clean_value(df, c) for c in columns}
-    present = {c: F.when(v.isNotNull(), key) for c, v in values.items()}
-    # First and last value of every bucket: at most MAX_BUCKETS rows.
-    ends = bucketed.groupBy("bucket").agg(
-        *[F.min_by(values[c], present[c]).alias(f"first{i}") for i, c in enumerate(columns)],
-        *[F.max_by(values[c], present[c]).alias(f"last{i}") for i, c in enumerate(columns)],
-    )
-    before = Window.partitionBy(F.lit(0)).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    after = Window.partitionBy(F.lit(0)).orderBy("bucket").rowsBetween(1, Window.unboundedFollowing)
-    carried = ends.select(
-        F.col("bucket"),
-        *[F.last(f"last{i}", True).over(before).alias(f"before{i}") for i in range(len(columns))],
-        *[F.first(f"first{i}", True).over(after).alias(f"after{i}") for i in range(len(columns))],
+    handed = _handed_over(bucketed, columns, order_by, forward)
+    keys = [ref(c).asc() if forward else ref(c).desc() for c in order_by]
+    upto = (
+        Window.partitionBy("bucket")
+        .orderBy(*keys)
+        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
-    inside = Window.partitionBy("bucket").orderBy(*[ref(c) for c in order_by])
-    upto = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    onward = inside.rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    local = bucketed
-    for i, c in enumerate(columns):
-        local = local.withColumn(f"__p{i}", F.last(values[c], True).over(upto))
-        local = local.withColumn(f"__n{i}", F.first(values[c], True).over(onward))
     # Bounded side: one row per bucket.
-    joined = local.join(F.broadcast(carried), "bucket", "left")
-    filled = {}
-    for i, c in enumerate(columns):
-        previous = F.coalesce(F.col(f"__p{i}"), F.col(f"before{i}"))
-        following = F.coalesce(F.col(f"__n{i}"), F.col(f"after{i}"))
-        filled[c] = F.coalesce(previous, following) if forward else F.coalesce(following, previous)
+    joined = bucketed.join(F.broadcast(handed), "bucket", "left")
+    filled = {
+        c: F.coalesce(F.last(clean_value(df, c), True).over(upto), F.col(f"__h{i}"))
+        for i, c in enumerate(columns)
+    }
     return joined.select(*[filled[c].alias(c) if c in filled else ref(c) for c in df.columns])
 
 
+def _handed_over(bucketed, columns, order_by, forward) -> DataFrame:
+    """Per bucket the value its leading gap takes: at most MAX_BUCKETS rows."""
+    key = order_key(order_by)
+    aggs = []
+    for i, c in enumerate(columns):
+        v = clean_value(bucketed, c)
+        at = F.when(v.isNotNull(), key)
+        aggs += [F.min_by(v, at).alias(f"first{i}"), F.max_by(v, at).alias(f"last{i}")]
+    ends = bucketed.groupBy("bucket").agg(*aggs).orderBy("bucket").collect()
+    near, far = ("first", "last") if forward else ("last", "first")
+    ends = ends if forward else ends[::-1]
+    handed: list[list] = [[r["bucket"]] for r in ends]
+    for i in range(len(columns)):
+        known = [r[f"{near}{i}"] for r in ends if r[f"{near}{i}"] is not None]
+        # The gap before the very first value takes that value.
+        carried = known[0] if known else None
+        for r, row in zip(ends, handed):
+            row.append(carried)
+            if r[f"{far}{i}"] is not None:
+                carried = r[f"{far}{i}"]
+    kinds = [
+        f"__h{i} {bucketed.schema[c].dataType.simpleString()}" for i, c in enumerate(columns)
+    ]
+    return small_frame(
+        bucketed.sparkSession, [tuple(r) for r in handed], ", ".join(["bucket int", *kinds])
+    )
+
+
 def preview(df: DataFrame, n: int, order_by: list[str]) -> DataFrame:
     """The first ``n`` rows in key order."""
     return df.orderBy(*[ref(c) for c in order_by]).limit(n)

@@ -58,32 +58,61 @@ class TableProfile:
         return out
 
     def _scan(self, fields) -> list[dict]:
+        # Values are read in one projection; the aggregates only refer to them.
+        values = self.df.select(*[self._value(f).alias(f"x{i}") for i, f in fields])
         aggs = [F.count("*").alias("rows")]
         for i, f in fields:
-            aggs += [a.alias(f"{name}{i}") for name, a in self._column_aggs(f).items()]
-        row = self.df.agg(*aggs).first()
+            aggs += [a.alias(f"{name}{i}") for name, a in self._column_aggs(f, F.col(f"x{i}")).items()]
+        row = values.agg(*aggs).first()
         self.__dict__["rows"] = row["rows"]
-        return [self._column_stats(i, f, row) for i, f in fields]
+        stats = [self._column_stats(i, f, row) for i, f in fields]
+        self._confirm_constants(values, stats)
+        return stats
 
-    def _column_aggs(self, f: T.StructField) -> dict[str, Column]:
+    @staticmethod
+    def _confirm_constants(values: DataFrame, stats: list[dict]) -> None:
+        """Put the value itself where one hash suggests a single value."""
+        suspects = [c for c in stats if c["constant_value"]]
+        if not suspects:
+            return
+        extremes = values.agg(
+            *[
+                agg(f"x{c['column_index']}").alias(f"{agg.__name__}{c['column_index']}")
+                for c in suspects
+                for agg in (F.min, F.max)
+            ]
+        ).first()
+        for c in suspects:
+            low, high = (extremes[f"{k}{c['column_index']}"] for k in ("min", "max"))
+            c["constant_value"] = low if low == high else None
+
+    def _value(self, f: T.StructField) -> Column:
+        kind = profile_class(f.dataType)
+        if kind == "numeric":
+            return number(self.df, f.name)
+        return as_text(self.df, f.name) if kind == "categorical" else clean_value(self.df, f.name)
+
+    @staticmethod
+    def _column_aggs(f: T.StructField, v: Column) -> dict[str, Column]:
         kind = profile_class(f.dataType)
-        aggs = {"n": F.count(clean_value(self.df, f.name))}
+        aggs = {"n": F.count(v)}
         if kind == "numeric":
-            v = number(self.df, f.name)
             aggs |= {
                 "min": F.min(v),
                 "max": F.max(v),
                 "avg": F.avg(v),
                 "var": F.var_samp(v),
-                "neg": F.count_if(v < 0),
             }
+            if any(w in f.name.lower() for w in V.NON_NEGATIVE_WORDS):
+                aggs["neg"] = F.count_if(v < 0)
             if isinstance(f.dataType, (T.FloatType, T.DoubleType)):
-                aggs["whole"] = F.bool_and(v % 1 == 0)
+                aggs["whole"] = F.bool_and(v == F.rint(v))
         elif kind == "categorical":
-            text = as_text(self.df, f.name)
-            aggs |= {"min": F.min(text), "max": F.max(text)}
+            # Text extremes would force a sort-based aggregate; a hash tells
+            # columns with several values apart from possibly constant ones.
+            aggs |= {"min": F.min(F.xxhash64(v)), "max": F.max(F.xxhash64(v))}
             if is_text(f.dataType):
-                aggs["space"] = F.count_if(has_irregular_space(text))
+                aggs["space"] = F.count_if(has_irregular_space(v))
         return aggs
 
     @staticmethod
@@ -92,7 +121,7 @@ class TableProfile:
         get = lambda name: values.get(f"{name}{i}")
         kind = profile_class(f.dataType)
         n, rows = get("n"), values["rows"]
-        constant = kind == "categorical" and n > 0 and get("min") == get("max")
+        one_hash = kind == "categorical" and n > 0 and get("min") == get("max")
         numeric = kind == "numeric"
         return {
             "column_index": i,
@@ -109,7 +138,7 @@ class TableProfile:
             "variance": get("var"),
             "negative_count": get("neg"),
             "whole_numbers": get("whole"),
-            "constant_value": get("min") if constant else None,
+            "constant_value": one_hash or None,
             "space_count": get("space") or 0,
             "name_has_space": name_has_irregular_space(f.name),
         }
@@ -372,7 +401,7 @@ class TableProfile:
         for c in self.columns:
             name, nulls = c["column"], c["null_count"]
             negative = c["negative_count"] or 0
-            if negative and any(w in name.lower() for w in V.NON_NEGATIVE_WORDS):
+            if negative:
                 text = V.NEGATIVE_DESCRIPTION % (negative, name)
                 severity = "high" if negative > 5 else "medium"
                 issues.append((name, V.ISSUE_NEGATIVE, text, negative, severity))

@@ -1,19 +1,21 @@
 """Question routing: which columns a question names and which answer it asks for.
 
 ``match_columns`` and ``routes`` work on a table of questions. The column
-catalogue is bounded by a schema and travels as a literal array, so every
+catalogue is bounded by a schema and becomes part of the expression, so every
 question is scored where it lies: no join and no shuffle.
 """
 
 from __future__ import annotations
 
 import re
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablewright.functions import fixed_values as V
-from tablewright.functions.columns import analytic_class, columns_of, small_frame
+from tablewright.functions.columns import analytic_class, columns_of, small_frame, unrolled
 from tablewright.operators import answers
 
 
@@ -22,58 +24,57 @@ def catalogue_of(df: DataFrame) -> list[tuple[str, str]]:
     return [(f.name, analytic_class(f.dataType)) for f in df.schema.fields]
 
 
-def _entry(position: int, name: str, kind: str) -> Column:
+def _score(name: str, said: Column, joined: Column, words: Column) -> Column:
+    """How clearly a question names one column; 0 if it does not."""
     lower = name.lower()
     spaced = re.sub(r"[^a-z0-9]", " ", lower).strip()
-    tokens = list(dict.fromkeys(spaced.split()))
-    return F.struct(
-        F.lit(position).alias("position"),
-        F.lit(name).alias("column"),
-        F.lit(kind).alias("kind"),
-        F.lit(lower).alias("lower"),
-        F.lit(spaced).alias("spaced"),
-        F.lit(spaced.replace(" ", "")).alias("joined"),
-        (F.array(*[F.lit(t) for t in tokens]) if tokens else F.array().cast("array<string>")).alias(
-            "tokens"
-        ),
-    )
-
-
-def _score(entry: Column, text: Column, joined: Column, tokens: Column) -> Column:
-    named = (F.length(entry["spaced"]) > 0) & (
-        F.contains(text, entry["lower"]) | F.contains(text, entry["spaced"])
-    )
-    run_together = (F.length(entry["joined"]) > 0) & F.contains(joined, entry["joined"])
-    # Names without ASCII letters or digits can still be quoted as they are.
-    literal = (F.length(entry["spaced"]) == 0) & F.contains(text, entry["lower"])
-    shared = F.array_intersect(entry["tokens"], tokens)
-    long_shared = F.filter(shared, lambda t: F.length(t) > 2)
-    size = F.size(entry["tokens"])
+    packed = spaced.replace(" ", "")
+    tokens = sorted(set(spaced.split()))
+    if not tokens:
+        # A name without ASCII letters or digits can only be quoted as it is.
+        return F.when(F.contains(said, F.lit(lower)), 100).otherwise(0)
+    present = [F.contains(words, F.lit(f" {t} ")) for t in tokens]
+    shared = F.lit(0)
+    for token, found in zip(tokens, present):
+        if len(token) > 2:
+            shared = shared + found.cast("int")
     return (
-        F.when(named | literal, 100 + F.length(entry["spaced"]))
-        .when(run_together, 90 + F.length(entry["joined"]))
-        .when((size > 0) & (F.size(shared) == size), 80 + size)
-        .when(F.size(long_shared) > 0, 40 + 10 * F.size(long_shared))
+        F.when(
+            F.contains(said, F.lit(lower)) | F.contains(said, F.lit(spaced)), 100 + len(spaced)
+        )
+        .when(F.contains(joined, F.lit(packed)), 90 + len(packed))
+        .when(reduce(and_, present), 80 + len(tokens))
+        .when(shared > 0, 40 + 10 * shared)
         .otherwise(0)
     )
 
 
-def _matches(question: Column, catalogue) -> Column:
-    """array<struct<column, score, kind>>, best first, catalogue order on ties."""
-    text = F.lower(question)
-    joined = F.regexp_replace(text, "[^a-z0-9]", "")
-    tokens = F.regexp_extract_all(text, F.lit("([a-z0-9]+)"), F.lit(1))
-    entries = F.array(*[_entry(i, name, kind) for i, (name, kind) in enumerate(catalogue)])
-    scored = F.transform(
-        entries,
-        lambda e: F.struct(
-            (-_score(e, text, joined, tokens)).alias("rank_key"),
-            e["position"].alias("position"),
-            e["column"].alias("column"),
-            e["kind"].alias("kind"),
-        ),
+def _matches(questions: DataFrame, catalogue, id_: str, text: str) -> DataFrame:
+    """(id, said, matches): matches is array<struct>, best first, catalogue order on ties.
+
+    Lower-casing and splitting happen in projections of their own, so that
+    scoring a column does not repeat them.
+    """
+    lower = questions.select(id_, F.lower(text).alias("said"))
+    read = lower.select(
+        id_,
+        "said",
+        F.regexp_replace("said", "[^a-z0-9]+", "").alias("joined"),
+        F.concat(F.lit(" "), F.regexp_replace("said", "[^a-z0-9]+", " "), F.lit(" ")).alias("words"),
+    )
+    scored = [
+        F.struct(
+            (-_score(name, F.col("said"), F.col("joined"), F.col("words"))).alias("rank_key"),
+            F.lit(i).alias("position"),
+            F.lit(name).alias("column"),
+            F.lit(kind).alias("kind"),
+        )
+        for i, (name, kind) in enumerate(catalogue)
+    ]
+    found = read.select(id_, "said", F.array(*scored).alias("scored"))
+    return found.select(
+        id_, "said", F.array_sort(F.filter("scored", lambda s: s["rank_key"] < 0)).alias("matches")
     )
-    return F.array_sort(F.filter(scored, lambda s: s["rank_key"] < 0))
 
 
 def match_columns(
@@ -81,7 +82,9 @@ def match_columns(
     text: str = "question",
 ) -> DataFrame:
     """(id, rank, column, score, kind) for every column a question mentions."""
-    found = questions.select(id_, F.posexplode(_matches(F.col(text), catalogue)).alias("p", "m"))
+    found = unrolled(
+        _matches(questions, catalogue, id_, text).drop("said"), F.col("matches"), "p", "m"
+    )
     return found.select(
         id_,
         (F.col("p") + 1).alias("rank"),
@@ -108,15 +111,16 @@ def routes(
     text: str = "question",
 ) -> DataFrame:
     """One row per question: the answer it is routed to and that answer's arguments."""
-    said = F.trim(F.lower(F.col(text)))
-    named = questions.withColumn("__m", _matches(F.col(text), catalogue))
-    named = named.select(
+    first = lambda kind: F.try_element_at(
+        F.filter("matches", lambda m: m["kind"] == kind), F.lit(1)
+    )["column"]
+    named = _matches(questions, catalogue, id_, text).select(
         id_,
-        said.alias("said"),
-        F.size("__m").alias("matches"),
-        F.try_element_at("__m", F.lit(1)).alias("first"),
-        F.try_element_at(F.filter("__m", lambda m: m["kind"] == "categorical"), F.lit(1))["column"].alias("text_column"),
-        F.try_element_at(F.filter("__m", lambda m: m["kind"] == "numeric"), F.lit(1))["column"].alias("number_column"),
+        F.trim("said").alias("said"),
+        F.size("matches").alias("matches"),
+        F.try_element_at("matches", F.lit(1)).alias("first"),
+        first("categorical").alias("text_column"),
+        first("numeric").alias("number_column"),
     )
     q = F.col("said")
     any_match = F.col("matches") > 0

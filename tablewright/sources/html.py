@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablewright.functions.columns import ref
+from tablewright.functions.columns import ref, unrolled
 
 VOID = frozenset(
     "area base br col embed hr img input link meta param source track wbr".split()
@@ -162,15 +162,13 @@ def html_tables(df: DataFrame, id_: str = "page_id", html: str = "html") -> Data
         ),
     )
     first = F.try_element_at(F.filter(checked, lambda t: F.size(t["rows"]) > 0), F.lit(1))
-    return (
-        scanned_tables(df, id_, html)
-        .select("page_id", first.alias("t"))
-        .select(
-            "page_id",
-            F.col("t.table_index").alias("table_index"),
-            F.col("t.headers").alias("headers"),
-            F.posexplode("t.rows").alias("row_index", "cells"),
-        )
+    chosen = scanned_tables(df, id_, html).select("page_id", first.alias("t"))
+    return unrolled(chosen, F.col("t.rows"), "row_index", "cells").select(
+        "page_id",
+        F.col("t.table_index").alias("table_index"),
+        F.col("t.headers").alias("headers"),
+        "row_index",
+        "cells",
     )
 
 
@@ -216,6 +214,6 @@ def html_text_lines(
     kind = pages.schema["page_id"].dataType.simpleString()
     scanned = pages.mapInPandas(_scan_lines, f"page_id {kind}, lines array<string>")
     kept = F.slice("lines", 1, max_lines) if max_lines else F.col("lines")
-    return scanned.select("page_id", F.posexplode(kept).alias("p", "text_content")).select(
+    return unrolled(scanned, kept, "p", "text_content").select(
         "page_id", (F.col("p") + 1).alias("line_no"), "text_content"
     )

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablewright.functions import fixed_values as V
-from tablewright.functions.columns import ref, trimmed
+from tablewright.functions.columns import ref, trimmed, unrolled
 
 
 def raw_lines(text: Column) -> Column:
@@ -16,7 +16,7 @@ def raw_lines(text: Column) -> Column:
 
 def lines_of(text: Column) -> Column:
     """Non-empty lines, stripped."""
-    lines = F.transform(F.split(text, V.LINE_BREAK), trimmed)
+    lines = F.transform(F.split(text, V.LINE_BREAK_CHARS), trimmed)
     return F.filter(lines, lambda line: line != "")
 
 
@@ -42,15 +42,18 @@ def text_table(df: DataFrame, id_: str = "doc_id", text: str = "text") -> DataFr
     shorter ones padded with nulls.
     """
     parsed = df.select(ref(id_).alias("doc_id"), _tabular(ref(text)).alias("parts"))
-    tables = parsed.where(F.size("parts") >= 2).select(
+    # A lone header unrolls to nothing. No filter on ``parts``: pushed below
+    # the projection it would parse every text twice.
+    headed = parsed.select(
         "doc_id",
-        _header(F.col("parts")[0]).alias("headers"),
-        F.posexplode(F.slice("parts", 2, F.size("parts"))).alias("row_index", "fields"),
+        _header(F.try_element_at("parts", F.lit(1))).alias("headers"),
+        F.slice("parts", 2, F.size("parts")).alias("body"),
     )
+    rows = unrolled(headed, F.col("body"), "row_index", "fields")
     width = F.size("headers")
     padding = F.array_repeat(F.lit(None).cast("string"), F.greatest(width - F.size("fields"), F.lit(0)))
     cells = F.slice(F.concat(F.col("fields"), padding), 1, width)
-    return tables.select("doc_id", "row_index", "headers", cells.alias("cells"))
+    return rows.select("doc_id", "row_index", "headers", cells.alias("cells"))
 
 
 def text_lines(
@@ -61,11 +64,10 @@ def text_lines(
     ``max_lines=2000`` gives the first two thousand lines of each document; by
     default every line is kept.
     """
-    plain = df.select(
-        ref(id_).alias("doc_id"), ref(text).alias("text"), F.size(_tabular(ref(text))).alias("n")
-    ).where("n < 2")
-    lines = lines_of(F.col("text"))
-    kept = F.slice(lines, 1, max_lines) if max_lines else lines
-    return plain.select("doc_id", F.posexplode(kept).alias("p", "document_line")).select(
+    parsed = df.select(ref(id_).alias("doc_id"), lines_of(ref(text)).alias("lines"))
+    fields = F.filter("lines", lambda line: F.size(F.split(line, V.FIELD_SEPARATOR)) >= 2)
+    kept = F.slice("lines", 1, max_lines) if max_lines else F.col("lines")
+    plain = parsed.select("doc_id", F.when(F.size(fields) < 2, kept).alias("lines"))
+    return unrolled(plain, F.col("lines"), "p", "document_line").select(
         "doc_id", (F.col("p") + 1).alias("line_no"), "document_line"
     )
