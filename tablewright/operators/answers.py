@@ -72,14 +72,15 @@ def leader_share(df: DataFrame, by: str, value: str) -> DataFrame:
         .groupBy("k")
         .agg(F.coalesce(F.sum("v"), F.lit(0.0)).alias("value"))
     )
-    whole = sums.agg(
-        F.sum("value").alias("total"), F.count("k").alias("groups")
-    )
-    leader = sums.where("k is not null").orderBy(F.desc("value"), F.asc("k")).limit(1)
-    facts = whole.select(F.struct("total", "groups")).scalar()
+    # The key filter comes after the limit: below it, the grouped rows could
+    # not be shared with the total.
+    leader = sums.orderBy(F.col("k").isNull(), F.desc("value"), F.asc("k")).limit(1)
+    facts = sums.agg(
+        F.struct(F.sum("value").alias("total"), F.count("k").alias("groups"))
+    ).scalar()
     return (
         leader.withColumn("__whole", facts)
-        .where("__whole.groups > 1 and value > 0 and __whole.total > 0")
+        .where("k is not null and __whole.groups > 1 and value > 0 and __whole.total > 0")
         .select(
             F.col("k").alias(by),
             F.col("value"),
@@ -107,14 +108,10 @@ def value_counts(
 
 
 def _with_share(df: DataFrame, column: str) -> DataFrame:
-    counted = (
-        df.select(clean_value(df, column).alias("value")).groupBy("value").agg(F.count("*").alias("n"))
-    )
-    # One row, taken from the grouped result (the exchange is shared).
-    total = counted.agg(F.sum("n")).scalar()
-    return counted.where(F.col("value").isNotNull()).select(
-        "value", "n", (F.col("n") / total * 100).alias("share_percent")
-    )
+    # Counting rows needs no column; Parquet answers it from its footers.
+    total = df.agg(F.count("*")).scalar()
+    counted = frequencies.value_counts(df, column)
+    return counted.select("value", "n", (F.col("n") / total * 100).alias("share_percent"))
 
 
 def distinct_values(df: DataFrame, column: str, show: int = 50) -> DataFrame:
@@ -203,9 +200,11 @@ def text_summary(df: DataFrame, column: str, top: int = 5) -> DataFrame:
         )
     ).scalar()
     return (
-        counted.where(F.col("value").isNotNull())
-        .orderBy(F.desc("n"), F.asc("value"))
+        # The null group sorts last and goes after the limit, so that the
+        # grouped rows are shared with the facts.
+        counted.orderBy(F.col("value").isNull(), F.desc("n"), F.asc("value"))
         .limit(top)
+        .where(F.col("value").isNotNull())
         .withColumn("__f", facts)
         .select(
             F.lit(column).alias("column"),

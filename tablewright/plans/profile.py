@@ -110,7 +110,8 @@ class TableProfile:
         elif kind == "categorical":
             # Text extremes would force a sort-based aggregate; a hash tells
             # columns with several values apart from possibly constant ones.
-            aggs |= {"min": F.min(F.xxhash64(v)), "max": F.max(F.xxhash64(v))}
+            mark = F.when(v.isNotNull(), F.xxhash64(v))
+            aggs |= {"min": F.min(mark), "max": F.max(mark)}
             if is_text(f.dataType):
                 aggs["space"] = F.count_if(has_irregular_space(v))
         return aggs

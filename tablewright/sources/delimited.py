@@ -50,6 +50,8 @@ def read_csv(
         spark.read.options(**options)
         .option("mode", "PERMISSIVE")
         .option("columnNameOfCorruptRecord", RAW)
+        # Fields are counted only when whole lines are parsed.
+        .option("columnPruning", False)
         .schema(T.StructType(fields + extra))
         .csv(path)
     )
@@ -87,7 +89,9 @@ def inferred_types(df: DataFrame) -> dict[str, str]:
             whole = word.rlike(INTEGER_TEXT)
             aggs += [
                 F.count(v).alias(f"n{i}"),
-                F.bool_and(whole & word.try_cast("bigint").isNotNull()).alias(f"i{i}"),
+                F.bool_and(
+                    F.when(v.isNotNull(), whole & word.try_cast("bigint").isNotNull())
+                ).alias(f"i{i}"),
                 F.bool_and(word.rlike(NUMBER_TEXT)).alias(f"d{i}"),
                 F.bool_and(v.isin(V.CSV_TRUE + V.CSV_FALSE)).alias(f"b{i}"),
             ]

@@ -28,7 +28,8 @@ def _split(found: DataFrame) -> DataFrame:
     Node names hold neither dashes nor brackets, so the parts are found
     without matching the pattern again.
     """
-    inner = F.substring_index(F.substring_index("match", "[", -1), "]", 1)
+    match = F.col("match")
+    inner = F.substring_index(F.substr(match, F.locate("[", match) + 1), "]", 1)
     return found.select(
         "graph_id",
         (F.col("p") + 1).alias("number"),
