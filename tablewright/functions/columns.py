@@ -91,7 +91,8 @@ def trimmed(c: Column) -> Column:
 
 def squeezed(c: Column) -> Column:
     """Strip the ends and collapse inner whitespace runs to one space."""
-    return F.regexp_replace(trimmed(c), r"(?U)\s+", " ")
+    # A run that is not already one plain space.
+    return F.regexp_replace(trimmed(c), r"(?U)[^\S ]\s*+| \s++", " ")
 
 
 def has_irregular_space(c: Column) -> Column:

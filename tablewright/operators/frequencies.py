@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from tablewright.functions.columns import as_text, clean_value, ref, small_frame
 
-# Candidate rows whose fingerprints may be broadcast (8 bytes each).
+# Fingerprints that may be collected and broadcast (8 bytes each).
 BROADCAST_FINGERPRINTS = 1_000_000
+FINGERPRINT = "__fingerprint"
 
 
 def frequencies(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -92,32 +93,62 @@ def mode(df: DataFrame, column: str):
     return None if row is None else row["value"]
 
 
+def _marked(df: DataFrame) -> DataFrame:
+    """The rows with an 8-byte fingerprint of all their cells."""
+    cells = [clean_value(df, c) for c in df.columns]
+    return df.select(
+        F.xxhash64(*cells).alias(FINGERPRINT), *[v.alias(c) for v, c in zip(cells, df.columns)]
+    )
+
+
+def _repeated(marked: DataFrame, limit: int) -> DataFrame | None:
+    """Fingerprints of more than one row, as a local table; None beyond ``limit``.
+
+    This is the only pass that looks at every row, and it shuffles the
+    fingerprints alone. Rows whose fingerprint is unique cannot be duplicates.
+    """
+    found = (
+        marked.groupBy(FINGERPRINT)
+        .agg(F.count("*").alias("n"))
+        .where("n > 1")
+        .select(FINGERPRINT)
+        .limit(limit + 1)
+        .toArrow()
+    )
+    if found.num_rows > limit:
+        return None
+    return marked.sparkSession.createDataFrame(found, schema=f"{FINGERPRINT} bigint")
+
+
 def duplicate_count(df: DataFrame, broadcast_limit: int = BROADCAST_FINGERPRINTS) -> int:
     """Rows that repeat an earlier row in every column (nulls equal).
 
-    Only 8-byte fingerprints are shuffled at first. Rows whose fingerprint is
-    unique cannot be duplicates; the others are compared in full, so a hash
-    collision never counts.
+    Rows that share a fingerprint are compared in full, so a hash collision
+    never counts.
     """
-    marked = df.select(
-        F.xxhash64(*[clean_value(df, c) for c in df.columns]).alias("__fingerprint"),
-        *[clean_value(df, c).alias(c) for c in df.columns],
-    )
-    repeated = (
-        marked.groupBy("__fingerprint").agg(F.count("*").alias("n")).where("n > 1")
-    )
-    suspects = repeated.count()
-    if suspects == 0:
-        return 0
+    marked = _marked(df)
+    repeated = _repeated(marked, broadcast_limit)
     rows = marked
-    if suspects <= broadcast_limit:
-        rows = marked.join(
-            F.broadcast(repeated.select("__fingerprint")), "__fingerprint", "left_semi"
-        )
+    if repeated is not None:
+        if repeated.isEmpty():
+            return 0
+        rows = marked.join(F.broadcast(repeated), FINGERPRINT, "left_semi")
     copies = rows.groupBy(*[ref(c) for c in df.columns]).agg(F.count("*").alias("__n"))
     return copies.agg(F.coalesce(F.sum(F.col("__n") - 1), F.lit(0)).alias("n")).first()["n"]
 
 
-def drop_duplicates(df: DataFrame) -> DataFrame:
-    """Distinct rows; copies are identical, so which one stays does not matter."""
-    return df.dropDuplicates()
+def drop_duplicates(df: DataFrame, broadcast_limit: int = BROADCAST_FINGERPRINTS) -> DataFrame:
+    """Distinct rows; copies are identical, so which one stays does not matter.
+
+    Only rows that share a fingerprint are shuffled whole. Returns ``df``
+    itself when no fingerprint repeats.
+    """
+    marked = _marked(df)
+    repeated = _repeated(marked, broadcast_limit)
+    if repeated is None:
+        return df.dropDuplicates()
+    if repeated.isEmpty():
+        return df
+    single = marked.join(F.broadcast(repeated), FINGERPRINT, "left_anti")
+    shared = marked.join(F.broadcast(repeated), FINGERPRINT, "left_semi").dropDuplicates()
+    return single.unionByName(shared).drop(FINGERPRINT)

@@ -22,6 +22,8 @@ from tablewright.operators import ordered
 # Distinct doubles one aggregation buffer may hold (tens of megabytes).
 BUFFER_VALUES = 1_000_000
 SKETCH_ACCURACY = 10_000
+# Columns searched by rank in one aggregate.
+SEARCHED_PER_SCAN = 16
 
 
 @dataclass
@@ -68,14 +70,28 @@ def quantiles(
         sizes = counts(df, columns)
     small = [c for c in columns if not exact or sizes[c] <= buffer_values]
     found = {}
-    for start in range(0, len(small), 100):
-        found.update(_one_pass(df, small[start : start + 100], probs, exact))
+    for batch in _batches(small, sizes if exact else {}, 2 * buffer_values):
+        found.update(_one_pass(df, batch, probs, exact))
     large = [c for c in columns if c not in found]
-    if large:
-        found.update(_by_rank(df, large, probs, sizes, buffer_values))
+    for start in range(0, len(large), SEARCHED_PER_SCAN):
+        batch = large[start : start + SEARCHED_PER_SCAN]
+        found.update(_by_rank(df, batch, probs, sizes, buffer_values))
     return found
 
 
+def _batches(columns, sizes, most):
+    """Columns whose buffers, together in one task, stay within ``most`` values."""
+    batch, held = [], 0
+    for c in columns:
+        if batch and (held + sizes.get(c, 0) > most or len(batch) == 100):
+            yield batch
+            batch, held = [], 0
+        batch.append(c)
+        held += sizes.get(c, 0)
+    if batch:
+        yield batch
+
+
 def _one_pass(df, columns, probs, exact):
     levels = F.array(*[F.lit(float(p)) for p in probs])
     aggs = []

@@ -180,25 +180,30 @@ def histogram(df: DataFrame, column: str) -> DataFrame:
     )
 
 
-def heatmap(df: DataFrame, columns: list[str]) -> DataFrame:
+def heatmap(
+    df: DataFrame, columns: list[str], found: dict[tuple[str, str], float] | None = None
+) -> DataFrame:
     """Correlations of three or more columns, if any pair reaches 0.2."""
     if len(columns) < 3:
         return small_frame(df.sparkSession, [], PAIR_SCHEMA)
-    cells = correlation.matrix(df, columns, digits=2).select("column_a", "column_b", "r").collect()
-    strongest = max(abs(c["r"]) for c in cells if c["column_a"] != c["column_b"])
-    return small_frame(
-        df.sparkSession, [tuple(c) for c in cells] if strongest >= 0.2 else [], PAIR_SCHEMA
-    )
+    if found is None:
+        found = correlation.coefficients(df, columns)
+    shown = {pair: round(r, 2) for pair, r in found.items()}
+    if max(abs(r) for (a, b), r in shown.items() if a != b) < 0.2:
+        return small_frame(df.sparkSession, [], PAIR_SCHEMA)
+    rows = [(a, b, r) for (a, b), r in shown.items()]
+    rows += [(b, a, r) for (a, b), r in shown.items() if a != b]
+    return small_frame(df.sparkSession, rows, PAIR_SCHEMA)
 
 
-def scatter_pair(df: DataFrame, numeric: list[str], candidates: list[str]) -> tuple[str, str]:
+def scatter_pair(numeric: list[str], found: dict[tuple[str, str], float]) -> tuple[str, str]:
     """Most correlated pair when it reaches 0.1, else the two most variable columns."""
-    chosen = (numeric[0], numeric[1])
-    if len(candidates) >= 2:
-        best = correlation.ranked_pairs(df, candidates, top=1).first()
-        if abs(best["r"]) >= 0.1:
-            chosen = (best["column_a"], best["column_b"])
-    return chosen
+    pairs = [(a, b) for a, b in found if a != b]
+    if pairs:
+        best = max(pairs, key=lambda pair: abs(found[pair]))
+        if abs(found[best]) >= 0.1:
+            return best
+    return numeric[0], numeric[1]
 
 
 def scatter(
@@ -294,9 +299,10 @@ def recommend(df: DataFrame, key: list[str]) -> list[Chart]:
     if top:
         add("rec_chart_dist", "histogram", f"Distribution of {top}", histogram(df, top))
     varied = [c for c in facts.numeric if facts.unique[c] > 5][:8]
-    add("rec_chart_corr", "heatmap", "Feature Correlation Heatmap", heatmap(df, varied))
+    related = correlation.coefficients(df, varied) if len(varied) >= 2 else {}
+    add("rec_chart_corr", "heatmap", "Feature Correlation Heatmap", heatmap(df, varied, related))
     if len(numeric) >= 2:
-        x, y = scatter_pair(df, numeric, varied)
+        x, y = scatter_pair(numeric, related)
         color = category if category and facts.unique[category] <= 15 else None
         marks = scatter(df, x, y, key, color=color)
         add("rec_chart_scatter", "scatter", f"{x} vs {y}", marks, least=5)

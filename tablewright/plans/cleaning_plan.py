@@ -166,21 +166,23 @@ class _Run:
         )
 
     def deduplicate(self):
-        copies = frequencies.duplicate_count(self.df)
+        distinct = frequencies.drop_duplicates(self.df)
+        if distinct is self.df:
+            return
+        # Later statistics would repeat the shuffle.
+        rows, distinct = self.df.count(), cut_lineage(distinct)
+        left = distinct.count()
+        copies = rows - left
         if not copies:
             return
-        rows = self.df.count()
-        self.df = frequencies.drop_duplicates(self.df)
-        if self.plan.decisions:
-            # Later statistics would repeat the shuffle.
-            self.df = cut_lineage(self.df)
+        self.df = distinct
         self.log(
             "remove_duplicates",
             "ALL_COLUMNS",
             f"Removed {copies} identical duplicate rows across all features.",
             "The plan asks for one copy of every row.",
             {"duplicate_count": copies, "row_count": rows},
-            {"duplicate_count": 0, "row_count": rows - copies},
+            {"duplicate_count": 0, "row_count": left},
         )
 
     def decide(self, segment: list[ColumnDecision]):
