@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tablewright.functions.columns import as_text, clean_value, ref, small_frame
 
 # Fingerprints that may be collected and broadcast (8 bytes each).
-BROADCAST_FINGERPRINTS = 1_000_000
+BROADCAST_FINGERPRINTS = 250_000
 FINGERPRINT = "__fingerprint"
 
 
@@ -112,12 +112,12 @@ def _repeated(marked: DataFrame, limit: int) -> DataFrame | None:
         .agg(F.count("*").alias("n"))
         .where("n > 1")
         .select(FINGERPRINT)
-        .limit(limit + 1)
-        .toArrow()
+        # ``take`` reads one partition after another and stops beyond the limit.
+        .take(limit + 1)
     )
-    if found.num_rows > limit:
+    if len(found) > limit:
         return None
-    return marked.sparkSession.createDataFrame(found, schema=f"{FINGERPRINT} bigint")
+    return small_frame(marked.sparkSession, found, f"{FINGERPRINT} bigint")
 
 
 def duplicate_count(df: DataFrame, broadcast_limit: int = BROADCAST_FINGERPRINTS) -> int:

@@ -18,6 +18,9 @@ from tablewright.functions.columns import clean_value, ref, small_frame
 ROWS_PER_BUCKET = 2_000_000
 MAX_BUCKETS = 4096
 SAMPLE_PER_BUCKET = 40
+# Up to this many rows a top-k runs directly.
+DIRECT_ROWS = 5_000_000
+NARROWING_SAMPLE = 2_000
 
 
 def order_key(order_by: list[str]) -> Column:
@@ -88,7 +91,9 @@ def with_bucket(
                 for cut in cuts
             ]
         )
-    return df.withColumn("bucket", bucket_of(order_key(order_by), literal, len(cuts)))
+    # Never null, which spares joins on the bucket a null check per row.
+    bucket = F.coalesce(bucket_of(order_key(order_by), literal, len(cuts)), F.lit(0))
+    return df.withColumn("bucket", bucket)
 
 
 def fill_forward(
@@ -158,10 +163,36 @@ def _handed_over(bucketed, columns, order_by, forward) -> DataFrame:
 
 def preview(df: DataFrame, n: int, order_by: list[str]) -> DataFrame:
     """The first ``n`` rows in key order."""
-    return df.orderBy(*[ref(c) for c in order_by]).limit(n)
+    return first_rows(df, n, [ref(c) for c in order_by])
 
 
 def sample_k(df: DataFrame, k: int, key: list[str]) -> DataFrame:
     """Exactly ``k`` rows (or all, if fewer) chosen by a seeded hash of the key."""
-    draw = F.xxhash64(*[ref(c) for c in key], F.lit(V.SAMPLE_SEED))
-    return df.orderBy(draw, *[ref(c) for c in key]).limit(k)
+    keys = [ref(c) for c in key]
+    return first_rows(df, k, [F.xxhash64(*keys, F.lit(V.SAMPLE_SEED)), *keys])
+
+
+def first_rows(df: DataFrame, n: int, keys: list[Column], direct_rows: int = DIRECT_ROWS) -> DataFrame:
+    """The ``n`` smallest rows by ``keys``.
+
+    A plain top-k brings ``n`` rows of every input split together. Large
+    tables are first narrowed to the rows up to a sampled key, as long as
+    enough rows lie below it: few splits then have anything to offer.
+    """
+    lead, near = keys[0], df
+    rows = df.count()
+    while rows > max(direct_rows, n):
+        known = near.select(lead.alias("key")).where(F.col("key").isNotNull())
+        # About NARROWING_SAMPLE keys reach the driver.
+        sample = sorted(
+            r["key"]
+            for r in known.sample(min(1.0, NARROWING_SAMPLE / rows), seed=V.SAMPLE_SEED).collect()
+        )
+        if len(sample) < 100:
+            break
+        narrower = df.where(lead.isNull() | (lead <= F.lit(sample[len(sample) // 100])))
+        left = narrower.count()
+        if left < n or left > rows // 2:
+            break
+        near, rows = narrower, left
+    return near.orderBy(*keys).limit(n)

@@ -254,11 +254,14 @@ def line(df: DataFrame, time: str, metric: str) -> DataFrame:
     points = df.select(when.alias("t"), number(df, metric).alias("v")).where(
         "t is not null and v is not null"
     )
-    # Reading 501 rows settles which form applies.
-    if points.limit(501).count() <= 500:
-        return points.orderBy("t", "v").select(
-            F.col("t").alias("time"), F.round("v", 2).alias("value")
-        ).where(points.agg(F.count("*")).scalar() >= 5)
+    # ``take`` stops reading at 501 rows, which settles the form.
+    found = len(points.select(F.lit(1)).take(501))
+    if found <= 500:
+        return (
+            points.orderBy("t", "v")
+            .limit(500 if found >= 5 else 0)
+            .select(F.col("t").alias("time"), F.round("v", 2).alias("value"))
+        )
     monthly = points.groupBy(F.last_day("t").alias("month")).agg(F.sum("v").alias("v"))
     months = monthly.agg(
         F.explode(

@@ -15,7 +15,7 @@ from tablewright.functions.columns import (
     to_decimal,
     trimmed,
 )
-from tablewright.operators import frequencies
+from tablewright.operators import frequencies, ordered
 from tablewright.plans.profile import TableProfile
 
 # Rows read once in the hope that they hold enough values for every column.
@@ -33,8 +33,7 @@ def first_values(profile: TableProfile, columns: list[str], k: int) -> DataFrame
     if not columns:
         return small_frame(df.sparkSession, [], schema)
     head = (
-        df.orderBy(*[ref(c) for c in order_by])
-        .limit(max(HEAD_ROWS, k))
+        ordered.preview(df, max(HEAD_ROWS, k), order_by)
         .select(*[as_text(df, c).alias(f"c{i}") for i, c in enumerate(columns)])
         .collect()
     )
@@ -49,12 +48,10 @@ def first_values(profile: TableProfile, columns: list[str], k: int) -> DataFrame
     out = small_frame(df.sparkSession, rows, schema)
     keys = [f"k{j}" for j in range(len(order_by))]
     for i, c in sparse:
-        top = (
-            df.select(as_text(df, c).alias("value"), *[ref(o).alias(n) for o, n in zip(order_by, keys)])
-            .where(F.col("value").isNotNull())
-            .orderBy(*keys)
-            .limit(k)
-        )
+        values = df.select(
+            as_text(df, c).alias("value"), *[ref(o).alias(n) for o, n in zip(order_by, keys)]
+        ).where(F.col("value").isNotNull())
+        top = ordered.preview(values, k, keys)
         # Numbers at most k rows.
         numbered = top.select(
             F.lit(i).alias("column_index"),

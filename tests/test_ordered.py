@@ -3,6 +3,7 @@ from datetime import datetime, timedelta
 
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from tablewright.operators import ordered
 
@@ -67,3 +68,21 @@ def test_sample_is_exact_and_repeatable(spark):
 
 def test_preview_is_a_distributed_top_k(spark, plan_text):
     assert "TakeOrderedAndProject" in plan_text(ordered.preview(spark.range(100), 5, ["id"]))
+
+
+@pytest.mark.parametrize("direct_rows", [10, 1_000_000])
+def test_first_rows_of_a_narrowed_table(spark, direct_rows):
+    df = spark.range(20_000).selectExpr("if(id % 50 = 0, null, id * 7919 % 20011) as k", "id")
+    keys = [F.col("k"), F.col("id")]
+    found = [tuple(r) for r in ordered.first_rows(df, 450, keys, direct_rows).collect()]
+    expected = sorted(
+        ((None if i % 50 == 0 else i * 7919 % 20011, i) for i in range(20_000)),
+        key=lambda t: (t[0] is not None, t[0] or 0, t[1]),
+    )
+    assert found == expected[:450]
+
+
+def test_first_rows_with_a_hot_first_key(spark):
+    df = spark.range(3000).selectExpr("if(id % 3 = 0, 0, id) as k", "id")
+    found = ordered.first_rows(df, 5, [F.col("k"), F.col("id")], direct_rows=10).collect()
+    assert [r["id"] for r in found] == [0, 3, 6, 9, 12]
