@@ -128,9 +128,9 @@ def custom_histogram_few_values(spark, sf):
 
 def _box_sql(columns, source):
     return " UNION ALL ".join(
-        f"""SELECT '{c}' AS "column", n, round(low, 4) AS min, round(q1, 4) AS q1,
-        round(q2, 4) AS median, round(q3, 4) AS q3, round(high, 4) AS max,
-        round(q1 - 1.5 * (q3 - q1), 4) AS lower_fence, round(q3 + 1.5 * (q3 - q1), 4) AS upper_fence,
+        f"""SELECT '{c}' AS "column", n, round(low, 6) AS min, round(q1, 6) AS q1,
+        round(q2, 6) AS median, round(q3, 6) AS q3, round(high, 6) AS max,
+        round(q1 - 1.5 * (q3 - q1), 6) AS lower_fence, round(q3 + 1.5 * (q3 - q1), 6) AS upper_fence,
         (SELECT count(*) FROM {source} WHERE {c} < q1 - 1.5 * (q3 - q1)
           OR {c} > q3 + 1.5 * (q3 - q1)) AS outlier_count
         FROM (SELECT count({c}) AS n, CAST(min({c}) AS DOUBLE) AS low, CAST(max({c}) AS DOUBLE) AS high,
@@ -142,13 +142,13 @@ def _box_sql(columns, source):
 
 @query(DIRTY + _box_sql(["amount", "sparse_value", "user_id"], "d"))
 def chart_box(spark, sf):
-    return shaped(charts.box(dirty(spark, sf), ["amount", "sparse_value", "user_id"]))
+    return shaped(charts.box(dirty(spark, sf), ["amount", "sparse_value", "user_id"]), 6)
 
 
 @query(_box_sql(["l_extendedprice"], "lineitem"))
 def custom_box(spark, sf):
     return shaped(
-        charts.custom(lines(spark, sf), ChartRequest("box", y_column="l_extendedprice"), LINE_KEY)
+        charts.custom(lines(spark, sf), ChartRequest("box", y_column="l_extendedprice"), LINE_KEY), 6
     )
 
 

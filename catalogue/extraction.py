@@ -64,6 +64,8 @@ def _untagged(column):
         (r"<!--.*?-->", ""),
         (r"<script[^>]*>.*?</script>", ""),
         (r"<style[^>]*>.*?</style>", ""),
+        # A reference may go without its semicolon in front of a tag.
+        (r"&(amp|lt|gt|quot|copy|middot)<", r"&\1;<"),
         (r"<[^>]+>", ""),
         ("&lt;", "<"),
         ("&gt;", ">"),

@@ -154,11 +154,11 @@ def _fence_sql(columns, source):
 
 @query(
     DIRTY
-    + f"""SELECT "column", round(q1, 4) AS q1, round(q3, 4) AS q3, round(q3 - q1, 4) AS iqr,
-    round(lb, 4) AS lower_bound, round(ub, 4) AS upper_bound FROM ({_fence_sql(DIRTY_NUMBERS, 'd')})"""
+    + f"""SELECT "column", round(q1, 6) AS q1, round(q3, 6) AS q3, round(q3 - q1, 6) AS iqr,
+    round(lb, 6) AS lower_bound, round(ub, 6) AS upper_bound FROM ({_fence_sql(DIRTY_NUMBERS, 'd')})"""
 )
 def iqr_fences(spark, sf):
-    return shaped(TableProfile(dirty(spark, sf)).fences())
+    return shaped(TableProfile(dirty(spark, sf)).fences(), 6)
 
 
 _OUTLIERS = f"""SELECT "column", outside AS outlier_count,

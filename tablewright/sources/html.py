@@ -8,6 +8,8 @@ the same row, so a page never has to be shuffled.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from html import unescape
+from html.entities import html5 as ENTITIES
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -27,7 +29,7 @@ class _Scanner(HTMLParser):
     """Visible text and the cells of every table of one page."""
 
     def __init__(self):
-        super().__init__(convert_charrefs=True)
+        super().__init__(convert_charrefs=False)
         self.stack: list[tuple[str, dict | None]] = []
         self.text: list[str] = []
         self.tables: list[dict] = []
@@ -78,6 +80,13 @@ class _Scanner(HTMLParser):
             if tag in ("td", "th"):
                 node["text"].append(data)
 
+    def handle_entityref(self, name):
+        # An unknown name stays as it is written.
+        self.handle_data(ENTITIES.get(f"{name};", f"&{name}"))
+
+    def handle_charref(self, name):
+        self.handle_data(unescape(f"&#{name};"))
+
     def _open(self, wanted):
         return [node for tag, node in self.stack if tag == wanted]
 

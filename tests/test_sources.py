@@ -72,6 +72,11 @@ def test_html_lines_without_hidden_text(frame):
     assert html.html_text_lines(df, max_lines=1).count() == 2
 
 
+def test_character_references(frame):
+    page = "a&amp;b &copy; &#65;&#x42; &unknown; c&amp<i>d</i> &ampere"
+    assert rows(html.html_text_lines(pages(frame, page))) == [(0, 1, "a&b © AB &unknown c&d &ampere")]
+
+
 def test_text_table(frame):
     df = frame("doc_id int, text string", (1, "name,qty\na,1\nb\nc,2,9\nd  4\r\ne,"), (2, "x\ny"), (3, "h,i"))
     found = textlines.text_table(df).select("doc_id", "headers", "cells")
