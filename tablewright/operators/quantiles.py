@@ -129,21 +129,37 @@ def _by_rank(df, columns, probs, sizes, buffer_values):
     return result
 
 
-def _narrow(df, searches):
-    """Two aggregates: pivots around each rank, then the counts beside them."""
-    sketches = []
+def _pivots(df, searches) -> list[tuple[float, float]]:
+    """Two values around each rank; searches of one interval share a sketch."""
+    slack = 2.0 / SKETCH_ACCURACY
+    shared: dict[tuple, list[int]] = {}
     for i, s in enumerate(searches):
+        shared.setdefault((s.column, s.low, s.high), []).append(i)
+    sketches = []
+    for g, members in enumerate(shared.values()):
+        levels = []
+        for i in members:
+            p = (searches[i].rank + 0.5) / searches[i].inside
+            levels += [F.lit(max(0.0, p - slack)), F.lit(min(1.0, p + slack))]
+        s = searches[members[0]]
         v = number(df, s.column)
-        p = (s.rank + 0.5) / s.inside
-        slack = 2.0 / SKETCH_ACCURACY
-        levels = F.array(F.lit(max(0.0, p - slack)), F.lit(min(1.0, p + slack)))
         inner = F.when(s.within(v), v)
-        sketches.append(F.percentile_approx(inner, levels, SKETCH_ACCURACY).alias(f"p{i}"))
-    pivots = df.agg(*sketches).first()
+        sketches.append(F.percentile_approx(inner, F.array(*levels), SKETCH_ACCURACY).alias(f"p{g}"))
+    row = df.agg(*sketches).first()
+    out = {}
+    for g, members in enumerate(shared.values()):
+        for at, i in enumerate(members):
+            out[i] = tuple(row[f"p{g}"][2 * at : 2 * at + 2])
+    return [out[i] for i in range(len(searches))]
+
+
+def _narrow(df, searches):
+    """Two aggregates: pivots around each rank, then the counts beside them."""
+    pivots = _pivots(df, searches)
     tallies = []
     for i, s in enumerate(searches):
         v = number(df, s.column)
-        a, b = pivots[f"p{i}"]
+        a, b = pivots[i]
         middle = s.within(v, low=a, high=b)
         tallies += [
             F.count_if(s.within(v, high=a)).alias(f"below{i}"),
@@ -154,7 +170,7 @@ def _narrow(df, searches):
         ]
     row = df.agg(*tallies).first()
     for i, s in enumerate(searches):
-        a, b = pivots[f"p{i}"]
+        a, b = pivots[i]
         below, at_a, mid, at_b = (row[f"{k}{i}"] for k in ("below", "a", "mid", "b"))
         if a == b:
             mid = at_b = 0

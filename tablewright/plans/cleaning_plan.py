@@ -190,6 +190,7 @@ class _Run:
         fields = {d.column: self.df.schema[d.column].dataType for d in known}
         facts = self.statistics(known, fields)
         notes: dict[str, list[tuple]] = {d.column: [] for d in segment}
+        self.fill_in_order(known, fields, facts)
         for d in segment:
             if d in known:
                 self.act(d, fields[d.column], facts, notes[d.column])
@@ -300,14 +301,29 @@ class _Run:
         elif d.action == "fill" and nulls:
             self.fill(d, dtype, facts, nulls, notes)
 
+    def fill_in_order(self, known, fields, facts):
+        """All forward fills of a segment in one pass, then all backward fills."""
+        before = self.df
+        for method, step in (("ffill", ordered.fill_forward), ("bfill", ordered.fill_backward)):
+            columns = [
+                d.column
+                for d in known
+                if d.action == "fill"
+                and facts["nulls"][d.column]
+                and self.method_of(d, fields[d.column]) == method
+            ]
+            if columns:
+                self.df = step(self.df, columns, list(self.plan.order_by))
+        if self.df is not before:
+            # Later statistics would repeat the sort.
+            self.df = cut_lineage(self.df)
+
     def fill(self, d, dtype, facts, nulls, notes):
         c, method = d.column, self.method_of(d, dtype)
         left = 0
         if method in ("ffill", "bfill"):
-            forward = method == "ffill"
-            step = ordered.fill_forward if forward else ordered.fill_backward
-            self.df = cut_lineage(step(self.df, [c], list(self.plan.order_by)))
-            value, word = method, "Forward Fill" if forward else "Backward Fill"
+            # The cells are filled already, see ``fill_in_order``.
+            value, word = method, "Forward Fill" if method == "ffill" else "Backward Fill"
             details = f"Imputed {nulls} missing cells via {word} propagation."
             left = nulls if nulls == facts["rows"] else 0
         else:

@@ -189,9 +189,11 @@ def test_columns_without_missing_cells_are_not_logged(frame):
 
 def test_ordered_fill_in_a_plan(spark):
     df = spark.range(20).select("id", F.when(F.col("id") % 4 == 1, F.col("id")).alias("v"))
-    plan = CleaningPlan((ColumnDecision("v", "fill", "ffill"),), order_by=("id",))
-    result = run(df, plan)
+    df = df.withColumn("w", F.col("v"))
+    decisions = (ColumnDecision("v", "fill", "ffill"), ColumnDecision("w", "fill", "bfill"))
+    result = run(df, CleaningPlan(decisions, order_by=("id",)))
     assert column(result.df, "v")[:7] == [1, 1, 1, 1, 1, 5, 5]
+    assert column(result.df, "w")[:7] == [1, 1, 5, 5, 5, 5, 9]
     assert result.audit.first()["after_metrics"]["imputed_value"] == "ffill"
 
 
