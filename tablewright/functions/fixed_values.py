@@ -77,10 +77,44 @@ FENCE_MIN_VALUES = 10
 EMPTY_MODE_TEXT = "Unknown"
 DEFAULT_CONSTANT_TEXT = "Not Specified"
 
+# What the audit trail says about each step.
+AUDIT_TRIM = "Trimmed redundant whitespace across %s column names and %s text fields."
+AUDIT_DUPLICATES = "Removed %s identical duplicate rows across all features."
+AUDIT_KEEP = "Preserved all original values (including %s null entries)."
+AUDIT_REMOVE_COLUMN = "Dropped column '%s' entirely from dataset schema."
+AUDIT_REMOVE_ROWS = "Removed %s rows containing missing values in '%s'."
+AUDIT_FILL = {
+    "mean": "Imputed %s missing cells using column mean (%s).",
+    "median": "Imputed %s missing cells using column median (%s).",
+    "mode": "Imputed %s missing cells using modal frequency ('%s').",
+    "constant": "Imputed %s missing cells with constant value: %s.",
+    "ffill": "Imputed %s missing cells via Forward Fill propagation.",
+    "bfill": "Imputed %s missing cells via Backward Fill propagation.",
+}
+AUDIT_CLIP = "Winsorized/clipped %s outliers to IQR bounds [%s, %s]."
+AUDIT_OUTLIER_ROWS = "Removed %s rows with extreme values in '%s'."
+AUDIT_CONVERT = "Converted data type from '%s' to '%s' (%s)."
+
 # --- charts ----------------------------------------------------------------
+CHART_BAR = ("rec_chart_bar", "bar", "Total %s by %s")
+CHART_HISTOGRAM = ("rec_chart_dist", "histogram", "Distribution of %s")
+CHART_HEATMAP = ("rec_chart_corr", "heatmap", "Feature Correlation Heatmap")
+CHART_SCATTER = ("rec_chart_scatter", "scatter", "%s vs %s")
+CHART_BOX = ("rec_chart_box", "box", "Spread & Outlier Comparison")
+CHART_LINE = ("rec_chart_line", "line", "%s Over Time")
+CHART_PIE = ("rec_chart_pie", "pie", "Share of %s by %s")
+CHART_FREQUENCY = ("rec_chart_cat_bar", "bar", "Frequency of %s")
 TIME_NAME_WORDS = ["date", "time", "year", "month", "day"]
 SAMPLE_SEED = 42
 
+# --- report ----------------------------------------------------------------
+SUMMARY_LABELS = [
+    "Overall Quality Score", "Total Records", "Completeness Index", "Total Features",
+    "Uniqueness Index", "Missing Cells", "Consistency & Validity", "Duplicate Rows",
+]
+OUTLIER_ISSUE = "Tail Outlier (IQR)"
+OUTLIER_RANGE = "Values outside [%s, %s]."
+
 # --- questions -------------------------------------------------------------
 PROCEDURE_WORDS = [
     "step", "steps", "procedure", "how to", "instructions", "workflow", "process to", "guide to",

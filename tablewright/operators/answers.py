@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tablewright.functions.columns import (
     analytic_class,
@@ -289,7 +288,3 @@ def columns_by_class(df: DataFrame) -> DataFrame:
     return small_frame(
         df.sparkSession, rows, "column_index int, column string, data_type string, class string"
     )
-
-
-def is_fractional(dtype: T.DataType) -> bool:
-    return isinstance(dtype, (T.FloatType, T.DoubleType, T.DecimalType))

@@ -289,36 +289,37 @@ def recommend(df: DataFrame, key: list[str]) -> list[Chart]:
     time = pick_time(df)
     charts: list[Chart] = []
 
-    def add(id_, kind, title, data, least=1):
+    def add(chart, names, data, least=1):
         if len(charts) == 6:
             return
         marks = _settled(data)
         if len(marks.take(least)) == least:
-            charts.append(Chart(id_, kind, title, marks))
+            id_, kind, title = chart
+            charts.append(Chart(id_, kind, title % names if names else title, marks))
 
     top = numeric[0] if numeric else None
     if category and top:
-        add("rec_chart_bar", "bar", f"Total {top} by {category}", bar(df, category, top))
+        add(V.CHART_BAR, (top, category), bar(df, category, top))
     if top:
-        add("rec_chart_dist", "histogram", f"Distribution of {top}", histogram(df, top))
+        add(V.CHART_HISTOGRAM, (top,), histogram(df, top))
     varied = [c for c in facts.numeric if facts.unique[c] > 5][:8]
     related = correlation.coefficients(df, varied) if len(varied) >= 2 else {}
-    add("rec_chart_corr", "heatmap", "Feature Correlation Heatmap", heatmap(df, varied, related))
+    add(V.CHART_HEATMAP, (), heatmap(df, varied, related))
     if len(numeric) >= 2:
         x, y = scatter_pair(numeric, related)
         color = category if category and facts.unique[category] <= 15 else None
         marks = scatter(df, x, y, key, color=color)
-        add("rec_chart_scatter", "scatter", f"{x} vs {y}", marks, least=5)
+        add(V.CHART_SCATTER, (x, y), marks, least=5)
     if numeric:
-        add("rec_chart_box", "box", "Spread & Outlier Comparison", box(df, numeric[:4]))
+        add(V.CHART_BOX, (), box(df, numeric[:4]))
     if time and top and len(charts) < 6:
-        add("rec_chart_line", "line", f"{top} Over Time", line(df, time, top))
+        add(V.CHART_LINE, (top,), line(df, time, top))
     if category and top and len(charts) < 6:
-        add("rec_chart_pie", "pie", f"Share of {top} by {category}", pie(df, category, top))
+        add(V.CHART_PIE, (top, category), pie(df, category, top))
     elif not category:
         texts = [c for c in facts.text if facts.unique[c] >= 2]
         if texts:
-            add("rec_chart_cat_bar", "bar", f"Frequency of {texts[0]}", frequency(df, texts[0]))
+            add(V.CHART_FREQUENCY, (texts[0],), frequency(df, texts[0]))
     return charts
 
 

@@ -13,6 +13,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tablewright.functions import fixed_values as V
 from tablewright.functions.columns import clean_value, is_text, number, profile_class, small_frame
 from tablewright.operators import cleaning, frequencies, ordered, quantiles
 from tablewright.plans.profile import TableProfile
@@ -158,8 +159,7 @@ class _Run:
         self.log(
             "trim_spaces",
             "ALL_COLUMNS",
-            f"Trimmed redundant whitespace across {len(renamed)} column names "
-            f"and {len(texts)} text fields.",
+            V.AUDIT_TRIM % (len(renamed), len(texts)),
             "Only spacing changed; values and missing cells are as they were.",
             {"columns_renamed": len(renamed)},
             {"text_columns_sanitized": len(texts)},
@@ -179,7 +179,7 @@ class _Run:
         self.log(
             "remove_duplicates",
             "ALL_COLUMNS",
-            f"Removed {copies} identical duplicate rows across all features.",
+            V.AUDIT_DUPLICATES % copies,
             "The plan asks for one copy of every row.",
             {"duplicate_count": copies, "row_count": rows},
             {"duplicate_count": 0, "row_count": left},
@@ -271,7 +271,7 @@ class _Run:
             notes.append(
                 (
                     "keep",
-                    f"Preserved all original values (including {nulls} null entries).",
+                    V.AUDIT_KEEP % nulls,
                     "The plan keeps this column as it is.",
                     same,
                     same,
@@ -281,7 +281,7 @@ class _Run:
             notes.append(
                 (
                     "remove_column",
-                    f"Dropped column '{c}' entirely from dataset schema.",
+                    V.AUDIT_REMOVE_COLUMN % c,
                     "The plan leaves this column out of the result.",
                     {"column_present": True, "missing_in_col": nulls},
                     {"column_present": False},
@@ -292,7 +292,7 @@ class _Run:
             notes.append(
                 (
                     "remove_rows",
-                    f"Removed {nulls} rows containing missing values in '{c}'.",
+                    V.AUDIT_REMOVE_ROWS % (nulls, c),
                     "The plan needs a value in this column.",
                     {"row_count": rows, "missing_in_col": nulls},
                     {"row_count": rows - nulls, "missing_in_col": 0},
@@ -323,8 +323,7 @@ class _Run:
         left = 0
         if method in ("ffill", "bfill"):
             # The cells are filled already, see ``fill_in_order``.
-            value, word = method, "Forward Fill" if method == "ffill" else "Backward Fill"
-            details = f"Imputed {nulls} missing cells via {word} propagation."
+            value, details = method, V.AUDIT_FILL[method] % nulls
             left = nulls if nulls == facts["rows"] else 0
         else:
             value = self.value_for(d, method, dtype, facts)
@@ -332,12 +331,7 @@ class _Run:
                 left = nulls
             else:
                 self.df = cleaning.fill_value(self.df, c, value)
-            details = {
-                "mean": f"Imputed {nulls} missing cells using column mean ({value}).",
-                "median": f"Imputed {nulls} missing cells using column median ({value}).",
-                "mode": f"Imputed {nulls} missing cells using modal frequency ('{value}').",
-                "constant": f"Imputed {nulls} missing cells with constant value: {value}.",
-            }[method]
+            details = V.AUDIT_FILL[method] % (nulls, value)
         notes.append(
             (
                 "fill",
@@ -390,7 +384,7 @@ class _Run:
                 notes[c].append(
                     (
                         "handle_outliers",
-                        f"Winsorized/clipped {found} outliers to IQR bounds [{low}, {high}].",
+                        V.AUDIT_CLIP % (found, low, high),
                         "The plan keeps these rows with their values at the fences.",
                         {"outlier_count": found, "bounds": [low, high]},
                         {"outlier_count": 0},
@@ -401,7 +395,7 @@ class _Run:
                 notes[c].append(
                     (
                         "remove_outliers_rows",
-                        f"Removed {found} rows with extreme values in '{c}'.",
+                        V.AUDIT_OUTLIER_ROWS % (found, c),
                         "The plan drops rows beyond the fences.",
                         {"rows_prior": row["rows"]},
                         {"rows_remaining": row["rows"] - found},
@@ -416,7 +410,7 @@ class _Run:
         notes.append(
             (
                 "convert_data_type",
-                f"Converted data type from '{old}' to '{d.convert_type.lower()}' ({new}).",
+                V.AUDIT_CONVERT % (old, d.convert_type.lower(), new),
                 "The plan sets this column's type; cells that do not fit are missing.",
                 {"previous_type": old},
                 {"converted_type": new},

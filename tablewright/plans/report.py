@@ -13,16 +13,17 @@ from tablewright.plans.profile import TableProfile, percent
 def summary(profile: TableProfile) -> DataFrame:
     """Eight labelled values."""
     s = profile.scores()
-    rows = [
-        ("Overall Quality Score", f"{s['overall']} / 100"),
-        ("Total Records", f"{profile.rows:,}"),
-        ("Completeness Index", f"{s['completeness']}%"),
-        ("Total Features", str(len(profile.columns))),
-        ("Uniqueness Index", f"{s['uniqueness']}%"),
-        ("Missing Cells", f"{profile.missing:,} ({percent(profile.missing, profile.cells)}%)"),
-        ("Consistency & Validity", f"{s['consistency']}% / {s['validity']}%"),
-        ("Duplicate Rows", f"{profile.duplicates:,}"),
+    values = [
+        f"{s['overall']} / 100",
+        f"{profile.rows:,}",
+        f"{s['completeness']}%",
+        str(len(profile.columns)),
+        f"{s['uniqueness']}%",
+        f"{profile.missing:,} ({percent(profile.missing, profile.cells)}%)",
+        f"{s['consistency']}% / {s['validity']}%",
+        f"{profile.duplicates:,}",
     ]
+    rows = zip(V.SUMMARY_LABELS, values)
     return small_frame(
         profile.spark,
         [(i + 1, *r) for i, r in enumerate(rows)],
@@ -47,9 +48,9 @@ def issues(profile: TableProfile) -> DataFrame:
         (
             100 + i,
             r["column"],
-            "Tail Outlier (IQR)",
+            V.OUTLIER_ISSUE,
             f"{r['outlier_count']} ({r['outlier_percentage']}%)",
-            f"Values outside [{r['lower_bound']}, {r['upper_bound']}].",
+            V.OUTLIER_RANGE % (r["lower_bound"], r["upper_bound"]),
         )
         for i, r in enumerate(profile.outliers().collect()[:4])
     ]
