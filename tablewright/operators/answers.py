@@ -36,7 +36,7 @@ def grouped(df: DataFrame, by: str, value: str, agg: str = "sum") -> DataFrame:
     if agg == "median":
         return quantiles.group_medians(df, by, value)
     return (
-        df.select(ref(by).alias(by), number(df, value).alias("__v"))
+        df.select(clean_value(df, by).alias(by), number(df, value).alias("__v"))
         .where(ref(by).isNotNull())
         .groupBy(ref(by))
         .agg(_aggregate(agg, F.col("__v")).alias("value"))
@@ -67,7 +67,7 @@ def leader_share(df: DataFrame, by: str, value: str) -> DataFrame:
     there are two groups and the leader and the total are positive.
     """
     sums = (
-        df.select(ref(by).alias("k"), number(df, value).alias("v"))
+        df.select(clean_value(df, by).alias("k"), number(df, value).alias("v"))
         .groupBy("k")
         .agg(F.coalesce(F.sum("v"), F.lit(0.0)).alias("value"))
     )

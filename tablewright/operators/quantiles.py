@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tablewright.functions.columns import number, ref
+from tablewright.functions.columns import clean_value, number
 from tablewright.operators import ordered
 
 # Distinct doubles one aggregation buffer may hold (tens of megabytes).
@@ -212,7 +212,7 @@ def group_medians(
     df: DataFrame, by: str, value: str, name: str = "value", buffer_values: int = BUFFER_VALUES
 ) -> DataFrame:
     """Median of ``value`` per non-null ``by``; groups without values are left out."""
-    data = df.select(ref(by).alias("k"), number(df, value).alias("v")).where(
+    data = df.select(clean_value(df, by).alias("k"), number(df, value).alias("v")).where(
         "k is not null and v is not null"
     )
     if data.count() <= buffer_values:

@@ -106,7 +106,7 @@ class TableProfile:
             if any(w in f.name.lower() for w in V.NON_NEGATIVE_WORDS):
                 aggs["neg"] = F.count_if(v < 0)
             if isinstance(f.dataType, (T.FloatType, T.DoubleType)):
-                aggs["whole"] = F.bool_and(v == F.rint(v))
+                aggs["whole"] = F.bool_and((v == F.rint(v)) & (F.abs(v) < float("inf")))
         elif kind == "categorical":
             # Text extremes would force a sort-based aggregate; a hash tells
             # columns with several values apart from possibly constant ones.

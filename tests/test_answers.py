@@ -25,6 +25,12 @@ def test_empty_groups_have_no_mean(sales):
     assert rows(answers.group(sales, "region", "revenue", "median")) == [("east", 5.0), ("north", 20.0)]
 
 
+@pytest.mark.parametrize("agg", ["sum", "median"])
+def test_nan_keys_drop_too(frame, agg):
+    df = frame("k double, v double", (float("nan"), 1.0), (2.0, 3.0))
+    assert rows(answers.group(df, "k", "v", agg)) == [(2.0, 3.0)]
+
+
 def test_booleans_are_summed(sales):
     assert rows(answers.group(sales, "region", "returned"))[1] == ("north", 1.0)
 

@@ -159,6 +159,17 @@ def test_whole_floats_are_flagged_and_sparse_columns_sampled(frame):
     assert samples["late"] == ["500", "501", "502", "503", "504"]
 
 
+def test_infinite_values_are_not_whole_numbers(frame):
+    df = frame("v double", (1.0,), (2.0,), (3.0,), (float("inf"),))
+    assert not TableProfile(df).columns[0]["whole_numbers"]
+
+
+def test_estimates_instead_of_exact_statistics(spark):
+    profile = TableProfile(spark.range(1000), exact=False)
+    assert profile.fence_values["id"]["q1"] == pytest.approx(249.75, abs=2)
+    assert profile.unique_counts["id"] == pytest.approx(1000, rel=0.1)
+
+
 def test_outlier_samples_are_limited_before_the_shuffle(spark, small, plan_text):
     profile = TableProfile(dirty(spark, small), ["event_id"])
     assert "WindowGroupLimit" in plan_text(profile.outlier_samples())
