@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -23,9 +25,29 @@ def configure(spark: SparkSession) -> SparkSession:
     """Apply the library's runtime settings to a session."""
     for key, value in SETTINGS.items():
         spark.conf.set(key, value)
+    ship(spark)
     return spark
 
 
+def ship(spark: SparkSession) -> None:
+    """Give every executor this package, so that its functions can be unpickled anywhere.
+
+    Spark serves the archive to the executors itself; it is made once per application.
+    """
+    context = spark.sparkContext
+    if getattr(context, "_tablewright_shipped", False):
+        return
+    package = os.path.dirname(os.path.abspath(__file__))
+    archive = os.path.join(tempfile.mkdtemp(prefix="tablewright-package-"), "tablewright.zip")
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as out:
+        for folder, _, names in sorted(os.walk(package)):
+            for name in sorted(n for n in names if n.endswith(".py")):
+                path = os.path.join(folder, name)
+                out.write(path, os.path.relpath(path, os.path.dirname(package)))
+    context.addPyFile(archive)
+    context._tablewright_shipped = True
+
+
 def shared_folder(spark: SparkSession) -> str | None:
     """The folder every executor can reach, or None when the cluster names none.
 
