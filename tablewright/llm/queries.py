@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tablewright.llm import bpe, packing
+from tablewright.llm import bpe, embeddings, maxscore, packing, setsketch
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -25,6 +26,18 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@_query()
+def op1_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors with a cosine of 0.95 or more, whatever their labels."""
+    return embeddings.links(_table(spark, sf_dir, "embeddings"))
+
+
+@_query()
+def op5_maxscore(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 best inner products of every twentieth vector with all others."""
+    return maxscore.search(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 @_query()
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every whole text encoded and decoded, as digests."""
@@ -32,6 +45,12 @@ def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(_table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
 
 
+@_query()
+def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts that share three quarters of their five-word shingles."""
+    return setsketch.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 @_query()
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in sequences of at most 1,024 tokens and 512 segments."""
