@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablewright.llm import bpe, embeddings, maxscore, packing, setsketch
+from tablewright.llm import bpe, embeddings, kdtree, licenses, maxscore, packing, setsketch
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -32,6 +32,13 @@ def op1_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embeddings.links(_table(spark, sf_dir, "embeddings"))
 
 
+@_query()
+def op4_kd_tree_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in 40 shards of nearly equal bytes."""
+    dimensions = {"length": kdtree.magnitude(F.octet_length("text")), "lang": kdtree.category("lang"), "source": kdtree.category("source")}
+    return kdtree.shard(_table(spark, sf_dir, "documents"), dimensions)
+
+
 @_query()
 def op5_maxscore(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 20 best inner products of every twentieth vector with all others."""
@@ -45,6 +52,12 @@ def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(_table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
 
 
+@_query(licenses.oracle())
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License notices in all whole texts."""
+    return licenses.scan(_table(spark, sf_dir, "documents"))
+
+
 @_query()
 def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts that share three quarters of their five-word shingles."""
