@@ -6,10 +6,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablewright.llm import bpe, embeddings, kdtree, licenses, maxscore, packing, setsketch
+from tablewright.llm import bpe, ctw, embeddings, kdtree, licenses, maxscore, packing, pii, setsketch, toxicity
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
+TOXIC = 0.3
 
 
 def _query(sql: str | None = None):
@@ -32,6 +33,21 @@ def op1_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embeddings.links(_table(spark, sf_dir, "embeddings"))
 
 
+@_query()
+def op2_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in all whole texts."""
+    docs = _table(spark, sf_dir, "documents")
+    return pii.find(docs, pii.fit(docs))
+
+
+@_query()
+def op3_context_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log-probabilities of all texts, learnt from nine tenths of the ids."""
+    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 10 == 0
+    scored = ctw.score(_table(spark, sf_dir, "documents"), ~held_out)
+    return scored.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte")
+
+
 @_query()
 def op4_kd_tree_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in 40 shards of nearly equal bytes."""
@@ -64,8 +80,24 @@ def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return setsketch.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+@_query()
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of all documents; a quarter of the ids is held out from training."""
+    docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
+    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2
+    scored = toxicity.score(docs, toxicity.fit(docs, labels, ~held_out))
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= TOXIC).cast("int").alias("predicted"), F.size("spans").cast("long").alias("n_spans"))
+
+
 @_query()
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in sequences of at most 1,024 tokens and 512 segments."""
-    path = public_tokenizers.path("byte_bpe_50k.json")
-    return packing.pack_documents(_table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
+    return packing.pack_documents(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@_query()
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity, near-duplicates, personal data and packing, one after the other."""
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)

@@ -15,6 +15,8 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
+# Everything in ASCII but letters and digits, for tokens without punctuation.
+PUNCTUATION = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63], U64)
 _TAIL = np.array([0] + [(1 << (8 * k)) - 1 for k in range(1, 9)], U64)
 
@@ -39,12 +41,15 @@ def buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return out, offsets - offsets[0]
 
 
-def word_spans(data: np.ndarray, borders: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start and end of every word, and for each text how many words lie before it (n + 1 values)."""
+def word_spans(data: np.ndarray, borders: np.ndarray, between: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start and end of every word, and for each text how many words lie before it (n + 1 values).
+
+    ``between`` says which bytes separate words.
+    """
     n = len(data) - 8
     if n == 0:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(borders), np.int64)
-    inside = ~_SPACE[data[:n]]
+    inside = ~between[data[:n]]
     first = inside.copy()
     first[1:] &= ~inside[:-1]
     last = inside.copy()
@@ -95,6 +100,16 @@ def shingles(words: np.ndarray, counts: np.ndarray, k: int) -> list[np.ndarray]:
     return out
 
 
+def slices(batch: pa.RecordBatch, column: int = 1, limit: int = 1 << 22):
+    """Parts of a batch with about ``limit`` bytes of text: numpy's copies stay small."""
+    sizes = np.asarray(pc.fill_null(pc.binary_length(batch.column(column)), 0), dtype=np.int64)
+    part = np.cumsum(sizes) // limit
+    cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(sizes)]
+    for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+        if b > a:
+            yield batch.slice(a, b - a)
+
+
 def text_shingles(texts: pa.Array, k: int) -> list[np.ndarray]:
     data, borders = buffers(texts)
     starts, ends, counts = word_spans(data, borders)
