@@ -12,9 +12,10 @@ The search:
 2. bands of registers are hashed; in each bucket all classes are compared with its smallest one
    (a star, not all pairs). Likely pairs are verified on full shingle sets, and links give
    components;
-3. buckets that still hold different components are compared in full, in blocks inside a task,
-   and only likely pairs between components that share no earlier band leave it, to be verified
-   in the same way. After that no bucket holds an unseen link.
+3. buckets that still hold different components are compared in full, in blocks inside a task.
+   Sketches tell which members may have a link into another component; only those get their full
+   sets, and the same blocks verify them. Only links leave a block, one for each join of two
+   components, never pairs. After that no bucket holds an unseen link.
 
 A pair at the threshold shares no bucket with a probability of 5e-6, and less above it.
 """
@@ -32,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tablewright.llm import graph
-from tablewright.llm.words import U64, mix, text_shingles
+from tablewright.llm.words import U64, mix, slices, text_shingles
 from tablewright.session import cut_lineage
 
 _STEP = U64(0x9E3779B97F4A7C15)
@@ -112,15 +113,18 @@ def log_likelihoods(larger, smaller, size_a, size_b, registers: int, base: float
 
 
 def likely(a: np.ndarray, b: np.ndarray, size_a: np.ndarray, size_b: np.ndarray, plan: SketchPlan) -> np.ndarray:
-    """Which pairs of rows of registers may reach the similarity."""
+    """Which pairs of rows of registers may reach the similarity. ``a`` may be one row for all."""
     wanted = plan.percent / 100
-    fits = np.minimum(size_a, size_b) >= wanted * np.maximum(size_a, size_b)
-    out = np.zeros(len(a), bool)
-    if not fits.any():
-        return out
-    a, b, size_a, size_b = a[fits], b[fits], size_a[fits].astype(float), size_b[fits].astype(float)
-    larger, smaller = (a > b).sum(axis=1), (a < b).sum(axis=1)
-    out[fits] = _may_reach(larger, smaller, size_a, size_b, plan)
+    out = np.minimum(size_a, size_b) >= wanted * np.maximum(size_a, size_b)
+    # Registers agree with a probability of at least the similarity: six deviations off is far.
+    far = plan.registers * wanted - 6 * math.sqrt(plan.registers * wanted * (1 - wanted))
+    at = np.flatnonzero(out)
+    at = at[np.count_nonzero((a if len(a) == 1 else a[at]) == b[at], axis=1) >= far]
+    out[:] = False
+    if len(at):
+        a = a if len(a) == 1 else a[at]
+        larger, smaller = np.count_nonzero(a > b[at], axis=1), np.count_nonzero(a < b[at], axis=1)
+        out[at] = _may_reach(larger, smaller, size_a[at].astype(float), size_b[at].astype(float), plan)
     return out
 
 
@@ -140,7 +144,7 @@ def _scanned(docs: DataFrame, plan: SketchPlan, id_col: str, text_col: str) -> D
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in _slices(batch):
+            for part in slices(batch):
                 sets = text_shingles(part.column(1), plan.shingle)
                 registers = sketch(sets, plan.registers, plan.base)
                 names = np.array([_name(s) for s in sets], U64).view(np.int64).reshape(len(sets), 2)
@@ -169,18 +173,6 @@ def _name(hashes: np.ndarray) -> tuple[int, int]:
     return int(a.sum(dtype=U64)), int(b.sum(dtype=U64))
 
 
-def _slices(batch: pa.RecordBatch, limit: int = 1 << 22) -> Iterator[pa.RecordBatch]:
-    """Parts of a batch of about ``limit`` bytes of text: numpy's copies stay small."""
-    import pyarrow.compute as pc
-
-    sizes = np.asarray(pc.fill_null(pc.binary_length(batch.column(1)), 0), dtype=np.int64)
-    part = np.cumsum(sizes) // limit
-    cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(sizes)]
-    for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-        if b > a:
-            yield batch.slice(a, b - a)
-
-
 def _band_rows(classes: DataFrame, plan: SketchPlan) -> DataFrame:
     """A row for each class and band: hash of the band's registers."""
 
@@ -221,65 +213,108 @@ def _estimated(pairs: DataFrame, classes: DataFrame, plan: SketchPlan) -> DataFr
     return joined.mapInArrow(run, "a long, b long")
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, plan: SketchPlan, id_col: str, text_col: str) -> DataFrame:
-    """The pairs that reach the similarity on full shingle sets, made anew from the texts."""
-    needed = cut_lineage(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
+def _sets(ids: DataFrame, docs: DataFrame, plan: SketchPlan, id_col: str, text_col: str) -> DataFrame:
+    """Full shingle sets of the documents in ``ids``, made anew from the texts."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in _slices(batch):
+            for part in slices(batch):
                 found = [s.tobytes() for s in text_shingles(part.column(1), plan.shingle)]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(found, pa.binary())], ["id", "elements"])
 
-    full = cut_lineage(_texts(docs, id_col, text_col).join(needed, "id", "left_semi").dropDuplicates(["id"]).mapInArrow(sets, "id long, elements binary"))
+    needed = cut_lineage(ids.distinct())
+    texts = _texts(docs, id_col, text_col).join(needed, "id", "left_semi").dropDuplicates(["id"])
+    return cut_lineage(texts.mapInArrow(sets, "id long, elements binary"))
+
+
+def _similar(p: np.ndarray, q: np.ndarray, percent: int) -> bool:
+    both = np.concatenate([p, q])
+    both.sort()
+    common = int(np.count_nonzero(both[1:] == both[:-1]))
+    return len(p) > 0 and 100 * common >= percent * (len(both) - common)
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, plan: SketchPlan) -> DataFrame:
+    """The pairs (a, b) that reach the similarity on full sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = []
-            for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                p, q = (np.frombuffer(c.as_buffer(), U64) for c in (x, y))
-                common = len(p) + len(q) - len(np.union1d(p, q))
-                keep.append(bool(len(p)) and 100 * common >= plan.percent * (len(p) + len(q) - common))
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(keep, pa.bool_())), batch.column(1).filter(pa.array(keep, pa.bool_()))], ["a", "b"])
-
-    side = lambda c: full.select(F.col("id").alias(c), F.col("elements").alias(f"e_{c}"))
+            keep = pa.array(
+                [_similar(np.frombuffer(x.as_buffer(), U64), np.frombuffer(y.as_buffer(), U64), plan.percent) for x, y in zip(batch.column(2), batch.column(3), strict=True)],
+                pa.bool_(),
+            )
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], ["a", "b"])
+
+    side = lambda c: sets.select(F.col("id").alias(c), F.col("elements").alias(f"e_{c}"))
     joined = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "e_a", "e_b")
     return cut_lineage(joined.mapInArrow(run, "a long, b long"))
 
 
-def _between_components(rows: DataFrame, plan: SketchPlan) -> DataFrame:
-    """Likely pairs of different components in each bucket that holds several.
-
-    ``rows`` has key, rep, component, n, registers. Large buckets are cut into blocks by a hash;
-    each pair of blocks meets once.
-    """
+def _in_blocks(rows: DataFrame, plan: SketchPlan) -> DataFrame:
+    """Rows of buckets dealt to pairs of blocks (key, i, j): large buckets are cut by a hash."""
     size = cut_lineage(rows.groupBy("key").agg(F.count("rep").alias("members")))
-    blocks = F.ceil(F.col("members") / plan.block)
     own = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
     other = F.explode(F.sequence(F.lit(0), (F.col("blocks") - 1).cast("int")))
-    dealt = rows.join(size, "key").withColumn("blocks", blocks).withColumn("own", own).withColumn("other", other)
-    dealt = dealt.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other"))
-
-    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        registers = _registers(pdf["registers"], plan)
-        reps, comps, n, own_block = (pdf[c].to_numpy() for c in ("rep", "component", "n", "own"))
-        keys = band_keys(registers, plan)
-        band = int(np.flatnonzero((keys == pdf["key"].to_numpy().view(U64)[:1, None]).all(axis=0))[0])
-        two_blocks = pdf["i"].iloc[0] != pdf["j"].iloc[0]
+    dealt = rows.join(size, "key").withColumn("blocks", F.ceil(F.col("members") / plan.block)).withColumn("own", own).withColumn("other", other)
+    return dealt.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other")).drop("other", "blocks", "members")
+
+
+def _likely_in_block(pdf: pd.DataFrame, plan: SketchPlan) -> Iterator[tuple[int, np.ndarray]]:
+    """Each row's later rows of other components that it may be linked with.
+
+    A pair is dealt with in the first band that it shares, and in its own pair of blocks.
+    """
+    registers = _registers(pdf["registers"], plan)
+    comps, n, own_block = (pdf[c].to_numpy() for c in ("component", "n", "own"))
+    keys = band_keys(registers, plan)
+    band = int(np.flatnonzero((keys == pdf["key"].to_numpy().view(U64)[:1, None]).all(axis=0))[0])
+    two_blocks = pdf["i"].iloc[0] != pdf["j"].iloc[0]
+    for x in range(len(comps) - 1):
+        y = np.arange(x + 1, len(comps))
+        y = y[comps[y] != comps[x]]
+        if two_blocks:
+            y = y[own_block[y] != own_block[x]]
+        if len(y):
+            y = y[likely(registers[x : x + 1], registers[y], np.full(len(y), n[x]), n[y], plan)]
+        if band and len(y):
+            y = y[~(keys[y, :band] == keys[x, :band]).any(axis=1)]
+        if len(y):
+            yield x, y
+
+
+def _between_components(rows: DataFrame, docs: DataFrame, plan: SketchPlan, id_col: str, text_col: str) -> DataFrame:
+    """Links (a, b) between components that share buckets; rows: key, rep, component, n, registers."""
+    dealt = cut_lineage(_in_blocks(rows, plan))
+
+    def involved(pdf: pd.DataFrame) -> pd.DataFrame:
+        marked = np.zeros(len(pdf), bool)
+        for x, y in _likely_in_block(pdf, plan):
+            marked[x] = marked[y] = True
+        return pdf.loc[marked, ["key", "i", "j", "rep"]]
+
+    def verify(pdf: pd.DataFrame) -> pd.DataFrame:
+        reps, comps = pdf["rep"].to_numpy(), pdf["component"].to_numpy()
+        sets = [np.frombuffer(e, U64) for e in pdf["elements"]]
+        joined: dict[int, int] = {}
+
+        def root(c: int) -> int:
+            while c in joined:
+                c = joined[c]
+            return c
+
         found = []
-        for x in range(len(reps)):
-            y = np.arange(x + 1, len(reps))
-            y = y[comps[y] != comps[x]]
-            if two_blocks:
-                y = y[own_block[y] != own_block[x]]
-            # A pair is dealt with in the first band that it shares.
-            y = y[~(keys[y, :band] == keys[x, :band]).any(axis=1)] if band else y
-            if len(y):
-                keep = likely(np.broadcast_to(registers[x], (len(y), plan.registers)), registers[y], np.full(len(y), n[x]), n[y], plan)
-                found += [(max(reps[x], reps[k]), min(reps[x], reps[k])) for k in y[keep]]
+        for x, several in _likely_in_block(pdf, plan):
+            for y in several:
+                a, b = root(comps[x]), root(comps[y])
+                if a != b and _similar(sets[x], sets[y], plan.percent):
+                    joined[max(a, b)] = min(a, b)
+                    found.append((reps[x], reps[y]))
         return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
 
-    return dealt.groupBy("key", "i", "j").applyInPandas(compare, "a long, b long").distinct()
+    marked = cut_lineage(dealt.groupBy("key", "i", "j").applyInPandas(involved, "key long, i int, j int, rep long"))
+    sets = _sets(marked.select(F.col("rep").alias("id")), docs, plan, id_col, text_col)
+    again = dealt.join(marked, ["key", "i", "j", "rep"]).join(sets.withColumnRenamed("id", "rep"), "rep")
+    return cut_lineage(again.groupBy("key", "i", "j").applyInPandas(verify, "a long, b long"))
 
 
 def near_duplicates(docs: DataFrame, plan: SketchPlan = SketchPlan(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -300,15 +335,16 @@ def near_duplicates(docs: DataFrame, plan: SketchPlan = SketchPlan(), id_col: st
     shared = cut_lineage(bands.join(hubs, "key").select("key", "rep", "hub"))
     star = shared.where("rep <> hub").select(F.col("rep").alias("a"), F.col("hub").alias("b")).distinct()
     tested = cut_lineage(_estimated(star, classes, plan))
-    links = _verified(tested, docs, plan, id_col, text_col)
+    sets = _sets(tested.select(F.explode(F.array("a", "b")).alias("id")), docs, plan, id_col, text_col)
+    links = _verified(tested, sets, plan)
     found = graph.components(links)
 
     named = lambda comps: F.coalesce(comps["component"], F.col("rep")).alias("component")
     current = cut_lineage(shared.join(found, shared["rep"] == found["node"], "left").select("key", "rep", named(found)))
     mixed = cut_lineage(current.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("key"))
     open_rows = current.join(mixed, "key").join(classes.select("rep", "n", "registers"), "rep")
-    rest = cut_lineage(_between_components(open_rows.select("key", "rep", "component", "n", "registers"), plan).join(tested, ["a", "b"], "left_anti"))
-    links = links.unionByName(_verified(rest, docs, plan, id_col, text_col))
+    open_rows = open_rows.select("key", "rep", "component", "n", "registers")
+    links = links.unionByName(_between_components(open_rows, docs, plan, id_col, text_col))
     found = graph.components(links)
 
     members = full.join(classes.select("name_a", "name_b", "n", "rep"), ["name_a", "name_b", "n"])
