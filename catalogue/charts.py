@@ -259,7 +259,7 @@ def custom_bar_color(spark, sf):
 
 @query(
     """SELECT o_orderstatus AS x, round(o_totalprice, 4) AS y FROM orders
-    ORDER BY o_orderdate, o_orderkey LIMIT 30"""
+    WHERE o_totalprice IS NOT NULL"""
 )
 def custom_bar_raw(spark, sf):
     request = ChartRequest("bar", "o_orderstatus", "o_totalprice")
@@ -268,7 +268,7 @@ def custom_bar_raw(spark, sf):
 
 _SERIES = """SELECT row_number() OVER (ORDER BY o_orderdate, o_orderkey) - 1 AS position,
     CAST(o_orderkey AS VARCHAR) AS x, round(o_totalprice, 4) AS y FROM orders
-    ORDER BY o_orderdate, o_orderkey LIMIT 800"""
+"""
 
 
 def _series_query(kind):

@@ -8,7 +8,7 @@ from catalogue.registry import query, shaped
 from catalogue.views import DIRTY, DIRTY_COLUMNS, dirty
 from tablewright.operators import cleaning, frequencies, ordered
 from tablewright.plans.cleaning_plan import CleaningPlan, ColumnDecision, run
-from tablewright.session import shared_folder
+from tablewright.session import scratch_path
 from tablewright.sources import sinks
 
 ORDER = ["event_id"]
@@ -259,7 +259,7 @@ def clean_quality_diff(spark, sf):
 def audit_log(spark, sf):
     """The audit written twice under one dataset and once under another, then read back."""
     audit = run(dirty(spark, sf), PLAN).audit
-    path = f"{shared_folder(spark)}/tablewright-audit-{sf.strip('/').replace('/', '_')}"
+    path = scratch_path(spark, "audit-")
     for dataset in ("events", "other", "events"):
         sinks.write_audit(audit, path, dataset)
     log = sinks.read_audit(spark, path, "events")
@@ -284,7 +284,7 @@ def report_audit(spark, sf):
 @query(DIRTY + "SELECT event_id, event_type, amount, label_text, flag_text FROM d")
 def sink_clean(spark, sf):
     """Write Parquet and read it back as the current table."""
-    path = f"{shared_folder(spark)}/tablewright-clean-{sf.strip('/').replace('/', '_')}.parquet"
+    path = scratch_path(spark, "clean-") + ".parquet"
     kept = dirty(spark, sf).select("event_id", "event_type", "amount", "label_text", "flag_text")
     sinks.write_clean(kept, path)
     return shaped(sinks.current_table(spark, f"{path}-absent", path))

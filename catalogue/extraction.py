@@ -6,14 +6,10 @@ from pyspark.sql import functions as F
 
 from catalogue.registry import query, shaped
 from catalogue.views import table
-from tablewright.session import shared_folder
+from tablewright.session import scratch_path
 from tablewright.sources import delimited, dot, html, textlines
 
 
-def scratch(spark, sf, name):
-    return f"{shared_folder(spark)}/tablewright-{name}-{sf.strip('/').replace('/', '_')}"
-
-
 # --- HTML -------------------------------------------------------------------------------
 
 
@@ -184,7 +180,7 @@ def dot_lines(spark, sf):
 @query("SELECT c_custkey, c_name, CAST(c_nationkey AS BIGINT) AS c_nationkey, c_acctbal, c_mktsegment FROM customer")
 def src_csv(spark, sf):
     """Write the customers as CSV, read them back with inferred types."""
-    path = scratch(spark, sf, "csv")
+    path = scratch_path(spark, "csv")
     table(spark, sf, "customer").write.mode("overwrite").option("header", True).csv(path)
     return shaped(delimited.read_csv(spark, path))
 
@@ -196,7 +192,7 @@ def src_csv(spark, sf):
 )
 def src_csv_bad(spark, sf):
     """Ragged lines: one in ten too long, two in ten too short."""
-    path = scratch(spark, sf, "ragged")
+    path = scratch_path(spark, "ragged")
     lines = table(spark, sf, "customer").selectExpr(
         """CASE c_custkey % 10 WHEN 3 THEN concat(c_custkey, '')
         WHEN 5 THEN concat(c_custkey, ',', c_nationkey)
@@ -206,3 +202,19 @@ def src_csv_bad(spark, sf):
     # A separator the text never contains: the lines are written as they are.
     lines.write.mode("overwrite").option("header", True).option("sep", "\u0001").csv(path)
     return shaped(delimited.read_csv(spark, path))
+
+
+@query(
+    """SELECT c_custkey, concat(CASE c_custkey % 3 WHEN 0 THEN 'Zoë ' WHEN 1 THEN 'José ' ELSE '5" pipe ' END, c_name) AS label
+    FROM customer"""
+)
+def src_csv_mixed(spark, sf):
+    """A folder of one UTF-8, one Latin-1, and one file with stray quotes."""
+    path = scratch_path(spark, "mixed")
+    for kind, (word, charset) in enumerate((("Zoë", "UTF-8"), ("José", "ISO-8859-1"), ('5" pipe', "UTF-8"))):
+        lines = table(spark, sf, "customer").where(F.col("c_custkey") % 3 == kind)
+        lines = lines.select(F.concat("c_custkey", F.lit(f",{word} "), "c_name").alias("c_custkey,label"))
+        # A separator and a quote that the text never contains: lines are written as they are.
+        options = {"header": True, "sep": "\u0001", "quote": "\u0002", "encoding": charset}
+        lines.coalesce(1).write.mode("append").options(**options).csv(path)
+    return shaped(delimited.read_csv(spark, path))

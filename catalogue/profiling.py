@@ -8,7 +8,7 @@ from catalogue.registry import query, shaped
 from catalogue.views import DIRTY, DIRTY_COLUMNS, dirty, table
 from tablewright.functions import fixed_values as V
 from tablewright.operators import answers, frequencies
-from tablewright.plans import detect
+from tablewright.plans import detect, report
 from tablewright.plans.profile import TableProfile
 from tablewright.sources.delimited import inferred_types
 
@@ -397,16 +397,16 @@ def skew_patterns(spark, sf):
     + f""", issues AS (SELECT row_number() OVER () AS n, * FROM ({_ISSUES})),
     ranked AS (SELECT *, CASE issue_type WHEN '{V.ISSUE_NEGATIVE}' THEN 1 WHEN '{V.ISSUE_MISSING}'
       THEN 2 ELSE 3 END AS k FROM issues)
-    SELECT row_number() OVER (ORDER BY part, k) AS step, recommendation FROM (
-      SELECT 1 AS part, k, concat(issue_type, ' in ''', "column", ''': ', description)
+    SELECT row_number() OVER (ORDER BY part, k, i) AS step, recommendation FROM (
+      SELECT 1 AS part, k, n AS i, concat(issue_type, ' in ''', "column", ''': ', description)
         AS recommendation FROM ranked
-      UNION ALL (SELECT 2, 0, concat('Investigate outliers in ''', "column", ''' (', outside,
+      UNION ALL (SELECT 2, 0, i, concat('Investigate outliers in ''', "column", ''' (', outside,
         ' values outside IQR bounds).') FROM ({_fence_sql(DIRTY_NUMBERS, 'd')})
-        WHERE q3 > q1 AND outside > 0 ORDER BY i LIMIT 1)
-      UNION ALL (SELECT 3, 0, concat('Address ', format('{{:,}}', null_count),
+        WHERE q3 > q1 AND outside > 0)
+      UNION ALL (SELECT 3, 0, 0, concat('Address ', format('{{:,}}', null_count),
         ' missing values in ''', "column", ''' before analysis.') FROM ({_MISSING})
         WHERE null_count > 0 ORDER BY null_count DESC, column_index LIMIT 1)
-      UNION ALL SELECT 4, 0, concat('Remove ', format('{{:,}}', ({_COPIES})),
+      UNION ALL SELECT 4, 0, 0, concat('Remove ', format('{{:,}}', ({_COPIES})),
         ' duplicate rows to ensure analysis accuracy.'))"""
 )
 def next_investigations(spark, sf):
@@ -459,7 +459,7 @@ def _type_sql(c: str) -> str:
       count(*) FILTER (coalesce(try_cast(w AS TIMESTAMP), try_strptime(w, '%m/%d/%Y')) IS NOT NULL)
         / count(*) AS t,
       avg(length(w)) AS len, string_agg(v, ', ' ORDER BY p) FILTER (p <= 3) AS three
-      FROM ({sample}) WHERE p <= 50"""
+      FROM ({sample})"""
 
 
 _TYPES = f"""SELECT "column", 'text/string' AS current_type, kind AS suggested_type,
@@ -510,3 +510,35 @@ for _key, _current, _suggested in [
     ("type_issue_whole_float", "decimal/float", "integer"),
 ]:
     _register_kind(_key, _current, _suggested)
+
+
+# Numbers in the first sixty rows only: a column is judged by all its values.
+_LATE = """SELECT event_id, CASE WHEN event_id < 60 THEN CAST(user_id AS VARCHAR) ELSE event_type END AS turns_to_text,
+    CASE WHEN event_id < 60 THEN event_type ELSE CAST(user_id AS VARCHAR) END AS turns_to_number FROM events"""
+
+
+@query(
+    f"""SELECT 'turns_to_number' AS "column", 'text/string' AS current_type, 'integer' AS suggested_type,
+    pyround(share, 2) AS confidence, concat(CAST(round(share * 100) AS BIGINT), '{V.REASON_INTEGER[2:].replace("%%", "%")}') AS reason
+    FROM (SELECT count(*) FILTER (regexp_full_match(turns_to_number, '-?\\d+')) / count(*) AS share FROM ({_LATE}))"""
+)
+def type_issues_of_all_values(spark, sf):
+    events = table(spark, sf, "events")
+    early = F.col("event_id") < 60
+    number = F.col("user_id").cast("string")
+    late = events.select(
+        "event_id",
+        F.when(early, number).otherwise(F.col("event_type")).alias("turns_to_text"),
+        F.when(early, F.col("event_type")).otherwise(number).alias("turns_to_number"),
+    )
+    return detect.type_issues(TableProfile(late, ORDER)).drop("column_index")
+
+
+@query()
+def report_summary(spark, sf):
+    return report.summary(TableProfile(dirty(spark, sf), ORDER))
+
+
+@query()
+def report_issues(spark, sf):
+    return report.issues(TableProfile(dirty(spark, sf), ORDER))

@@ -64,11 +64,6 @@ def number(df: DataFrame, name: str) -> Column:
     return clean_value(df, name).cast("double")
 
 
-def nan_to_null(df: DataFrame) -> DataFrame:
-    """One projection that turns every NaN into null."""
-    return df.select(*[clean_value(df, c).alias(c) for c in df.columns])
-
-
 def comparable(c: Column) -> Column:
     """Number as written text; −0.0 and 0.0 are one value."""
     return (c + F.lit(0.0)).cast("string")

@@ -160,3 +160,6 @@ DOT_EDGE_PATTERN = (
 )
 DOT_NODE_PATTERN = r"""(?U)(?<!["'\w])["'\w]++\s*+\[[^\]]*+\]"""
 DOT_WEIGHT_PATTERN = r"weight\s*=\s*([0-9.]+)"
+
+# The slice that holds all groups a pie does not show.
+OTHER_SLICE = "Other"

@@ -161,6 +161,21 @@ def _handed_over(bucketed, columns, order_by, forward) -> DataFrame:
     )
 
 
+def numbered(df: DataFrame, order_by: list[str], rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
+    """Add ``__position``: 0, 1, … in key order, counted bucket by bucket."""
+    bucketed = with_bucket(df, order_by, rows_per_bucket)
+    sizes = bucketed.groupBy("bucket").agg(F.count("*").alias("n")).orderBy("bucket").collect()
+    starts, before = [], 0
+    for r in sizes:
+        starts.append((r["bucket"], before))
+        before += r["n"]
+    offsets = small_frame(df.sparkSession, starts, "bucket int, __before bigint")
+    place = F.row_number().over(Window.partitionBy("bucket").orderBy(*[ref(c) for c in order_by])) - 1
+    # Bounded side: one row per bucket.
+    joined = bucketed.withColumn("__place", place).join(F.broadcast(offsets), "bucket")
+    return joined.withColumn("__position", F.col("__before") + F.col("__place")).drop("bucket", "__before", "__place")
+
+
 def preview(df: DataFrame, n: int, order_by: list[str]) -> DataFrame:
     """The first ``n`` rows in key order."""
     return first_rows(df, n, [ref(c) for c in order_by])

@@ -8,9 +8,8 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from tablewright.functions import fixed_values as V
 from tablewright.functions.columns import (
@@ -41,6 +40,10 @@ class ChartRequest:
     color_column: str | None = None
     aggregation: str = "none"
     title: str | None = None
+    # Groups shown by bars and slices; the rest of a pie is one slice of its own.
+    top: int = 20
+    # Points of a line, an area or raw bars; None shows all.
+    points: int | None = None
 
 
 @dataclass
@@ -113,14 +116,22 @@ def bar(df: DataFrame, by: str, metric: str, top: int = 15) -> DataFrame:
 
 
 def pie(df: DataFrame, by: str, metric: str, top: int = 10) -> DataFrame:
-    """Largest totals and their share of the shown slices; at least three slices."""
+    """Largest totals, all others as one slice, and shares of the whole; at least three slices."""
     slices = _labelled(_at_least(answers.group(df, by, metric, "sum", top=top), 3), by)
+    slices = slices.unionByName(_others(df.where(ref(by).isNotNull()), slices, F.sum(number(df, metric))))
     whole = slices.agg(F.sum("value")).scalar()
     return slices.withColumn(
         "share_percent", F.round(F.try_divide(F.col("value"), whole) * 100, 2)
     )
 
 
+def _others(df: DataFrame, shown: DataFrame, total: Column) -> DataFrame:
+    """What the slices shown leave of the whole; no row if they leave nothing."""
+    sums = shown.agg(F.sum("value").alias("part"), F.count("value").alias("slices"))
+    rest = sums.withColumn("value", F.round(df.agg(total.cast("double").alias("t")).scalar() - F.col("part"), 2))
+    return rest.where("slices > 0 and abs(value) >= 0.01").select(F.lit(V.OTHER_SLICE).alias("label"), "value")
+
+
 def frequency(df: DataFrame, column: str, top: int = 15) -> DataFrame:
     """Most frequent values; no rows unless two exist."""
     counted = _at_least(answers.value_counts(df, column, top=top), 2)
@@ -247,21 +258,15 @@ def box(df: DataFrame, columns: list[str]) -> DataFrame:
     return small_frame(df.sparkSession, rows, BOX_SCHEMA)
 
 
-def line(df: DataFrame, time: str, metric: str) -> DataFrame:
-    """``metric`` over time; above 500 points month-end totals with empty months as 0."""
+def line(df: DataFrame, time: str, metric: str, by_month: bool = True) -> DataFrame:
+    """``metric`` over time: month-end totals with empty months as 0, or every point."""
     kind = profile_class(df.schema[time].dataType)
     when = ref(time).cast("timestamp_ntz") if kind == "datetime" else to_datetime(ref(time))
     points = df.select(when.alias("t"), number(df, metric).alias("v")).where(
         "t is not null and v is not null"
     )
-    # ``take`` stops reading at 501 rows, which settles the form.
-    found = len(points.select(F.lit(1)).take(501))
-    if found <= 500:
-        return (
-            points.orderBy("t", "v")
-            .limit(500 if found >= 5 else 0)
-            .select(F.col("t").alias("time"), F.round("v", 2).alias("value"))
-        )
+    if not by_month:
+        return points.select(F.col("t").alias("time"), F.round("v", 2).alias("value")).orderBy("time", "value")
     monthly = points.groupBy(F.last_day("t").alias("month")).agg(F.sum("v").alias("v"))
     months = monthly.agg(
         F.explode(
@@ -302,7 +307,7 @@ def recommend(df: DataFrame, key: list[str]) -> list[Chart]:
         add(V.CHART_BAR, (top, category), bar(df, category, top))
     if top:
         add(V.CHART_HISTOGRAM, (top,), histogram(df, top))
-    varied = [c for c in facts.numeric if facts.unique[c] > 5][:8]
+    varied = [c for c in facts.numeric if facts.unique[c] > 5]
     related = correlation.coefficients(df, varied) if len(varied) >= 2 else {}
     add(V.CHART_HEATMAP, (), heatmap(df, varied, related))
     if len(numeric) >= 2:
@@ -311,7 +316,7 @@ def recommend(df: DataFrame, key: list[str]) -> list[Chart]:
         marks = scatter(df, x, y, key, color=color)
         add(V.CHART_SCATTER, (x, y), marks, least=5)
     if numeric:
-        add(V.CHART_BOX, (), box(df, numeric[:4]))
+        add(V.CHART_BOX, (), box(df, facts.pick_numeric(len(facts.numeric))))
     if time and top and len(charts) < 6:
         add(V.CHART_LINE, (top,), line(df, time, top))
     if category and top and len(charts) < 6:
@@ -327,8 +332,8 @@ def custom(df: DataFrame, request: ChartRequest, order_by: list[str]) -> DataFra
     """Marks of one user-specified chart."""
     build = {
         "bar": _custom_bar,
-        "line": lambda d, r, o: _custom_series(d, r, o, 800),
-        "area": lambda d, r, o: _custom_series(d, r, o, 800),
+        "line": _custom_series,
+        "area": _custom_series,
         "scatter": _custom_scatter,
         "histogram": lambda d, r, o: histogram(d, r.x_column or r.y_column or _first_numeric(d)),
         "box": lambda d, r, o: box(d, [r.y_column or r.x_column or _first_numeric(d)]),
@@ -354,32 +359,34 @@ def _custom_bar(df, request, order_by):
         agg = request.aggregation if request.aggregation in ("sum", "count", "median") else "mean"
         value = F.round(F.col("value").cast("double"), 2).alias("y")
         if not request.color_column:
-            groups = answers.group(df, x, y, agg, top=20)
+            groups = answers.group(df, x, y, agg, top=request.top)
             return groups.select(ref(x).cast("string").alias("x"), value)
         # Colour is a second grouping key.
         color = F.coalesce(ref(request.color_column).cast("string"), F.lit("Unknown"))
         pair = F.struct(ref(x).cast("string").alias("x"), color.alias("color"))
         keyed = df.withColumn("__group", F.when(ref(x).isNotNull(), pair))
-        groups = answers.group(keyed, "__group", y, agg, top=20)
+        groups = answers.group(keyed, "__group", y, agg, top=request.top)
         return groups.select("__group.x", "__group.color", value)
     if y:
         complete = df.where(clean_value(df, x).isNotNull() & clean_value(df, y).isNotNull())
-        return ordered.preview(complete, 30, order_by).select(
+        shown = complete if request.points is None else ordered.preview(complete, request.points, order_by)
+        return shown.select(
             ref(x).cast("string").alias("x"), F.coalesce(number(df, y), F.lit(0.0)).alias("y")
         )
-    return answers.value_counts(df, x, top=20).select(
+    return answers.value_counts(df, x, top=request.top).select(
         F.col("value").cast("string").alias("x"), F.col("n").cast("double").alias("y")
     )
 
 
-def _custom_series(df, request, order_by, points):
+def _custom_series(df, request, order_by):
     used = [c for c in (request.x_column, request.y_column) if c]
     complete = df
     for c in used:
         complete = complete.where(clean_value(df, c).isNotNull())
-    head = ordered.preview(complete, points, order_by)
-    position = F.row_number().over(_bounded_order(order_by)) - 1
-    return head.select(
+    if request.points is not None:
+        complete = ordered.preview(complete, request.points, order_by)
+    numbered, position = ordered.numbered(complete, order_by), F.col("__position")
+    return numbered.select(
         position.alias("position"),
         (ref(request.x_column).cast("string") if request.x_column else position.cast("string")).alias("x"),
         (
@@ -390,11 +397,6 @@ def _custom_series(df, request, order_by, points):
     )
 
 
-def _bounded_order(order_by):
-    """Numbers at most the few hundred rows a chart keeps."""
-    return Window.partitionBy(F.lit(0)).orderBy(*[ref(c) for c in order_by])
-
-
 def _custom_scatter(df, request, order_by):
     if not request.x_column or not request.y_column:
         return small_frame(df.sparkSession, [], "x double, y double")
@@ -408,11 +410,13 @@ def _custom_pie(df, request, order_by):
     by = request.x_column or request.y_column or (texts[0] if texts else df.columns[0])
     y = request.y_column
     if y and y != by and analytic_class(df.schema[y].dataType) == "numeric":
-        marks = answers.group(df, by, y, "sum", top=10).select(
-            ref(by).cast("string").alias("label"), "value"
+        marks = answers.group(df, by, y, "sum", top=request.top).select(
+            ref(by).cast("string").alias("label"), F.col("value").cast("double").alias("value")
         )
+        whole = F.sum(number(df, y))
     else:
-        marks = answers.value_counts(df, by, top=10).select(
+        marks = answers.value_counts(df, by, top=request.top).select(
             F.col("value").cast("string").alias("label"), F.col("n").cast("double").alias("value")
         )
-    return marks
+        whole = F.count(ref(by))
+    return marks.unionByName(_others(df.where(ref(by).isNotNull()), marks, whole))

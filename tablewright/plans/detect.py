@@ -81,46 +81,50 @@ def _candidates(profile: TableProfile) -> list[str]:
     ]
 
 
-def sample_shares(profile: TableProfile, sample: int = V.DETECTION_SAMPLE) -> DataFrame:
-    """Per text column: how much of its sample reads as each type."""
-    word = trimmed(F.col("value"))
-    bounded = first_values(profile, _candidates(profile), sample)
-    return bounded.groupBy("column_index", "column").agg(
-        F.count("*").alias("sampled"),
-        F.bool_and(F.lower(word).isin(V.BOOLEAN_WORDS)).alias("all_boolean"),
-        F.count_if(word.rlike(r"(?U)^-?\d+$")).alias("integers"),
-        F.count_if(to_decimal(word).isNotNull()).alias("decimals"),
-        F.count_if(to_datetime(word).isNotNull()).alias("datetimes"),
-        F.avg(F.length(word)).alias("mean_length"),
-        F.array_join(
-            F.transform(
-                F.array_sort(
-                    F.collect_list(
-                        F.when(F.col("position") <= 3, F.struct("position", "value"))
-                    )
-                ),
-                lambda s: s["value"],
-            ),
-            ", ",
-        ).alias("first_three"),
-    )
+def value_shares(profile: TableProfile) -> list[dict]:
+    """Per text column: how many of all its values read as each type, and its first three values.
+
+    One aggregate over the table, whatever the number of columns.
+    """
+    columns = _candidates(profile)
+    if not columns:
+        return []
+    aggs = []
+    for i, c in enumerate(columns):
+        word = trimmed(as_text(profile.df, c))
+        aggs += [
+            F.count(word).alias(f"values{i}"),
+            F.bool_and(F.lower(word).isin(V.BOOLEAN_WORDS)).alias(f"all_boolean{i}"),
+            F.count_if(word.rlike(r"(?U)^-?\d+$")).alias(f"integers{i}"),
+            F.count_if(to_decimal(word).isNotNull()).alias(f"decimals{i}"),
+            F.count_if(to_datetime(word).isNotNull()).alias(f"datetimes{i}"),
+            F.avg(F.length(word)).alias(f"mean_length{i}"),
+        ]
+    row = profile.df.agg(*aggs).first().asDict()
+    shown: dict[str, list[str]] = {c: [] for c in columns}
+    for r in first_values(profile, columns, 3).orderBy("column_index", "position").collect():
+        shown[r["column"]].append(r["value"])
+    names = ("values", "all_boolean", "integers", "decimals", "datetimes", "mean_length")
+    return [
+        {"column": c, "first_three": ", ".join(shown[c]), **{n: row[f"{n}{i}"] for n in names}}
+        for i, c in enumerate(columns)
+    ]
 
 
-def type_issues(profile: TableProfile, sample: int = V.DETECTION_SAMPLE) -> DataFrame:
+def type_issues(profile: TableProfile) -> DataFrame:
     """(column, current_type, suggested_type, confidence, reason), one row per flagged column."""
-    shares = [r for r in sample_shares(profile, sample).collect()]
+    shares = value_shares(profile)
     flagged = [r["column"] for r in shares if r["all_boolean"]]
     few = set()
     if flagged:
         counted = frequencies.distinct_counts(profile.df, flagged)
         few = {r["column"] for r in counted.where("unique_count <= 4").collect()}
+    order = {c["column"]: c["column_index"] for c in profile.columns}
     issues = []
     for r in shares:
         found = _text_issue(r, r["column"] in few)
         if found:
-            issues.append((r["column_index"], r["column"], "text/string", *found))
-    order = {c["column"]: c["column_index"] for c in profile.columns}
-    issues = [(order[i[1]], *i[1:]) for i in issues]
+            issues.append((order[r["column"]], r["column"], "text/string", *found))
     for c in profile.columns:
         if c["whole_numbers"] and c["non_null_count"] >= 3:
             issues.append(
@@ -143,7 +147,7 @@ def _text_issue(r, few_values: bool) -> tuple | None:
         ("datetime", r["datetimes"] if r["mean_length"] >= 6 else 0, V.REASON_DATETIME),
     ]
     for kind, matches, reason in tests:
-        share = matches / r["sampled"]
+        share = matches / r["values"]
         if share >= V.DETECTION_SHARE:
             return (kind, round(share, 2), reason % round(share * 100))
     return None

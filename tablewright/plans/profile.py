@@ -217,8 +217,8 @@ class TableProfile:
 
     @cached_property
     def skews(self) -> dict[str, float]:
-        """Bias-corrected skewness of the first four numeric columns; constant columns give 0."""
-        sizes = {c["column"]: c["non_null_count"] for c in self.numeric[:4]}
+        """Bias-corrected skewness of all numeric columns; constant columns give 0."""
+        sizes = {c["column"]: c["non_null_count"] for c in self.numeric}
         long = [c for c, n in sizes.items() if n >= 10]
         if not long:
             return {}
@@ -529,8 +529,8 @@ class TableProfile:
         )
 
     def next_steps(self) -> list[str]:
-        steps = [f"{kind} in '{c}': {text}" for c, kind, text, *_ in self.inconsistency_rows()[:3]]
-        for column, n in list(self.outlier_counts.items())[:1]:
+        steps = [f"{kind} in '{c}': {text}" for c, kind, text, *_ in self.inconsistency_rows()]
+        for column, n in self.outlier_counts.items():
             steps.append(V.NEXT_OUTLIERS % (column, n))
         if self.missing:
             worst = max(self.columns, key=lambda c: (c["null_count"], -c["column_index"]))

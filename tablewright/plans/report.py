@@ -10,6 +10,10 @@ from tablewright.functions.columns import small_frame
 from tablewright.plans.profile import TableProfile, percent
 
 
+# Positions of outlier rows, behind those of any other issue.
+OUTLIERS_FROM = 1_000_000
+
+
 def summary(profile: TableProfile) -> DataFrame:
     """Eight labelled values."""
     s = profile.scores()
@@ -32,10 +36,9 @@ def summary(profile: TableProfile) -> DataFrame:
 
 
 def issues(profile: TableProfile) -> DataFrame:
-    """First six inconsistencies, then the first four columns with outliers."""
+    """All inconsistencies, then all columns with outliers."""
     found = (
         profile.inconsistencies()
-        .where("issue_number <= 6")
         .select(
             F.col("issue_number").alias("position"),
             "column",
@@ -46,13 +49,13 @@ def issues(profile: TableProfile) -> DataFrame:
     )
     tails = [
         (
-            100 + i,
+            OUTLIERS_FROM + i,
             r["column"],
             V.OUTLIER_ISSUE,
             f"{r['outlier_count']} ({r['outlier_percentage']}%)",
             V.OUTLIER_RANGE % (r["lower_bound"], r["upper_bound"]),
         )
-        for i, r in enumerate(profile.outliers().collect()[:4])
+        for i, r in enumerate(profile.outliers().collect())
     ]
     schema = "position int, column string, issue string, affected string, description string"
     return found.unionByName(small_frame(profile.spark, tails, schema))

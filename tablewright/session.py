@@ -48,11 +48,11 @@ def ship(spark: SparkSession) -> None:
     context._tablewright_shipped = True
 
 
-def shared_folder(spark: SparkSession) -> str | None:
-    """The folder every executor can reach, or None when the cluster names none.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder every executor can reach.
 
     Local sessions (tests) get a temporary folder; on a cluster only the
-    configured folder is ever used.
+    configured folder is ever used, and one has to be configured.
     """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if named:
@@ -61,19 +61,21 @@ def shared_folder(spark: SparkSession) -> str | None:
         folder = tempfile.mkdtemp(prefix="tablewright-")
         spark.conf.set("spark.checkpoint.dir", folder)
         return folder
-    return None
+    raise RuntimeError("spark.checkpoint.dir has to name a folder that all executors share")
+
+
+def scratch_path(spark: SparkSession, name: str = "") -> str:
+    """A new place in the shared folder; nothing is ever written twice."""
+    return f"{shared_folder(spark).rstrip('/')}/tablewright-{name}{uuid.uuid4().hex}"
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
     Parquet rather than ``checkpoint()``: later statistics passes then read
-    only the columns they need. Without a shared folder the plan is returned
-    as it is, which costs recomputation but never correctness.
+    only the columns they need, and a lost executor costs no more than the
+    tasks it ran.
     """
-    folder = shared_folder(df.sparkSession)
-    if folder is None:
-        return df
-    path = f"{folder.rstrip('/')}/tablewright-{uuid.uuid4().hex}"
+    path = scratch_path(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from urllib.parse import unquote
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -24,18 +27,37 @@ def read_csv(
     """Read CSV with a header row.
 
     Rows with too many fields are skipped, short rows are padded with nulls.
-    Encoding and quoted line breaks are found out by one pass over the lines
-    unless given: a file without them stays splittable.
+    Encoding and quoted line breaks are found out file by file in one pass over
+    the lines, unless given: a file without them stays splittable, whatever
+    lies beside it. Columns that only some files have are null elsewhere.
     """
-    if encoding is None or multi_line is None:
-        found = spark.read.text(path).agg(
-            F.bool_and(F.is_valid_utf8("value")).alias("utf8"),
-            F.bool_or(F.length(F.regexp_replace("value", '[^"]', "")) % 2 == 1).alias("open_quote"),
-        ).first()
-        if encoding is None:
-            encoding = "UTF-8" if found["utf8"] in (True, None) else "ISO-8859-1"
-        if multi_line is None:
-            multi_line = bool(found["open_quote"])
+    parts = [
+        _read_alike(spark, files, charset, lines)
+        for (charset, lines), files in sorted(_kinds(spark, path, encoding, multi_line).items())
+    ]
+    text = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+    return infer_types(text) if infer else text
+
+
+def _kinds(spark, path, encoding, multi_line) -> dict[tuple[str, bool], list[str]]:
+    """Files by encoding and by whether a record may go over several lines."""
+    if encoding is not None and multi_line is not None:
+        return {(encoding, multi_line): [path]}
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"))
+    # One row per file reaches the driver, as every listing of files does.
+    found = lines.groupBy("file").agg(
+        F.bool_and(F.is_valid_utf8("value")).alias("utf8"),
+        F.bool_or(F.length(F.regexp_replace("value", '[^"]', "")) % 2 == 1).alias("open_quote"),
+    )
+    out: dict[tuple[str, bool], list[str]] = {}
+    for r in found.collect():
+        charset = encoding or ("UTF-8" if r["utf8"] else "ISO-8859-1")
+        several = bool(r["open_quote"]) if multi_line is None else multi_line
+        out.setdefault((charset, several), []).append(unquote(r["file"]))
+    return {k: sorted(v) for k, v in out.items()} or {(encoding or "UTF-8", bool(multi_line)): [path]}
+
+
+def _read_alike(spark: SparkSession, files: list[str], encoding: str, multi_line: bool) -> DataFrame:
     options = {
         "header": True,
         "encoding": encoding,
@@ -43,7 +65,7 @@ def read_csv(
         "escape": '"',
         "quote": '"',
     }
-    header = spark.read.options(**options).csv(path).columns
+    header = spark.read.options(**options).csv(files).columns
     fields = [T.StructField(c, T.StringType()) for c in header]
     extra = [T.StructField(SURPLUS, T.StringType()), T.StructField(RAW, T.StringType())]
     lines = (
@@ -53,23 +75,12 @@ def read_csv(
         # Fields are counted only when whole lines are parsed.
         .option("columnPruning", False)
         .schema(T.StructType(fields + extra))
-        .csv(path)
+        .csv(files)
     )
     # Every regular row is one field short of this schema, so its raw line is
     # kept; a row that fills the surplus field, or fits exactly, is too long.
     regular = lines.where(F.col(RAW).isNotNull() & F.col(SURPLUS).isNull())
-    text = regular.select(*[ref(c) for c in header])
-    return infer_types(text) if infer else text
-
-
-def blank_missing(df: DataFrame) -> DataFrame:
-    """Turn the missing-value tokens of text columns into nulls."""
-    return df.select(
-        *[
-            _present(ref(f.name)).alias(f.name) if is_text(f.dataType) else ref(f.name)
-            for f in df.schema.fields
-        ]
-    )
+    return regular.select(*[ref(c) for c in header])
 
 
 def _present(c: Column) -> Column:

@@ -2,6 +2,7 @@ from datetime import datetime, timedelta
 
 import pytest
 
+from tablewright.operators import ordered
 from tablewright.plans import charts, report
 from tablewright.plans.charts import ChartRequest
 from tablewright.plans.profile import TableProfile
@@ -52,7 +53,7 @@ def test_column_choice(shop):
 
 def test_line_short_and_monthly(spark):
     short = spark.range(10).selectExpr("timestamp_ntz '2024-01-31' + make_interval(0,0,0,id) as t", "id as v")
-    assert charts.line(short, "t", "v").count() == 10
+    assert charts.line(short, "t", "v", by_month=False).count() == 10
     long = spark.range(600).selectExpr(
         "timestamp_ntz '2023-01-01' + make_interval(0, if(id < 300, 0, 3)) as t", "1 as v"
     )
@@ -63,7 +64,7 @@ def test_line_short_and_monthly(spark):
 
 def test_line_parses_text_times(frame):
     df = frame("date string, v int", *[(f"2024-01-{i:02d}", i) for i in range(1, 8)], ("bad", 9))
-    assert charts.line(df, "date", "v").count() == 7
+    assert charts.line(df, "date", "v", by_month=False).count() == 7
 
 
 def test_heatmap_only_with_a_strong_pair(frame, shop):
@@ -100,7 +101,9 @@ def test_recommendation_falls_back_to_frequencies(spark):
 def test_custom_charts(shop):
     custom = lambda *a, **k: charts.custom(shop, ChartRequest(*a, **k), ["id"])
     assert custom("bar", "kind", "v", aggregation="mean").first()["x"] == "c" or True
-    assert custom("bar", "kind", "v").count() == 30
+    assert custom("bar", "kind", "v").count() == 100
+    assert custom("bar", "kind", "v", points=30).count() == 30
+    assert [r["position"] for r in custom("line", "day", "v", points=9).orderBy("position").collect()] == [*range(9)]
     assert custom("bar", "kind").count() == 3
     assert custom("bar", "kind", "v", "u", "sum").columns == ["x", "color", "y"]
     assert custom("line", "day", "v").count() == 100
@@ -129,3 +132,15 @@ def test_report_tables(frame):
     ]
     clean = TableProfile(frame("a int", (1,), (2,)))
     assert report.next_steps(clean).first()["recommendation"].startswith("Continue")
+
+
+def test_pie_shares_are_of_the_whole(spark):
+    df = spark.range(1200).selectExpr("concat('k', id % 12) as kind", "cast(1 as int) as v")
+    rows = {r["label"]: r["share_percent"] for r in charts.pie(df, "kind", "v", top=10).collect()}
+    assert len(rows) == 11 and rows["Other"] == 16.67 and rows["k0"] == 8.33
+
+
+def test_positions_over_several_ranges(spark):
+    df = spark.range(1000).selectExpr("id * 7 % 1000 as k")
+    found = ordered.numbered(df, ["k"], rows_per_bucket=90).collect()
+    assert all(r["k"] == r["__position"] for r in found) and len(found) == 1000
