@@ -31,15 +31,20 @@ from tablewright.session import cut_lineage
 
 @dataclass(frozen=True)
 class FitPlan:
-    """Bounds of the fit: labelled documents per class, candidate features, windows, steps."""
+    """Bounds of the fit: labelled documents per class, candidate features, windows, steps.
+
+    A candidate has ``support`` toxic texts, log-odds of at least ``odds``, and these are ``z``
+    standard errors above 0; so words of every second text are none, however often they occur.
+    """
 
     documents: int = 4000
     candidates: int = 8192
     support: int = 3
     z: float = 2.5
+    odds: float = 2.0
     window: int = 6
-    windows: int = 20_000
-    steps: int = 150
+    windows: int = 10_000
+    steps: int = 120
     ridge: float = 0.02
 
 
@@ -135,7 +140,7 @@ def fit(docs: DataFrame, labels: DataFrame, learns: Column, plan: FitPlan = FitP
         return Model()
     odds = F.log((F.col("t") + 0.5) / (sizes[1] + 1)) - F.log((F.col("c") + 0.5) / (sizes[0] + 1))
     z = odds / F.sqrt(1 / (F.col("t") + 0.5) + 1 / (F.col("c") + 0.5))
-    best = counted.where(F.col("t") >= plan.support).withColumn("z", z).where(F.col("z") >= plan.z).orderBy(F.desc("z"), "word").limit(plan.candidates).collect()
+    best = counted.where(F.col("t") >= plan.support).withColumn("z", z).where((F.col("z") >= plan.z) & (odds >= plan.odds)).orderBy(F.desc("z"), "word").limit(plan.candidates).collect()
     best = sorted(best, key=lambda r: r.word % (1 << 64))
     words = np.array([r.word for r in best], np.int64).view(U64)
 
