@@ -84,6 +84,31 @@ def html_text_lines(spark, sf):
     return shaped(html.html_text_lines(table(spark, sf, "pages")))
 
 
+@query(
+    """SELECT page_id, kind, headers, CAST(row_index AS BIGINT) AS row_index, cells FROM (
+      SELECT page_id, 'text' AS kind, 'Text_Content' AS headers, 0 AS row_index, concat('page ', page_id) AS cells FROM pages WHERE page_id % 4 = 0
+      UNION ALL SELECT page_id, 'text', 'Text_Content', 1, url FROM pages WHERE page_id % 4 = 0
+      UNION ALL SELECT page_id, 'table', 'Col_1|Col_2', 0, concat('page|', page_id) FROM pages WHERE page_id % 4 = 1
+      UNION ALL SELECT page_id, 'table', 'Col_1|Col_2', 1, concat('url|', url) FROM pages WHERE page_id % 4 = 1
+      UNION ALL SELECT page_id, 'table', 'Col_1|Col_2', 0, concat('outerinner ', page_id, '|inner ', page_id) FROM pages WHERE page_id % 4 = 2
+      UNION ALL SELECT page_id, 'largest', 'Col_1|Col_2', 0, concat('only|', page_id) FROM pages WHERE page_id % 4 = 3)"""
+)
+def html_frames(spark, sf):
+    """Rowless, headerless and unclosed, nested, and header-only tables: each page comes out once."""
+    url = F.replace("url", F.lit("&"), F.lit("&amp;"))
+    page = F.col("page_id").cast("string")
+    forms = [
+        F.concat(F.lit("<table></table><p>page "), page, F.lit("</p>\n"), url),
+        F.concat(F.lit("<table><tr><td>page<td>"), page, F.lit("<tr><td>url<td>"), url),
+        F.concat(F.lit("<table><tr><td>outer<table><tr><td>inner "), page, F.lit("</td></tr></table></td></tr></table>")),
+        F.concat(F.lit("<table><tr><th>only</th><th>"), page, F.lit("</th></tr></table>")),
+    ]
+    chosen = F.coalesce(*[F.when(F.col("page_id") % 4 == k, form) for k, form in enumerate(forms)])
+    found = html.html_frames(table(spark, sf, "pages").select("page_id", chosen.alias("html")))
+    joined = {c: F.array_join(c, "|") for c in ("headers", "cells")}
+    return shaped(found.withColumns(joined))
+
+
 # --- text ---------------------------------------------------------------------------------
 
 _PARTS = r"""SELECT doc_id, list_filter(list_transform(lines, lambda l: regexp_split_to_array(l, '\s{2,}|\t|,')),

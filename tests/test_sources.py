@@ -1,3 +1,5 @@
+import time
+
 import pytest
 
 from tablewright.plans.cleaning_plan import CleaningPlan, ColumnDecision, run
@@ -125,3 +127,30 @@ def test_current_table_prefers_the_cleaned_one(frame, spark, tmp_path, fmt):
     assert sinks.current_table(spark, raw, cleaned).count() == 2
     sinks.write_clean(frame("a int", (1,)), cleaned, fmt)
     assert rows(sinks.current_table(spark, raw, cleaned)) == [(1,)]
+
+
+def test_cells_and_rows_without_end_tags(frame):
+    df = pages(frame, "<table><tr><th>a<th>b<tr><td>1<td><b>2<tr><td>3<td>4<table><tr><td>5</table></table><ul><li>x<li>y</ul>")
+    found = html.scanned_tables(df).first()["tables"]
+    assert found[0]["headers"] == ["a", "b"] and found[0]["td_rows"] == [["1", "2"], ["3", "45", "5"], ["5"]]
+
+
+def test_many_unclosed_tags_take_linear_time():
+    for page in ("<p>a" * 20_000, "<table>" + "<tr><td>a" * 20_000, "<li>a" * 20_000, "<td>a" * 20_000, "<b>a" * 20_000):
+        start = time.perf_counter()
+        html._page(page)
+        assert time.perf_counter() - start < 1
+
+
+def test_each_page_once(frame):
+    df = pages(
+        frame, "<table></table><p>hello</p>\nyou", "<table><tr><th>h</th></tr></table>", "<table><tr><td>1</td></tr></table>", "", None,
+        "<table><tr><th>a</th><th>b</th></tr><tr><td>1</td></tr></table>",
+    )
+    found = html.html_frames(df).select("page_id", "kind", "headers", "row_index", "cells")
+    assert rows(found) == [
+        (0, "text", ["Text_Content"], 0, ["hello"]), (0, "text", ["Text_Content"], 1, ["you"]),
+        (1, "largest", ["Col_1"], 0, ["h"]), (2, "table", ["Col_1"], 0, ["1"]),
+        (5, "largest", ["Col_1", "Col_2"], 0, ["a", "b"]), (5, "largest", ["Col_1", "Col_2"], 1, ["1"]),
+    ]
+    assert rows(html.html_text_lines(df)) == [(0, 1, "hello"), (0, 2, "you")]
