@@ -259,11 +259,25 @@ def _gram_table(counts: DataFrame, plan: TreePlan) -> DataFrame:
     return again().mapInArrow(downward, "key long, value double, every long")
 
 
-def _table(rows: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Sorted keys, values and whether known."""
-    key = np.array([r.key for r in rows], np.int64).view(U64)
+def _frequent(values: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted keys, values and known flags of the most frequent keys, at most ``most`` of them.
+
+    A histogram of the counts' logarithms gives the count from which on they fit; nothing is sorted.
+    """
+    level = F.floor(F.log2("every") * 8).cast("int")
+    sizes = values.groupBy(level.alias("level")).agg(F.count("key").alias("n")).collect()
+    held, least = 0, None
+    for r in sorted(sizes, key=lambda r: -r.level):
+        held += r.n
+        if held > most:
+            break
+        least = r.level
+    if least is None:
+        return np.zeros(0, U64), np.zeros(0), np.zeros(0, bool)
+    rows = values.where(level >= least).select("key", "value", "known").toPandas()
+    key = rows["key"].to_numpy(np.int64).view(U64)
     order = np.argsort(key)
-    return key[order], np.array([r.value for r in rows], float)[order], np.array([r.known for r in rows], bool)[order]
+    return key[order], rows["value"].to_numpy(float)[order], rows["known"].to_numpy(bool)[order]
 
 
 def _looked_up(keys: np.ndarray, table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -293,7 +307,7 @@ def score(docs: DataFrame, learns: Column, plan: TreePlan = TreePlan(), id_col:
     valued_words = words.select("kind", "key", (F.log10(F.col("train") + 0.1) - norm).alias("value"), (F.col("train") > 0).alias("known"), "every")
     valued_grams = _gram_table(counts, plan).select(F.lit(GRAM).alias("kind"), "key", (F.col("value") / math.log(10)).alias("value"), F.lit(True).alias("known"), "every")
     values = cut_lineage(valued_words.unionByName(valued_grams))
-    frequent = lambda kind, n: _table(values.where(F.col("kind") == kind).orderBy(F.desc("every"), "key").limit(n).select("key", "value", "known").collect())
+    frequent = lambda kind, n: _frequent(values.where(F.col("kind") == kind), n)
     # Bounded by the plan: 4 and 17 MB at most.
     tables = own.sparkSession.sparkContext.broadcast({WORD: frequent(WORD, plan.frequent_words), GRAM: frequent(GRAM, plan.frequent_grams)})
     depth = plan.depth

@@ -179,7 +179,7 @@ def pack_examples(examples: DataFrame, limits: Limits, id_col: str = "id", token
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packer = Packer(limits, cut=False)
-        base, made = TaskContext.get().partitionId() << TASK_SHIFT, 0
+        base, made, kind = TaskContext.get().partitionId() << TASK_SHIFT, 0, pa.int64()
         schema = pa.schema([("id", kind), ("n_tokens", pa.int64()), ("n_loss", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64()), ("segment", pa.int32())])
 
         def emit(sequences):
@@ -194,7 +194,6 @@ def pack_examples(examples: DataFrame, limits: Limits, id_col: str = "id", token
             columns = list(zip(*rows, strict=True)) if rows else [[]] * 6
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, schema.types, strict=True)], schema=schema)
 
-        kind = pa.int64()
         for batch in batches:
             kind = batch.schema.field(0).type
             schema = schema.set(0, pa.field("id", kind))

@@ -160,7 +160,8 @@ def test_context_tree_equals_brute_force(docs):
     assert ctw.score(frame.limit(0), learns).count() == 0
 
 
-def test_context_tree_beats_word_counts_on_held_out_texts(sample):
+def test_context_tree_beats_word_counts_on_held_out_texts(spark):
+    sample = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 10 == 0
     sums = ctw.score(sample, ~held_out).withColumn("h", F.crc32(F.col("doc_id").cast("string").cast("binary")) % 10 == 0)
     r = sums.where("h").agg(F.sum("score").alias("m"), F.sum("base_score").alias("b")).first()
@@ -181,12 +182,12 @@ def plain_spans(text):
         for m in re.finditer(pattern, text):
             digits = re.sub("[^0-9]", "", m.group())
             fits = {
-                "email": True,
-                "ip": all(int(x) <= 255 for x in m.group().split(".")),
-                "card": 16 <= len(digits) <= 19 and pii.luhn(digits),
-                "phone": 8 <= len(digits) <= 15,
+                "email": lambda: True,
+                "ip": lambda: all(int(x) <= 255 for x in m.group().split(".")),  # noqa: B023
+                "card": lambda: 16 <= len(digits) <= 19 and pii.luhn(digits),  # noqa: B023
+                "phone": lambda: 8 <= len(digits) <= 15,  # noqa: B023
             }
-            if fits[kind]:
+            if fits[kind]():
                 found.append((kind, *m.span()))
     return found
 
@@ -253,12 +254,12 @@ def toxic_corpus(spark, n=400):
 def test_toxicity_on_held_out_documents(spark):
     frame, labels = toxic_corpus(spark)
     model = toxicity.fit(frame, labels, F.col("doc_id") % 4 != 2, toxicity.FitPlan(steps=80))
-    extra = spark.createDataFrame([(900, None), (901, ""), (902, "A zorkelbim here"), (903, "plain " * 30_000)], "doc_id long, text string")
+    extra = spark.createDataFrame([(900, None), (901, ""), (902, "A zorkelbim vexil here"), (903, "plain " * 30_000)], "doc_id long, text string")
     out = {r.doc_id: r for r in toxicity.score(frame.unionByName(extra), model).collect()}
     held_out = [i for i in range(400) if i % 4 == 2]
     assert np.mean([(out[i].score >= 0.3) == (i % 5 == 0) for i in held_out]) >= 0.97
     assert out[900].score == out[901].score < 0.3 and out[903].score < 0.3
-    assert out[902].score >= 0.3 and [(s.start, s.end) for s in out[902].spans] == [(2, 11)]
+    assert out[902].score >= 0.3 and [(s.start, s.end) for s in out[902].spans] == [(2, 11), (12, 17)]
 
 
 def test_exact_marginals_over_long_gaps():
