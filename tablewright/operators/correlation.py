@@ -116,11 +116,9 @@ def _multiplied(df, columns, centers):
         )
 
     values = df.select(*[number(df, c).alias(f"x{i}") for i, c in enumerate(columns)])
-    # Every task emits width² sums whatever it reads: few, longer tasks.
-    tasks = df.sparkSession.sparkContext.defaultParallelism * 4
+    # Every task emits width² sums, which are dealt by cell: no task adds up more than its cells.
     cells = (
-        values.coalesce(tasks)
-        .mapInArrow(multiply, "cell int, n double, s double, q double, p double")
+        values.mapInArrow(multiply, "cell int, n double, s double, q double, p double")
         .groupBy("cell")
         .agg(*[F.sum(k).alias(k) for k in ("n", "s", "q", "p")])
         .collect()

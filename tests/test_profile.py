@@ -17,7 +17,6 @@ def test_duplicates_treat_nulls_as_equal(frame):
         "a int, b string", (1, None), (1, None), (1, None), (2, "x"), (2, "y"), (None, None)
     )
     assert frequencies.duplicate_count(df) == 2
-    assert frequencies.duplicate_count(df, broadcast_limit=0) == 2
     assert frequencies.drop_duplicates(df).count() == 4
 
 
