@@ -75,10 +75,10 @@ def sketch(hashes: list[np.ndarray], registers: int, base: float) -> np.ndarray:
         bound = reach / sizes
         least = np.full(len(todo) * registers, np.inf)
         value = np.zeros(len(element))
-        step = U64(0)
+        step = 0
         while len(element):
-            step += _STEP
-            point = mix(element + step)
+            step = (step + int(_STEP)) % (1 << 64)
+            point = mix(element + U64(step))
             value = value - np.log(((point >> U64(11)).astype(np.float64) + 0.5) * 2.0**-53) / registers
             near = np.flatnonzero(value <= bound[owner])
             owner, element, value, point = owner[near], element[near], value[near], point[near]

@@ -100,7 +100,7 @@ def shingles(words: np.ndarray, counts: np.ndarray, k: int) -> list[np.ndarray]:
     return out
 
 
-def slices(batch: pa.RecordBatch, column: int = 1, limit: int = 1 << 22):
+def slices(batch: pa.RecordBatch, column: int = 1, limit: int = 1 << 20):
     """Parts of a batch with about ``limit`` bytes of text: numpy's copies stay small."""
     sizes = np.asarray(pc.fill_null(pc.binary_length(batch.column(column)), 0), dtype=np.int64)
     part = np.cumsum(sizes) // limit
