@@ -14,7 +14,7 @@ from tablewright.llm import packing, pii, setsketch, toxicity
 from tablewright.session import configure, cut_lineage
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
-#: Documents with a higher score go.
+#: Documents with this score or a higher one go.
 TOXIC = 0.3
 
 
@@ -22,8 +22,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity model, trained on all labels of the input, does not reject."""
     labels = configure(spark).read.parquet(f"{sf_dir}/labels.parquet")
     model = toxicity.fit(docs, labels, F.lit(True))
-    rejected = toxicity.score(docs, model).where(F.col("score") >= TOXIC).select("doc_id").distinct()
-    return docs.join(rejected, "doc_id", "left_anti").select(*COLUMNS)
+    return toxicity.keep_below(docs.select(*COLUMNS), model, TOXIC)
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -323,6 +323,25 @@ def _raw(model: Model, n: int, at: np.ndarray, which: np.ndarray) -> tuple[float
     return float(1 - np.prod(1 - marginal)), marginal
 
 
+def _scored(texts: pa.Array, model: Model, span_probability: float) -> tuple[np.ndarray, list[list[dict]]]:
+    """Score and toxic spans of each text."""
+    data, borders, starts, ends, counts, kinds = _tokens(texts)
+    at, which = _hits(kinds, model.words)
+    cut = np.searchsorted(at, counts)
+    raw, spans = np.zeros(len(counts) - 1), [[] for _ in range(len(counts) - 1)]
+    for d in np.flatnonzero(np.diff(cut)):
+        hit = slice(cut[d], cut[d + 1])
+        raw[d], marginal = _raw(model, int(counts[d + 1] - counts[d]), at[hit] - counts[d], which[hit])
+        place, upto = borders[d], 0
+        for k, p in zip(np.unique(at[hit]), marginal, strict=True):
+            if p >= span_probability:
+                upto += _points(data[place : starts[k]])
+                size = _points(data[starts[k] : ends[k]])
+                spans[d].append({"start": upto, "end": upto + size, "probability": float(p)})
+                place, upto = ends[k], upto + size
+    return 1 / (1 + np.exp(-np.clip(model.slope * _logit(raw) + model.shift, -40, 40))), spans
+
+
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", span_probability: float = 0.5) -> DataFrame:
     """One row per row: id, ``score`` (0 to 1) and ``spans`` (start, end in code points, probability)
     of the words that are likelier toxic than not.
@@ -335,21 +354,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
         span = pa.struct([("start", pa.int64()), ("end", pa.int64()), ("probability", pa.float64())])
         for batch in batches:
             for part in slices(batch):
-                data, borders, starts, ends, counts, kinds = _tokens(part.column(1))
-                at, which = _hits(kinds, model.words)
-                cut = np.searchsorted(at, counts)
-                raw, spans = np.zeros(len(counts) - 1), [[] for _ in range(len(counts) - 1)]
-                for d in np.flatnonzero(np.diff(cut)):
-                    hit = slice(cut[d], cut[d + 1])
-                    raw[d], marginal = _raw(model, int(counts[d + 1] - counts[d]), at[hit] - counts[d], which[hit])
-                    place, upto = borders[d], 0
-                    for k, p in zip(np.unique(at[hit]), marginal, strict=True):
-                        if p >= span_probability:
-                            upto += _points(data[place : starts[k]])
-                            size = _points(data[starts[k] : ends[k]])
-                            spans[d].append({"start": upto, "end": upto + size, "probability": float(p)})
-                            place, upto = ends[k], upto + size
-                value = 1 / (1 + np.exp(-np.clip(model.slope * _logit(raw) + model.shift, -40, 40)))
+                value, spans = _scored(part.column(1), model, span_probability)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(value), pa.array(spans, pa.list_(span))], ["id", "score", "spans"])
 
     kind = docs.schema[id_col].dataType.simpleString()
@@ -358,6 +363,19 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     return scored.withColumnRenamed("id", id_col)
 
 
+def keep_below(docs: DataFrame, model: Model, threshold: float, text_col: str = "text") -> DataFrame:
+    """The rows whose texts score below the threshold, with all their columns and without a shuffle."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            place = batch.schema.get_field_index(text_col)
+            for part in slices(batch, column=place):
+                value, _ = _scored(part.column(place), model, 2.0)
+                yield part.filter(pa.array(value < threshold))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def _points(data: np.ndarray) -> int:
     """Code points of UTF-8 bytes."""
     return int(np.count_nonzero((data & 0xC0) != 0x80))
