@@ -37,7 +37,8 @@ _CARD = re.compile(r"[0-9](?:[ -]?[0-9])++").finditer
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]").finditer
 _ASSIGNED = re.compile(r"[=:]").finditer
 _NAME = re.compile(r"([A-Za-z_-]{2,24})[\"']? {0,2}$").search
-_VALUE = re.compile(r" {0,2}([\"']?)([^\s\"',;]{6,200})").match
+_OPENED = re.compile(r" {0,2}[\"']?").match
+_VALUE = re.compile(r"[^\s\"',;]*+").match
 _DIGITS = re.compile(r"[0-9]++").finditer
 _KEY_TAIL = re.compile(r"[A-Za-z0-9_-]*+").match
 _KEY_CHARS = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789_-")
@@ -45,6 +46,10 @@ _SPELLED = re.compile(r"(?<![A-Za-z0-9])[A-Za-z0-9][A-Za-z0-9._-]{0,63} ?(?:\(at
 _SPELLED_HINT = re.compile(r"[(\[ ]dot[)\] ]").search
 _LOCAL_PHONE = re.compile(r"(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9])").match
 
+# Shorter candidates stand alone. Longer ones may hold base spans and further candidates: all are
+# judged as wholes, and the outermost accepted one is taken.
+_LONG = 100
+
 # Word lists of the labelers.
 _SECRET_NAMES = frozenset("token password passwd pwd secret apikey api_key key access_key auth credential passphrase pin private_key secret_key bearer".split())
 _PLAIN_NAMES = frozenset("id size width height color colour version page count date time year http https note class style type name title lang source".split())
@@ -88,17 +93,25 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 
 
 def added_candidates(text: str, base: list[tuple[str, int, int]]) -> list[tuple[str, int, int, str]]:
-    """Further candidates (kind, start, end, name before it), none of which overlaps another span."""
+    """Further candidates (kind, start, end, name before it), by start.
+
+    Only candidates of more than ``_LONG`` characters overlap base spans, or others that begin
+    further in. A value or key has no largest length.
+    """
     found: list[tuple[str, int, int, str]] = []
+    run_start = run_end = 0  # assignments inside one run of value characters all end with it
     for m in _ASSIGNED(text):
         name = _NAME(text, max(0, m.start() - 28), m.start())
-        value = _VALUE(text, m.end()) if name else None
-        if value:
-            found.append(("secret", value.start(2), value.end(2), name.group(1).lower()))
+        if name:
+            start = _OPENED(text, m.end()).end()
+            if not run_start <= start < run_end:
+                run_start, run_end = start, _VALUE(text, start).end()
+            if run_end - start >= 6:
+                found.append(("secret", start, run_end, name.group(1).lower()))
     end = 0
     for m in _DIGITS(text):  # numbers and keys have digits, and digits are rare: look around each
         before, after = text[max(0, m.start() - 1) : m.start()], text[m.end() : m.end() + 1]
-        if 9 <= m.end() - m.start() <= 40 and before not in _NUMBER_NEXT and after not in _NUMBER_NEXT:
+        if m.end() - m.start() >= 9 and before not in _NUMBER_NEXT and after not in _NUMBER_NEXT:
             found.append(("number", *m.span(), ""))
         if m.end() - m.start() == 3 and (phone := _LOCAL_PHONE(text, m.start() - (before == "("))):
             found.append(("local_phone", *phone.span(), ""))
@@ -107,7 +120,7 @@ def added_candidates(text: str, base: list[tuple[str, int, int]]) -> list[tuple[
             while start > end and text[start - 1] in _KEY_CHARS:
                 start -= 1
             end = _KEY_TAIL(text, m.end()).end()
-            if 16 <= end - start <= 100 and m.end() - m.start() < end - start:
+            if end - start >= 16 and m.end() - m.start() < end - start:
                 found.append(("secret", start, end, ""))
     if _SPELLED_HINT(text):
         found += [("spelled_email", *m.span(), "") for m in _SPELLED(text)]
@@ -117,39 +130,49 @@ def added_candidates(text: str, base: list[tuple[str, int, int]]) -> list[tuple[
     for c in sorted(found, key=lambda c: (c[1], -c[2], c[0])):
         while k < len(taken) and taken[k][1] <= c[1]:
             k += 1
-        if c[1] >= last and (k == len(taken) or taken[k][0] >= c[2]):
+        free = k == len(taken) or taken[k][0] >= c[2]
+        if c[1] >= last and (free or c[2] - c[1] > _LONG):
             kept.append(c)
-            last = c[2]
+            last = min(c[2], c[1] + _LONG) if free else last
     return kept
 
 
-def _entropy(value: str) -> float:
-    n = len(value)
-    return -sum(c / n * math.log2(c / n) for c in Counter(value).values())
+def measured(text: str, candidates: list[tuple[str, int, int, str]]) -> list[tuple[int, int, float]]:
+    """Digits, letters and entropy of each candidate (by start); equal ends are counted once."""
+    out, ends = [], {}
+    for _, start, end, _ in reversed(candidates):
+        before, digits, letters, counts, total = ends.get(end) or (end, 0, 0, Counter(), 0.0)
+        part = text[start:before]
+        for char, more in Counter(part).items():
+            old = counts[char]
+            new = counts[char] = old + more
+            total += new * math.log2(new) - (old * math.log2(old) if old else 0.0)
+        digits, letters = digits + sum(map(str.isdigit, part)), letters + sum(map(str.isalpha, part))
+        ends[end] = start, digits, letters, counts, total
+        out.append((digits, letters, max(0.0, math.log2(end - start) - total / (end - start)) + 1e-9))
+    return out[::-1]
 
 
-def judged(text: str, kind: str, start: int, end: int, name: str) -> tuple[tuple[int, ...], tuple[int, ...]]:
+def judged(text: str, kind: str, start: int, end: int, name: str, measures: tuple[int, int, float] | None = None) -> tuple[tuple[int, ...], tuple[int, ...]]:
     """Votes of the labelers (1, -1, 0) and features of a candidate."""
-    value = text[start:end]
-    digits = sum(map(str.isdigit, value))
-    letters = sum(map(str.isalpha, value))
+    value, length = text[start : min(end, start + _LONG)], end - start
+    digits, letters, entropy = measures or measured(text, [(kind, start, end, name)])[0]
     around = {w.strip(".,:;()").lower() for w in text[max(0, start - 40) : start].split()[-5:]}
-    entropy = _entropy(value)
     shape = {
-        "secret": 1 if digits and letters and len(value) >= 12 else -1,
-        "number": 1 if 9 <= len(value) <= 18 and len(set(value)) > 3 else -1,
+        "secret": 1 if digits and letters and length >= 12 else -1,
+        "number": 1 if 9 <= length <= 18 and len(set(value)) > 3 else -1,
         "local_phone": 1 if value[0] == "(" or value.count("-") == 2 else 0,
         "spelled_email": 1,
     }.get(kind, 1)
     listed = 1 if name in _SECRET_NAMES else -1 if name in _PLAIN_NAMES else 0
     prefix = 1 if value.startswith(_KEY_PREFIXES) else 0
     if kind == "email":
-        prefix = 1 if value.rsplit(".", 1)[-1].isalpha() else -1
+        prefix = 1 if text[start:end].rsplit(".", 1)[-1].isalpha() else -1
     near = 1 if around & _NEAR_WORDS else -1 if around & _FAR_WORDS else 0
     mixed = 1 if entropy >= 2.5 else -1 if entropy < 1.5 or (kind == "secret" and not digits) else 0
     features = (
         KINDS.index(kind),
-        min(len(value) // 8, 5),
+        min(length // 8, 5) + (length > _LONG),
         int(entropy),
         0 if not digits else 1 if digits < letters else 2 if letters else 3,
         1 if name in _SECRET_NAMES else 2 if name else 0,
@@ -196,7 +219,7 @@ def estimate(votes: np.ndarray, counts: np.ndarray, rounds: int = 100) -> tuple[
 
 
 def _one_hot(features: list[tuple[int, ...]]) -> np.ndarray:
-    width = (len(KINDS), 6, 8, 4, 3, 3)
+    width = (len(KINDS), 7, 8, 4, 3, 3)
     out = np.zeros((len(features), sum(width) + 1))
     out[:, -1] = 1
     for i, f in enumerate(features):
@@ -239,8 +262,11 @@ def fit(docs: DataFrame, text_col: str = "text") -> Model:
             for value in batch.column(0):
                 text = value.as_py() or ""
                 base = base_spans(text)
-                for kind, start, end, name in [*((*b, "") for b in base), *added_candidates(text, base)]:
-                    seen[judged(text, kind, start, end, name)] += 1
+                for b in base:
+                    seen[judged(text, *b, "")] += 1
+                found = added_candidates(text, base)
+                for c, measures in zip(found, measured(text, found), strict=True):
+                    seen[judged(text, *c, measures)] += 1
         votes, features = [list(v) for v, _ in seen], [list(f) for _, f in seen]
         small = pa.list_(pa.int32())
         yield pa.RecordBatch.from_arrays([pa.array(votes, small), pa.array(features, small), pa.array(list(seen.values()), pa.int64())], ["votes", "features", "n"])
@@ -251,8 +277,24 @@ def fit(docs: DataFrame, text_col: str = "text") -> Model:
 
 
 def added_spans(text: str, base: list[tuple[str, int, int]], model: Model) -> list[tuple[str, int, int]]:
+    """Accepted candidates, the outermost first; what base spans cover of them is theirs."""
     found = added_candidates(text, base)
-    return sorted((k, s, e) for k, s, e, name in found if judged(text, k, s, e, name)[1] in model.accepted)
+    taken = sorted((s, e) for _, s, e in base)
+    out, last, k = [], 0, 0
+    for c, measures in zip(found, measured(text, found), strict=True):
+        if c[2] <= last or judged(text, *c, measures)[1] not in model.accepted:
+            continue
+        at, last = max(c[1], last), c[2]
+        while k < len(taken) and taken[k][1] <= at:
+            k += 1
+        while k < len(taken) and taken[k][0] < last:
+            if taken[k][0] > at:
+                out.append((c[0], at, taken[k][0]))
+            at = max(at, taken[k][1])
+            k += 1
+        if at < last:
+            out.append((c[0], at, last))
+    return sorted(out)
 
 
 def _written(spans: list[tuple[str, int, int]]) -> str:

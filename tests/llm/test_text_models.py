@@ -5,6 +5,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -225,6 +226,33 @@ def test_personal_data_found_and_hidden(docs):
     assert pii.find(frame.limit(0), pii.fit(frame.limit(0))).count() == 0
 
 
+def test_secrets_of_any_length_are_hidden_whole(docs):
+    rng = random.Random(12)
+    made = lambda n, chars="abcdefghijkmnpqrstuvwxyzABCDEFGH23456789": "".join(rng.choice(chars) for _ in range(n - 2)) + "z9"
+    values = [made(n) for n in (40, 101, 201, 260, 1_000, 100_000)]
+    mail = made(300) + "@example.org/" + made(300)
+    outer = "note:" + "x" * 300 + "&token=" + values[2]
+    texts = [f"set token={v} here" for v in [*values, mail]] + [f"the key {v} here" for v in values] + [outer]
+    model = pii.fit(docs(*texts))
+    hidden = {r.doc_id: r.text for r in pii.redact(docs(*texts), model).collect()}
+    assert [hidden[i] for i in range(len(values))] == ["set token=[SECRET] here"] * len(values)
+    assert "[EMAIL]" in hidden[len(values)] and not any(mail[i : i + 20] in hidden[len(values)] for i in range(len(mail) - 20))
+    assert [hidden[i] for i in range(7, 7 + len(values))] == ["the key [SECRET] here"] * len(values)
+    assert not any(values[2][i : i + 20] in hidden[len(texts) - 1] for i in range(len(values[2]) - 20))
+    for text in ("7" * 41, "id " + "1234567890" * 20):
+        assert [c[2] - c[1] for c in pii.added_candidates(text, []) if c[0] == "number"] == [len(text.split()[-1])]
+
+
+def test_nested_assignments_take_linear_time():
+    for text in ("ab=" * 100_000 + "x@y.zz", "ab=" * 100_000, "".join(f"ab={chr(0x4E00 + i % 20_000)}" for i in range(100_000))):
+        started = time.monotonic()
+        base = pii.base_spans(text)
+        found = pii.added_candidates(text, base)
+        assert len(pii.measured(text, found)) == len(found)
+        pii.added_spans(text, base, pii.Model())
+        assert time.monotonic() - started < 20
+
+
 def test_reliabilities_are_recovered():
     rng = np.random.default_rng(1)
     truth = rng.random(20_000) < 0.4
