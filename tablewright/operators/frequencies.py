@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tablewright.functions.columns import as_text, clean_value, ref, small_frame
 
@@ -132,14 +133,23 @@ def _repeated(marked: DataFrame, limit: int) -> DataFrame | None:
     return small_frame(marked.sparkSession, found, f"{FINGERPRINT} bigint")
 
 
+def _told_apart(value: Column, kind: T.DataType) -> Column:
+    """The value with what Spark's hashes pass over: where nulls are, and where arrays end."""
+    inner = [value]
+    if isinstance(kind, T.StructType):
+        inner = [_told_apart(value[f.name], f.dataType).alias(f"f{i}") for i, f in enumerate(kind)]
+    elif isinstance(kind, T.ArrayType):
+        inner = [F.size(value), F.transform(value, lambda x: _told_apart(x, kind.elementType))]
+    return F.struct(value.isNull(), *inner)
+
+
 def duplicate_count(df: DataFrame) -> int:
     """Rows that repeat an earlier row in every column (nulls equal).
 
     Rows are told apart by 128 bits of fingerprints; nothing else is shuffled, whatever the
     number of copies.
     """
-    cells = [clean_value(df, c) for c in df.columns]
-    cells += [c.isNull() for c in cells]  # hashes pass over nulls: say where they are
+    cells = [_told_apart(clean_value(df, c), df.schema[c].dataType) for c in df.columns]
     prints = df.select(F.xxhash64(*cells).alias("h"), F.xxhash64(F.lit(1), *cells).alias("g"))
     copies = prints.groupBy("h", "g").agg(F.count("*").alias("n"))
     return copies.agg(F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("n")).first()["n"]

@@ -20,6 +20,20 @@ def test_duplicates_treat_nulls_as_equal(frame):
     assert frequencies.drop_duplicates(df).count() == 4
 
 
+def test_duplicates_compare_nulls_inside_arrays_and_structs(frame):
+    schema = "a array<int>, b array<int>, s struct<x:int,y:int>, n array<struct<x:int,v:array<string>>>"
+    different = [
+        ([1, None], None, None, None), ([None, 1], None, None, None), ([1], None, None, None), (None, [1], None, None), ([], [1], None, None),
+        ([1], [2, 3], None, None), ([1, 2], [3], None, None), (None, None, (None, 1), None), (None, None, (1, None), None), (None, None, (None, None), None),
+        (None, None, None, None), (None, None, None, []), (None, None, None, [None]), (None, None, None, [(None, None)]), (None, None, None, [(None, [])]),
+        (None, None, None, [(None, [None])]), (None, None, None, [(1, ["a"]), (2, ["b"])]), (None, None, None, [(1, ["a", None]), (2, ["b"])]),
+        (None, None, None, [(1, ["a"]), (2, [None, "b"])]),
+    ]
+    df = frame(schema, *different, *different[:7], different[-1])
+    assert frequencies.duplicate_count(df) == df.count() - df.distinct().count() == 8
+    assert frequencies.drop_duplicates(df).count() == len(different)
+
+
 def test_no_duplicates_need_no_second_pass(spark):
     assert frequencies.duplicate_count(spark.range(100)) == 0
 
