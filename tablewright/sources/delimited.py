@@ -29,32 +29,40 @@ def read_csv(
     Rows with too many fields are skipped, short rows are padded with nulls.
     Encoding and quoted line breaks are found out file by file in one pass over
     the lines, unless given: a file without them stays splittable, whatever
-    lies beside it. Columns that only some files have are null elsewhere.
+    lies beside it. So are headers: every file is read with its own, and columns
+    that only some files have are null elsewhere.
     """
+    kinds = _kinds(spark, path, encoding, multi_line)
     parts = [
         _read_alike(spark, files, charset, lines)
-        for (charset, lines), files in sorted(_kinds(spark, path, encoding, multi_line).items())
+        for (charset, lines, _), files in sorted(kinds.items(), key=lambda k: (k[0][:2], k[1]))
     ]
     text = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
     return infer_types(text) if infer else text
 
 
-def _kinds(spark, path, encoding, multi_line) -> dict[tuple[str, bool], list[str]]:
-    """Files by encoding and by whether a record may go over several lines."""
-    if encoding is not None and multi_line is not None:
-        return {(encoding, multi_line): [path]}
-    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"))
+def _kinds(spark, path, encoding, multi_line) -> dict[tuple[str, bool, str], list[str]]:
+    """Files by encoding, by whether a record may go over several lines, and by header."""
+    place = F.struct(F.col("_metadata.file_block_start"), F.monotonically_increasing_id())
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), place.alias("place"))
+    quotes = lambda c: F.length(F.regexp_replace(c, '[^"]', ""))
+    first = F.min_by("value", F.when(F.trim("value") != "", F.col("place")))
     # One row per file reaches the driver, as every listing of files does.
     found = lines.groupBy("file").agg(
         F.bool_and(F.is_valid_utf8("value")).alias("utf8"),
-        F.bool_or(F.length(F.regexp_replace("value", '[^"]', "")) % 2 == 1).alias("open_quote"),
+        F.bool_or(quotes("value") % 2 == 1).alias("open_quote"),
+        # Bytes, as the text may be in any encoding.
+        F.hex(first.cast("binary")).alias("header"),
+        (quotes(first) % 2 == 1).alias("header_goes_on"),
     )
-    out: dict[tuple[str, bool], list[str]] = {}
-    for r in found.collect():
+    out: dict[tuple[str, bool, str], list[str]] = {}
+    for r in found.where("header IS NOT NULL").collect():
         charset = encoding or ("UTF-8" if r["utf8"] else "ISO-8859-1")
         several = bool(r["open_quote"]) if multi_line is None else multi_line
-        out.setdefault((charset, several), []).append(unquote(r["file"]))
-    return {k: sorted(v) for k, v in out.items()} or {(encoding or "UTF-8", bool(multi_line)): [path]}
+        # A header of several lines is not known by its first one: such a file is read by itself.
+        header = f"{r['header']} {r['file']}" if several and r["header_goes_on"] else r["header"]
+        out.setdefault((charset, several, header), []).append(unquote(r["file"]))
+    return {k: sorted(v) for k, v in out.items()} or {(encoding or "UTF-8", bool(multi_line), ""): [path]}
 
 
 def _read_alike(spark: SparkSession, files: list[str], encoding: str, multi_line: bool) -> DataFrame:

@@ -34,6 +34,21 @@ def test_latin_text_and_quoted_line_breaks(spark, tmp_path):
     assert rows(df) == [('say "hi"', 2), ("two\nlines", 1)]
 
 
+def test_every_file_is_read_with_its_own_header(spark, tmp_path):
+    files = {"a": "x,y\n1,2\n3,4\n", "b": "\nx,y,z\n5,6,7\n", "c": "y,x\n8,9\n", "d": "x,y\n10,11\n", "e": "\n \n"}
+    files |= {"f": 'x,"y\n1"\n12,13\n', "g": 'x,"y\n2"\n14,15\n'}
+    for name, text in files.items():
+        (tmp_path / f"{name}.csv").write_text(text)
+    for given in ({}, {"encoding": "UTF-8", "multi_line": True}):
+        df = delimited.read_csv(spark, str(tmp_path), **given)
+        found = {r.x: (r.y, r.z, r["y\n1"], r["y\n2"]) for r in df.collect()}
+        no = None
+        assert found == {
+            1: (2, no, no, no), 3: (4, no, no, no), 5: (6, 7, no, no), 9: (8, no, no, no), 10: (11, no, no, no),
+            12: (no, no, 13, no), 14: (no, no, no, 15),
+        }
+
+
 def pages(frame, *texts):
     return frame("page_id int, html string", *enumerate(texts))
 
