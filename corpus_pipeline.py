@@ -26,10 +26,10 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: the one with the smallest id."""
-    found = setsketch.near_duplicates(docs)
-    kept = found.where("kept").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*COLUMNS)
+    """One row of each group of near-duplicates: the one with the smallest id. Ids may be null or repeat."""
+    rows = setsketch.numbered(docs.select(*COLUMNS))
+    kept = setsketch.row_components(rows).where("kept").select(setsketch.ROW)
+    return rows.join(kept, setsketch.ROW, "left_semi").select(*COLUMNS)
 
 
 def hide_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

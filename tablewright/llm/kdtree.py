@@ -63,7 +63,7 @@ def shard(docs: DataFrame, dimensions: dict[str, Column], plan: TreePlan = TreeP
     names = [f"d{k}" for k in range(len(dimensions))]
     tree = base.withColumn("node", F.lit(0))
     leaves = {0: plan.shards}
-    whole = base.agg(F.sum("size").alias("bytes"), F.count("id").alias("n"), *[F.min(n).alias(f"a_{n}") for n in names], *[F.max(n).alias(f"b_{n}") for n in names]).first()
+    whole = base.agg(F.sum("size").alias("bytes"), F.count("*").alias("n"), *[F.min(n).alias(f"a_{n}") for n in names], *[F.max(n).alias(f"b_{n}") for n in names]).first()
     if whole.bytes is None:
         return _placed(tree, plan, 1, id_col)
     enough = plan.tolerance * whole.bytes / plan.shards
@@ -111,7 +111,7 @@ def _cuts(spark: SparkSession, tree: DataFrame, leaves: dict[int, int], names: l
         keyed = tree.join(F.broadcast(table), "node").withColumn("key", _key(names))
         keyed = keyed.withColumn("bin", F.expr("(key - low) div width"))
         inside = keyed.where((F.col("bin") >= 0) & (F.col("bin") < plan.bins))
-        bins = inside.groupBy("node", "bin").agg(F.sum("size").alias("w"), F.count("id").alias("n"), F.first("target").alias("target"), F.first("below").alias("below"))
+        bins = inside.groupBy("node", "bin").agg(F.sum("size").alias("w"), F.count("*").alias("n"), F.first("target").alias("target"), F.first("below").alias("below"))
         upto = F.col("below") + F.sum("w").over(Window.partitionBy("node").orderBy("bin"))
         first = F.row_number().over(Window.partitionBy("node").orderBy("bin"))
         hits = bins.withColumn("upto", upto).where("upto >= target").withColumn("k", first).where("k = 1").collect()
@@ -141,7 +141,7 @@ def _placed(tree: DataFrame, plan: TreePlan, rows: int, id_col: str) -> DataFram
     """Slots: buckets of a shard are numbered one after the other, rows inside each bucket."""
     buckets = max(16, -(-rows // (plan.shards * plan.slot_rows)))
     placed = cut_lineage(tree.select("id", "size", "text_crc32", "tie", F.col("node").cast("int").alias("shard"), F.pmod(F.xxhash64("tie"), F.lit(buckets)).cast("int").alias("bucket")))
-    counts = placed.groupBy("shard", "bucket").agg(F.count("id").alias("n"))
+    counts = placed.groupBy("shard", "bucket").agg(F.count("*").alias("n"))
     before = F.sum("n").over(Window.partitionBy("shard").orderBy("bucket")) - F.col("n")
     offsets = counts.select("shard", "bucket", before.alias("before"))
     place = F.row_number().over(Window.partitionBy("shard", "bucket").orderBy("tie", "id")) - 1

@@ -37,6 +37,7 @@ from tablewright.llm.words import U64, mix, slices, text_shingles
 from tablewright.session import cut_lineage
 
 _STEP = U64(0x9E3779B97F4A7C15)
+ROW = "__row"
 
 
 @dataclass(frozen=True)
@@ -139,8 +140,16 @@ def _may_reach(larger, smaller, size_a, size_b, plan: SketchPlan) -> np.ndarray:
     return below - best <= plan.doubt
 
 
-def _scanned(docs: DataFrame, plan: SketchPlan, id_col: str, text_col: str) -> DataFrame:
-    """Per document: id, set size, 128-bit name of the set, registers."""
+def numbered(docs: DataFrame) -> DataFrame:
+    """The rows with a number of their own in ``ROW``, written once so that it stays the same.
+
+    Null and repeated ids cannot tell rows apart; this does.
+    """
+    return cut_lineage(docs.withColumn(ROW, F.monotonically_increasing_id()))
+
+
+def _scanned(docs: DataFrame, plan: SketchPlan, text_col: str) -> DataFrame:
+    """Per row: number, set size, 128-bit name of the set, registers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -159,11 +168,11 @@ def _scanned(docs: DataFrame, plan: SketchPlan, id_col: str, text_col: str) -> D
                     ["id", "n", "name_a", "name_b", "registers"],
                 )
 
-    return _texts(docs, id_col, text_col).mapInArrow(run, "id long, n long, name_a long, name_b long, registers binary")
+    return _texts(docs, text_col).mapInArrow(run, "id long, n long, name_a long, name_b long, registers binary")
 
 
-def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+def _texts(docs: DataFrame, text_col: str) -> DataFrame:
+    return docs.select(F.col(ROW).alias("id"), F.col(text_col).cast("string").alias("text"))
 
 
 def _name(hashes: np.ndarray) -> tuple[int, int]:
@@ -213,8 +222,8 @@ def _estimated(pairs: DataFrame, classes: DataFrame, plan: SketchPlan) -> DataFr
     return joined.mapInArrow(run, "a long, b long")
 
 
-def _sets(ids: DataFrame, docs: DataFrame, plan: SketchPlan, id_col: str, text_col: str) -> DataFrame:
-    """Full shingle sets of the documents in ``ids``, made anew from the texts."""
+def _sets(ids: DataFrame, docs: DataFrame, plan: SketchPlan, text_col: str) -> DataFrame:
+    """Full shingle sets of the rows in ``ids``, made anew from the texts."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -223,7 +232,7 @@ def _sets(ids: DataFrame, docs: DataFrame, plan: SketchPlan, id_col: str, text_c
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(found, pa.binary())], ["id", "elements"])
 
     needed = cut_lineage(ids.distinct())
-    texts = _texts(docs, id_col, text_col).join(needed, "id", "left_semi").dropDuplicates(["id"])
+    texts = _texts(docs, text_col).join(needed, "id", "left_semi")
     return cut_lineage(texts.mapInArrow(sets, "id long, elements binary"))
 
 
@@ -282,7 +291,7 @@ def _likely_in_block(pdf: pd.DataFrame, plan: SketchPlan) -> Iterator[tuple[int,
             yield x, y
 
 
-def _between_components(rows: DataFrame, docs: DataFrame, plan: SketchPlan, id_col: str, text_col: str) -> DataFrame:
+def _between_components(rows: DataFrame, docs: DataFrame, plan: SketchPlan, text_col: str) -> DataFrame:
     """Links (a, b) between components that share buckets; rows: key, rep, component, n, registers."""
     dealt = cut_lineage(_in_blocks(rows, plan))
 
@@ -312,20 +321,27 @@ def _between_components(rows: DataFrame, docs: DataFrame, plan: SketchPlan, id_c
         return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
 
     marked = cut_lineage(dealt.groupBy("key", "i", "j").applyInPandas(involved, "key long, i int, j int, rep long"))
-    sets = _sets(marked.select(F.col("rep").alias("id")), docs, plan, id_col, text_col)
+    sets = _sets(marked.select(F.col("rep").alias("id")), docs, plan, text_col)
     again = dealt.join(marked, ["key", "i", "j", "rep"]).join(sets.withColumnRenamed("id", "rep"), "rep")
     return cut_lineage(again.groupBy("key", "i", "j").applyInPandas(verify, "a long, b long"))
 
 
 def near_duplicates(docs: DataFrame, plan: SketchPlan = SketchPlan(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: id, ``n_shingles``, ``component_id``, ``kept``.
+    """One row per row: id, ``n_shingles``, ``component_id``, ``kept``.
 
     Texts with a similarity of at least ``percent`` are linked; the component is the smallest id
-    that links reach, ``kept`` is true for that document. A text without words, or null, has the
-    empty set: it is linked with nothing, not even with its equals. Rows that repeat an id are
-    kept as rows; they should have the same text. An empty table gives no rows.
+    that links reach. ``kept`` is true for one row of each component, a row with that id. A text
+    without words, or null, has the empty set: it is linked with nothing, not even with its
+    equals. Rows whose id is null or repeated are rows like all others, with their own texts; a
+    component of null ids alone has a null id. An empty table gives no rows.
     """
-    scanned = cut_lineage(_scanned(docs, plan, id_col, text_col))
+    rows = numbered(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")))
+    return row_components(rows, plan, "id", "text").select(F.col("id").alias(id_col), "n_shingles", "component_id", "kept")
+
+
+def row_components(rows: DataFrame, plan: SketchPlan = SketchPlan(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``near_duplicates`` of ``numbered`` rows, with the row number: ``ROW``, ``id`` and the rest."""
+    scanned = cut_lineage(_scanned(rows, plan, text_col))
     full = scanned.where("n > 0")
     classes = cut_lineage(
         full.groupBy("name_a", "name_b", "n").agg(F.min("id").alias("rep"), F.first("registers").alias("registers"))
@@ -335,7 +351,7 @@ def near_duplicates(docs: DataFrame, plan: SketchPlan = SketchPlan(), id_col: st
     shared = cut_lineage(bands.join(hubs, "key").select("key", "rep", "hub"))
     star = shared.where("rep <> hub").select(F.col("rep").alias("a"), F.col("hub").alias("b")).distinct()
     tested = cut_lineage(_estimated(star, classes, plan))
-    sets = _sets(tested.select(F.explode(F.array("a", "b")).alias("id")), docs, plan, id_col, text_col)
+    sets = _sets(tested.select(F.explode(F.array("a", "b")).alias("id")), rows, plan, text_col)
     links = _verified(tested, sets, plan)
     found = graph.components(links)
 
@@ -344,12 +360,19 @@ def near_duplicates(docs: DataFrame, plan: SketchPlan = SketchPlan(), id_col: st
     mixed = cut_lineage(current.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("key"))
     open_rows = current.join(mixed, "key").join(classes.select("rep", "n", "registers"), "rep")
     open_rows = open_rows.select("key", "rep", "component", "n", "registers")
-    links = links.unionByName(_between_components(open_rows, docs, plan, id_col, text_col))
+    links = links.unionByName(_between_components(open_rows, rows, plan, text_col))
     found = graph.components(links)
 
-    members = full.join(classes.select("name_a", "name_b", "n", "rep"), ["name_a", "name_b", "n"])
+    members = full.select("id", "name_a", "name_b", "n").join(classes.select("name_a", "name_b", "n", "rep"), ["name_a", "name_b", "n"])
     placed = members.join(found, members["rep"] == found["node"], "left")
-    placed = placed.select("id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep").alias("component_id"))
-    empty = scanned.where("n = 0").select("id", F.col("n").alias("n_shingles"), F.col("id").alias("component_id"))
-    out = placed.unionByName(empty).withColumn("kept", F.col("id") == F.col("component_id"))
-    return out.withColumnRenamed("id", id_col)
+    placed = placed.select("id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep").alias("component"))
+    empty = scanned.where("n = 0").select("id", F.col("n").alias("n_shingles"), F.col("id").alias("component"))
+    own = rows.select(F.col(ROW).alias("row"), F.col(id_col).cast("long").alias("own_id"))
+    out = cut_lineage(placed.unionByName(empty).join(own, F.col("id") == F.col("row")).select("row", "own_id", "n_shingles", "component"))
+    # The first row of a component: the smallest id, nulls last, then the smallest number.
+    first = F.min(F.struct(F.col("own_id").isNull().alias("missing"), "own_id", "row")).alias("first")
+    heads = out.groupBy("component").agg(first)
+    out = out.join(heads, "component")
+    return out.select(
+        F.col("row").alias(ROW), F.col("own_id").alias("id"), "n_shingles", F.col("first.own_id").alias("component_id"), (F.col("row") == F.col("first.row")).alias("kept")
+    )

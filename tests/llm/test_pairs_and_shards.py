@@ -103,6 +103,31 @@ def test_near_duplicates_equal_brute_force(docs):
     assert setsketch.near_duplicates(frame.limit(0)).count() == 0
 
 
+def test_near_duplicates_with_null_and_repeated_ids(docs):
+    copies = " ".join(f"w{k}" for k in range(60))
+    rows = [
+        (None, "a text of its own without any id"), (None, copies), (5, copies + " end"), (5, "another text that shares the id five"),
+        (7, "two rows equal in all they hold"), (7, "two rows equal in all they hold"), (None, None), (None, ""), (9, ""),
+        (None, "only rows without an id hold this"), (None, "only rows without an id hold this"),
+    ]
+    out = setsketch.near_duplicates(docs(*[t for _, t in rows], ids=[i for i, _ in rows])).collect()
+    found = Counter((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in out)
+    assert found == Counter([
+        (None, 4, None, True), (None, 56, 5, False), (5, 57, 5, True), (5, 3, 5, True), (7, 3, 7, True), (7, 3, 7, False),
+        (None, 0, None, True), (None, 0, None, True), (9, 0, 9, True), (None, 3, None, True), (None, 3, None, False),
+    ])
+
+
+def test_no_copies_stage_keeps_rows_with_null_and_repeated_ids(spark):
+    import corpus_pipeline as p
+
+    texts = ["one text of its own without id", "first of two texts with one id", "second and other text of that id", "second and other text of that id"]
+    rows = [(i, t, "en", "s", len(t)) for i, t in zip((None, 3, 3, 4), texts, strict=True)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    kept = p.drop_copies(spark, docs, "")
+    assert kept.columns == docs.columns and sorted(map(tuple, kept.collect()), key=repr) == sorted(rows[:3], key=repr)
+
+
 def test_near_duplicates_of_the_sample(sample):
     texts = {r.doc_id: r.text for r in sample.select("doc_id", "text").collect()}
     found = {r.doc_id: r.component_id for r in setsketch.near_duplicates(sample).collect()}
@@ -184,6 +209,18 @@ def test_shards_are_equal_and_gapless(spark, docs):
     assert kdtree.shard(frame.limit(3), dimensions).count() == 3
 
 
+def test_slots_are_gapless_with_null_and_repeated_ids(docs):
+    rng = random.Random(9)
+    texts = ["w" * rng.randint(0, 300) for _ in range(400)]
+    ids = [None if k % 3 == 0 else k // 4 for k in range(400)]
+    dimensions = {"length": kdtree.magnitude(F.octet_length("text"))}
+    out = kdtree.shard(docs(*texts, ids=ids), dimensions, kdtree.TreePlan(shards=2)).toPandas()
+    bytes_of = out.groupby("shard")["size"].sum()
+    assert len(out) == 400 and len(bytes_of) == 2 and bytes_of.max() - bytes_of.min() <= 0.05 * bytes_of.mean() + 316
+    for _, s in out.groupby("shard"):
+        assert sorted(s.slot) == list(range(len(s)))
+
+
 def test_license_notices(docs):
     mit, apache = dict(licenses.TEMPLATES)["MIT"], dict(licenses.TEMPLATES)["Apache-2.0-line"]
     changed = mit.replace("sublicense", "relicense").upper()
