@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablewright.llm import bpe, ctw, embeddings, kdtree, licenses, maxscore, packing, pii, setsketch, toxicity
+from tablewright.llm import bpe, ctw, embeddings, filter_audit, fim, kdtree, langid, licenses, maxscore, packing, pii, setsketch, toxicity
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -95,6 +95,27 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+@_query(filter_audit.oracle())
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What five filters remove in all 120 orders, per source and label."""
+    return filter_audit.audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+@_query(fim.oracle())
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All texts rearranged for filling in a middle, and taken back."""
+    return fim.digests(_table(spark, sf_dir, "documents"))
+
+
+@_query()
+def op13_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Languages of all texts; a third of the ids is held out from training."""
+    docs = _table(spark, sf_dir, "documents")
+    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1
+    found = langid.predict(docs, langid.fit(docs, ~held_out))
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
 @_query()
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity, near-duplicates, personal data and packing, one after the other."""
