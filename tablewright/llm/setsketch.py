@@ -33,6 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tablewright.llm import graph
+from tablewright.llm.lookup import lookup
 from tablewright.llm.words import U64, mix, slices, text_shingles
 from tablewright.session import cut_lineage
 
@@ -46,7 +47,8 @@ class SketchPlan:
 
     ``bands`` times ``rows`` registers serve as band keys, all ``registers`` serve the estimate.
     ``doubt`` is the log-likelihood that a pair may lose against the best fit before it is
-    dropped (12.5: five standard deviations). ``block`` bounds the classes that a task compares.
+    dropped (12.5: five standard deviations). ``block`` bounds the classes that are compared at a
+    time, and ``task_pairs`` is how many pairs of classes a task is given to compare.
     """
 
     shingle: int = 5
@@ -57,6 +59,7 @@ class SketchPlan:
     base: float = 1.005
     doubt: float = 12.5
     block: int = 1024
+    task_pairs: int = 1 << 21
 
 
 def sketch(hashes: list[np.ndarray], registers: int, base: float) -> np.ndarray:
@@ -259,13 +262,20 @@ def _verified(pairs: DataFrame, sets: DataFrame, plan: SketchPlan) -> DataFrame:
     return cut_lineage(joined.mapInArrow(run, "a long, b long"))
 
 
-def _in_blocks(rows: DataFrame, plan: SketchPlan) -> DataFrame:
-    """Rows of buckets dealt to pairs of blocks (key, i, j): large buckets are cut by a hash."""
+def _in_blocks(rows: DataFrame, plan: SketchPlan) -> tuple[DataFrame, int]:
+    """Rows of buckets dealt to pairs of blocks (key, i, j), and the tasks that their pairs are worth.
+
+    Large buckets are cut by a hash. Work grows with the square of a bucket's members, which a
+    number of tasks that follows the bytes would not see.
+    """
     size = cut_lineage(rows.groupBy("key").agg(F.count("rep").alias("members")))
+    pairs = size.agg(F.sum(F.col("members").cast("double") * F.col("members")) / 2).first()[0] or 0
     own = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
     other = F.explode(F.sequence(F.lit(0), (F.col("blocks") - 1).cast("int")))
     dealt = rows.join(size, "key").withColumn("blocks", F.ceil(F.col("members") / plan.block)).withColumn("own", own).withColumn("other", other)
-    return dealt.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other")).drop("other", "blocks", "members")
+    dealt = dealt.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other")).drop("other", "blocks", "members")
+    least = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return dealt, max(least, math.ceil(pairs / plan.task_pairs))
 
 
 def _likely_in_block(pdf: pd.DataFrame, plan: SketchPlan) -> Iterator[tuple[int, np.ndarray]]:
@@ -283,23 +293,25 @@ def _likely_in_block(pdf: pd.DataFrame, plan: SketchPlan) -> Iterator[tuple[int,
         y = y[comps[y] != comps[x]]
         if two_blocks:
             y = y[own_block[y] != own_block[x]]
-        if len(y):
-            y = y[likely(registers[x : x + 1], registers[y], np.full(len(y), n[x]), n[y], plan)]
         if band and len(y):
             y = y[~(keys[y, :band] == keys[x, :band]).any(axis=1)]
+        if len(y):
+            y = y[likely(registers[x : x + 1], registers[y], np.full(len(y), n[x]), n[y], plan)]
         if len(y):
             yield x, y
 
 
 def _between_components(rows: DataFrame, docs: DataFrame, plan: SketchPlan, text_col: str) -> DataFrame:
     """Links (a, b) between components that share buckets; rows: key, rep, component, n, registers."""
-    dealt = cut_lineage(_in_blocks(rows, plan))
+    dealt, tasks = _in_blocks(rows, plan)
+    dealt, place = cut_lineage(dealt), ["key", "i", "j"]
+    in_place = lambda df: df.repartition(tasks, *place).groupBy(*place)
 
     def involved(pdf: pd.DataFrame) -> pd.DataFrame:
         marked = np.zeros(len(pdf), bool)
         for x, y in _likely_in_block(pdf, plan):
             marked[x] = marked[y] = True
-        return pdf.loc[marked, ["key", "i", "j", "rep"]]
+        return pdf.loc[marked, [*place, "rep"]]
 
     def verify(pdf: pd.DataFrame) -> pd.DataFrame:
         reps, comps = pdf["rep"].to_numpy(), pdf["component"].to_numpy()
@@ -320,10 +332,10 @@ def _between_components(rows: DataFrame, docs: DataFrame, plan: SketchPlan, text
                     found.append((reps[x], reps[y]))
         return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
 
-    marked = cut_lineage(dealt.groupBy("key", "i", "j").applyInPandas(involved, "key long, i int, j int, rep long"))
+    marked = cut_lineage(in_place(dealt).applyInPandas(involved, "key long, i int, j int, rep long"))
     sets = _sets(marked.select(F.col("rep").alias("id")), docs, plan, text_col)
-    again = dealt.join(marked, ["key", "i", "j", "rep"]).join(sets.withColumnRenamed("id", "rep"), "rep")
-    return cut_lineage(again.groupBy("key", "i", "j").applyInPandas(verify, "a long, b long"))
+    again = dealt.join(marked, [*place, "rep"]).join(sets.withColumnRenamed("id", "rep"), "rep")
+    return cut_lineage(in_place(again).applyInPandas(verify, "a long, b long"))
 
 
 def near_duplicates(docs: DataFrame, plan: SketchPlan = SketchPlan(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -372,7 +384,7 @@ def row_components(rows: DataFrame, plan: SketchPlan = SketchPlan(), id_col: str
     # The first row of a component: the smallest id, nulls last, then the smallest number.
     first = F.min(F.struct(F.col("own_id").isNull().alias("missing"), "own_id", "row")).alias("first")
     heads = out.groupBy("component").agg(first)
-    out = out.join(heads, "component")
+    out = lookup(out, heads, ["component"], "row")
     return out.select(
         F.col("row").alias(ROW), F.col("own_id").alias("id"), "n_shingles", F.col("first.own_id").alias("component_id"), (F.col("row") == F.col("first.row")).alias("kept")
     )
