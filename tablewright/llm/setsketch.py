@@ -27,7 +27,6 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -278,64 +277,112 @@ def _in_blocks(rows: DataFrame, plan: SketchPlan) -> tuple[DataFrame, int]:
     return dealt, max(least, math.ceil(pairs / plan.task_pairs))
 
 
-def _likely_in_block(pdf: pd.DataFrame, plan: SketchPlan) -> Iterator[tuple[int, np.ndarray]]:
-    """Each row's later rows of other components that it may be linked with.
+def _whole_groups(batches: Iterator[pa.RecordBatch], limit: int = 1 << 24) -> Iterator[pa.Table]:
+    """Rows that come ordered by their first three columns, in tables that hold whole groups of these.
 
-    A pair is dealt with in the first band that it shares, and in its own pair of blocks.
+    A table has about ``limit`` bytes, or one group.
     """
-    registers = _registers(pdf["registers"], plan)
-    comps, n, own_block = (pdf[c].to_numpy() for c in ("component", "n", "own"))
-    keys = band_keys(registers, plan)
-    band = int(np.flatnonzero((keys == pdf["key"].to_numpy().view(U64)[:1, None]).all(axis=0))[0])
-    two_blocks = pdf["i"].iloc[0] != pdf["j"].iloc[0]
-    for x in range(len(comps) - 1):
-        y = np.arange(x + 1, len(comps))
-        y = y[comps[y] != comps[x]]
-        if two_blocks:
-            y = y[own_block[y] != own_block[x]]
-        if band and len(y):
-            y = y[~(keys[y, :band] == keys[x, :band]).any(axis=1)]
-        if len(y):
-            y = y[likely(registers[x : x + 1], registers[y], np.full(len(y), n[x]), n[y], plan)]
-        if len(y):
-            yield x, y
+    held, size = [], 0
+    for batch in batches:
+        held.append(batch)
+        size += batch.nbytes
+        if size >= limit:
+            table = pa.Table.from_batches(held).combine_chunks()
+            cut = int(_group_starts(table)[-1])
+            if cut:
+                yield table.slice(0, cut)
+            held = table.slice(cut).to_batches()
+            size = sum(b.nbytes for b in held)
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
+def _group_starts(table: pa.Table) -> np.ndarray:
+    place = np.stack([np.asarray(table.column(k), np.int64) for k in range(3)])
+    return np.concatenate([[0], np.flatnonzero((place[:, 1:] != place[:, :-1]).any(axis=0)) + 1]) if place.shape[1] else np.zeros(1, np.int64)
+
+
+def _likely_pairs(table: pa.Table, plan: SketchPlan, at_once: int = 1 << 17) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places of rows of different components in one group that may be linked, for whole groups.
+
+    A pair is dealt with in the first band that it shares, and in its own pair of blocks. Pairs of
+    small and large groups are tested alike, about ``at_once`` at a time.
+    """
+    registers = _registers(table.column("registers"), plan)
+    of = lambda c: np.asarray(table.column(c))
+    comps, n, own = of("component"), of("n"), of("own")
+    keys, crossing = band_keys(registers, plan), of("i") != of("j")
+    band = (keys == of("key").view(U64)[:, None]).argmax(axis=1)
+    starts = np.concatenate([_group_starts(table), [len(comps)]])
+    end = np.repeat(starts[1:], np.diff(starts))
+    later = end - np.arange(len(comps)) - 1
+    upto = np.cumsum(later)
+    at = 0
+    while at < len(comps):
+        to = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + at_once, side="right")))
+        x = np.repeat(np.arange(at, to), later[at:to])
+        y = x + 1 + np.arange(len(x)) - np.repeat(np.cumsum(later[at:to]) - later[at:to], later[at:to])
+        at = to
+        keep = comps[x] != comps[y]
+        keep &= ~crossing[x] | (own[x] != own[y])
+        keep &= np.minimum(n[x], n[y]) >= plan.percent / 100 * np.maximum(n[x], n[y])
+        x, y = x[keep], y[keep]
+        for k in range(0, len(x), 1 << 13):
+            some, others = x[k : k + (1 << 13)], y[k : k + (1 << 13)]
+            earlier = (keys[some] == keys[others]) & (np.arange(plan.bands) < band[some][:, None])
+            first = ~earlier.any(axis=1)
+            some, others = some[first], others[first]
+            near = likely(registers[some], registers[others], n[some], n[others], plan)
+            if near.any():
+                yield some[near], others[near]
 
 
 def _between_components(rows: DataFrame, docs: DataFrame, plan: SketchPlan, text_col: str) -> DataFrame:
     """Links (a, b) between components that share buckets; rows: key, rep, component, n, registers."""
     dealt, tasks = _in_blocks(rows, plan)
-    dealt, place = cut_lineage(dealt), ["key", "i", "j"]
-    in_place = lambda df: df.repartition(tasks, *place).groupBy(*place)
-
-    def involved(pdf: pd.DataFrame) -> pd.DataFrame:
-        marked = np.zeros(len(pdf), bool)
-        for x, y in _likely_in_block(pdf, plan):
-            marked[x] = marked[y] = True
-        return pdf.loc[marked, [*place, "rep"]]
-
-    def verify(pdf: pd.DataFrame) -> pd.DataFrame:
-        reps, comps = pdf["rep"].to_numpy(), pdf["component"].to_numpy()
-        sets = [np.frombuffer(e, U64) for e in pdf["elements"]]
-        joined: dict[int, int] = {}
-
-        def root(c: int) -> int:
-            while c in joined:
-                c = joined[c]
-            return c
-
-        found = []
-        for x, several in _likely_in_block(pdf, plan):
-            for y in several:
-                a, b = root(comps[x]), root(comps[y])
-                if a != b and _similar(sets[x], sets[y], plan.percent):
-                    joined[max(a, b)] = min(a, b)
-                    found.append((reps[x], reps[y]))
-        return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
-
-    marked = cut_lineage(in_place(dealt).applyInPandas(involved, "key long, i int, j int, rep long"))
+    place = ["key", "i", "j"]
+    facts = [*place, "own", "rep", "component", "n", "registers"]
+    dealt = cut_lineage(dealt.select(*facts))
+    in_place = lambda df: df.repartition(tasks, *place).sortWithinPartitions(*place)
+
+    def involved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _whole_groups(batches):
+            marked = np.zeros(len(table), bool)
+            for x, y in _likely_pairs(table, plan):
+                marked[x] = marked[y] = True
+            found = table.select([*place, "rep"]).filter(pa.array(marked))
+            yield from found.to_batches()
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _whole_groups(batches):
+            yield _first_links(table, plan)
+
+    marked = cut_lineage(in_place(dealt).mapInArrow(involved, "key long, i int, j int, rep long"))
     sets = _sets(marked.select(F.col("rep").alias("id")), docs, plan, text_col)
-    again = dealt.join(marked, [*place, "rep"]).join(sets.withColumnRenamed("id", "rep"), "rep")
-    return cut_lineage(in_place(again).applyInPandas(verify, "a long, b long"))
+    again = dealt.join(marked, [*place, "rep"]).join(sets.withColumnRenamed("id", "rep"), "rep").select(*facts, "elements")
+    return cut_lineage(in_place(again).mapInArrow(verify, "a long, b long"))
+
+
+def _first_links(table: pa.Table, plan: SketchPlan) -> pa.RecordBatch:
+    """Verified links (a, b) of whole groups, without those between components already joined here."""
+    reps, comps = (np.asarray(table.column(c)) for c in ("rep", "component"))
+    sets = [np.frombuffer(e.as_buffer(), U64) for e in table.column("elements")]
+    joined: dict[int, int] = {}
+
+    def root(c: int) -> int:
+        while c in joined:
+            c = joined[c]
+        return c
+
+    found = []
+    for some, others in _likely_pairs(table, plan):
+        for x, y in zip(some.tolist(), others.tolist(), strict=True):
+            a, b = root(int(comps[x])), root(int(comps[y]))
+            if a != b and _similar(sets[x], sets[y], plan.percent):
+                joined[max(a, b)] = min(a, b)
+                found.append((reps[x], reps[y]))
+    ends = np.array(found, np.int64).reshape(-1, 2)
+    return pa.RecordBatch.from_arrays([pa.array(ends[:, 0]), pa.array(ends[:, 1])], ["a", "b"])
 
 
 def near_duplicates(docs: DataFrame, plan: SketchPlan = SketchPlan(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
