@@ -6,6 +6,10 @@ token is kept if BPE itself would leave the border to its left neighbour in plac
 shorter prefix is tried, and when none is left the neighbour is given back. Borders and dead ends
 are remembered, so the work is linear in the piece.
 
+Texts are cut into pieces by a pattern. Letters, digits and white space in it are those of the rank
+files' own library, whose Unicode tables differ from this module's; the code points on which
+they differ are found once in each worker.
+
 Edge cases: null text is the empty text (no ids); a piece that is a token itself is that token,
 as the rank files' own library has it; bytes without a token of their own cannot occur, as every
 byte has one (checked when the file is read).
@@ -22,6 +26,7 @@ from itertools import chain
 import ahocorasick
 import pyarrow as pa
 import regex
+import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -132,6 +137,41 @@ class PieceEncoder:
         return tuple(taken)
 
 
+# The classes that patterns name, in the order they are looked up, with a member that both
+# libraries agree on and no pattern names; and one that is in none of them.
+_CLASSES = ((r"\p{L}", "a"), (r"\p{N}", "0"), (r"\s", "\u2003"))
+_OTHER = "\ufffd"
+
+
+@lru_cache(maxsize=1)
+def class_differences() -> dict[int, str]:
+    """Code points that the rank files' library has in another class, with a stand-in of that class."""
+    everything = "".join(map(chr, chain(range(0xD800), range(0xE000, 0x110000))))
+    singles = {bytes([b]): b for b in range(256)}
+    own: dict[str, str] = {}
+    theirs: dict[str, str] = {}
+    for pattern, member in _CLASSES:
+        library = tiktoken.Encoding("class", pat_str=pattern, mergeable_ranks=singles, special_tokens={})
+        theirs.update(dict.fromkeys(bytes(library.encode_ordinary(everything)).decode(), member))
+        own.update(dict.fromkeys(regex.findall(pattern, everything), member))
+    return {ord(c): theirs.get(c, _OTHER) for c in own.keys() | theirs.keys() if own.get(c) != theirs.get(c)}
+
+
+class Splitter:
+    """Pieces of texts by a pattern over letters, digits, white space and ASCII characters."""
+
+    def __init__(self, pattern: str):
+        self.pattern = regex.compile(pattern)
+        self.stand_ins = class_differences()
+        self.odd = regex.compile("[" + "".join(map(regex.escape, map(chr, sorted(self.stand_ins)))) + "]") if self.stand_ins else None
+
+    def pieces(self, text: str) -> list[str]:
+        if self.odd is None or self.odd.search(text) is None:
+            return self.pattern.findall(text)
+        # Every stand-in is one code point too, so places in both texts are the same.
+        return [text[m.start() : m.end()] for m in self.pattern.finditer(text.translate(self.stand_ins))]
+
+
 class TextEncoder(dict):
     """Ids of pieces by their text, computed when first asked for.
 
@@ -143,7 +183,7 @@ class TextEncoder(dict):
         super().__init__()
         self.old: dict[str, tuple[int, ...]] = {}
         self.pieces = PieceEncoder(ranks)
-        self.split = regex.compile(pattern).findall
+        self.split = Splitter(pattern).pieces
         self.token_bytes = self.pieces.bytes_of.__getitem__
 
     def __missing__(self, piece: str) -> tuple[int, ...]:

@@ -164,6 +164,25 @@ def test_vector_links_equal_brute_force(spark):
     assert embeddings.links(frame.limit(0)).count() == 0
 
 
+def test_vector_links_with_null_and_repeated_ids(spark):
+    rows = [(None, [1.0, 0.0]), (None, [0.0, 1.0]), (1, [1.0, 0.01]), (1, [-1.0, 0.0]), (2, [0.01, 1.0]), (3, [0.0, -1.0]), (None, None), (None, [-1.0, 1.0]), (1, [0.0, 0.0])]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    out = embeddings.links(frame).collect()
+    assert sorted((tuple(r) for r in out), key=repr) == sorted(
+        [(None, 1, 1, False), (1, 1, 1, True), (None, 1, 2, False), (2, 1, 2, True), (1, 0, 1, True), (3, 0, 3, True), (None, 0, None, True), (None, 0, None, True), (1, 0, 1, True)], key=repr
+    )
+
+
+def test_search_with_null_and_repeated_ids(spark):
+    rows = [(None, [3.0, 0.0]), (20, [1.0, 0.0]), (20, [0.0, 1.0]), (1, [3.0, 0.0]), (1, [0.0, 2.0]), (None, None), (40, [None, 1.0])]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    for plan in (maxscore.SearchPlan(), maxscore.SearchPlan(k=20, chunk=2, shard=2, query_block=1)):
+        out = [tuple(r) for r in maxscore.search(frame, F.col("vec_id") % 20 == 0, plan).collect()]
+        first, second = 64 * 64 * 3, 64 * 64 * 2
+        wanted = [(20, 1, 1, first), (20, 2, None, first), (20, 3, 1, 0), (20, 4, 20, 0), (20, 1, 1, second), (20, 2, 1, 0), (20, 3, 20, 0), (20, 4, None, 0)]
+        assert sorted(out, key=repr) == sorted(wanted, key=repr)
+
+
 def test_quantisation_bounds_hold():
     rng = np.random.default_rng(0)
     x = rng.normal(size=(300, 40)) * np.exp(rng.normal(size=(300, 40)))

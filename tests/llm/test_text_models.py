@@ -6,6 +6,7 @@ import math
 import random
 import re
 import time
+import unicodedata
 import zlib
 from collections import Counter
 
@@ -49,6 +50,33 @@ def test_bpe_equals_the_library_and_decodes(docs):
     assert bpe.encode(frame.limit(0), RANKS, public_tokenizers.PATTERN).count() == 0
 
 
+def test_pieces_end_where_the_library_ends_them():
+    """Every code point between two letters, a digit and a sign of three bytes; ones of large uniform classes in runs."""
+    enc, own = reference_encoding(), bpe.TextEncoder(bpe.read_ranks(RANKS), public_tokenizers.PATTERN)
+    odd = [chr(c) for c in bpe.class_differences()]
+    assert odd and all(own.encode(t) == enc.encode_ordinary(t) for c in odd for t in (f"a{c}b 1{c}漢", f" {c}{c}\uac1c "))
+    by_kind: dict[int, list[str]] = {1: [], 8: [], 128: []}
+    for c in map(chr, range(0x110000)):
+        kind = unicodedata.category(c)
+        if kind != "Cs":
+            by_kind[128 if kind in ("Cn", "Co") else 8 if kind == "Lo" else 1].append(c)
+    for run, points in by_kind.items():
+        texts = [f"a{c}b 1{c}漢" for k in range(0, len(points), run) for c in ["".join(points[k : k + run])]]
+        for k in range(0, len(texts), 4096):
+            text = " ".join(texts[k : k + 4096])
+            assert own.encode(text) == enc.encode_ordinary(text)
+
+
+def test_packing_encodes_every_code_point_as_the_library():
+    """Pieces are cut by tables newer than the library's, so it has to see each piece again."""
+    coder, library = packing.DocumentTokens(TOKENIZER), Tokenizer.from_file(TOKENIZER)
+    rng = random.Random(9)
+    points = [chr(c) for c in bpe.class_differences()] + [chr(rng.randrange(0x20, 0xD800)) for _ in range(4000)]
+    texts = [f"a{c}b 1{c}漢 {c}!! {c}{c}- .{c}1 x{c}" for c in points]
+    wanted = [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
+    assert [t.tolist() for t in coder.encode(texts)] == [ids + [0] for ids in wanted]
+
+
 def test_bpe_needs_all_bytes():
     with pytest.raises(ValueError, match="single byte"):
         bpe.PieceEncoder({b"a": 0})
