@@ -33,7 +33,7 @@ class LinkPlan:
     """``block`` vectors make a tile's side; at most ``pivots`` cells, from a hash sample."""
 
     threshold: float = 0.95
-    block: int = 4096
+    block: int = 16384
     pivots: int = 256
     chunk: int = 512
 
@@ -110,16 +110,18 @@ def local_roots(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
 
 
 def _packed(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
-    """Usable vectors as packed doubles, scaled by their largest component, with a 128-bit name."""
+    """All rows, numbered: ``row``, ``id``, the vector as packed doubles scaled by their largest
+    component (null if it is unusable), and a 128-bit name of it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [(i, v / top) for i, v in zip(batch.column(0).to_pylist(), rows(batch.column(1)), strict=True) if len(v) and (top := np.abs(v).max()) > 0]
-            yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in found], pa.int64()), pa.array([v.tobytes() for _, v in found], pa.binary())], ["id", "x"])
+            found = [(v / top).tobytes() if len(v) and (top := np.abs(v).max()) > 0 else None for v in rows(batch.column(1))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], ["id", "x"])
 
-    usable = vectors.where(finite(vector_col)).select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"))
-    named = usable.mapInArrow(run, "id long, x binary")
-    return named.withColumn("name_a", F.xxhash64("x")).withColumn("name_b", F.xxhash64(F.lit(1), "x"))
+    nothing = F.array().cast("array<double>")
+    usable = F.when(finite(vector_col), F.col(vector_col).cast("array<double>")).otherwise(nothing)
+    packed = vectors.select(F.col(id_col).cast("long").alias("id"), usable.alias("v")).mapInArrow(run, "id long, x binary")
+    return packed.withColumn("row", F.monotonically_increasing_id()).withColumn("name_a", F.xxhash64("x")).withColumn("name_b", F.xxhash64(F.lit(1), "x"))
 
 
 def _pivots(classes: DataFrame, count: int, plan: LinkPlan) -> np.ndarray:
@@ -165,17 +167,19 @@ def links(vectors: DataFrame, plan: LinkPlan = LinkPlan(), id_col: str = "vec_id
     """One row per vector: id, ``n_links``, ``component_id``, ``kept``.
 
     Vectors that are null, empty, zero or hold null or non-finite components link with nothing.
-    A shorter vector is read as continued with zeros. Rows that repeat an id should repeat the
-    vector. Equal vectors are linked with each other. An empty table gives no rows.
+    A shorter vector is read as continued with zeros. Equal vectors are linked with each other.
+    Rows whose id is null or repeated are rows like all others, with their own vectors: the
+    component is the smallest id that links reach, null if none of its rows has one, and one row
+    of each component is kept, the first with that id. An empty table gives no rows.
     """
     spark = vectors.sparkSession
     packed = cut_lineage(_packed(vectors, id_col, vector_col))
-    classes = cut_lineage(packed.groupBy("name_a", "name_b").agg(F.min("id").alias("rep"), F.first("x").alias("x"), F.count("id").alias("copies")))
+    usable = packed.where(F.col("x").isNotNull())
+    classes = cut_lineage(usable.groupBy("name_a", "name_b").agg(F.min("row").alias("rep"), F.first("x").alias("x"), F.count("*").alias("copies")))
     count = classes.count()
-    everything = vectors.select(F.col(id_col).cast("long").alias("id"))
+    alone = packed.where(F.col("x").isNull()).select("row", "id", F.lit(0).cast("long").alias("n_links"), F.col("row").alias("component"))
     if count == 0:
-        alone = everything.select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"), F.lit(True).alias("kept"))
-        return alone.withColumnRenamed("id", id_col)
+        return _by_id(alone, id_col)
     pivots = _pivots(classes, count, plan)
     dealt = cut_lineage(_dealt(classes, pivots))
     meetings = spark.createDataFrame(_meetings(dealt, pivots, plan), "cell int, partner int, own_blocks int, partner_blocks int")
@@ -209,8 +213,11 @@ def links(vectors: DataFrame, plan: LinkPlan = LinkPlan(), id_col: str = "vec_id
     found = graph.components(tiles.select(F.col("rep").alias("a"), F.col("root").alias("b")))
     named = classes.select("rep", "name_a", "name_b", "copies").join(sums, "rep", "left")
     named = cut_lineage(named.join(found, F.col("rep") == F.col("node"), "left").select("name_a", "name_b", "copies", "links", F.coalesce("component", "rep").alias("component")))
-    members = packed.select("id", "name_a", "name_b").join(named, ["name_a", "name_b"])
-    members = members.select("id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.col("component").alias("component_id"))
-    unusable = everything.join(packed.select("id").distinct(), "id", "left_anti").select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
-    out = members.unionByName(unusable).withColumn("kept", F.col("id") == F.col("component_id"))
-    return out.withColumnRenamed("id", id_col)
+    members = usable.select("row", "id", "name_a", "name_b").join(named, ["name_a", "name_b"])
+    members = members.select("row", "id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "component")
+    return _by_id(members.unionByName(alone), id_col)
+
+
+def _by_id(found: DataFrame, id_col: str) -> DataFrame:
+    placed = cut_lineage(found.withColumnRenamed("id", "own_id"))
+    return graph.named(placed).select(F.col("own_id").alias(id_col), "n_links", "component_id", "kept")

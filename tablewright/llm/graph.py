@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tablewright.llm.lookup import lookup
 from tablewright.session import cut_lineage
 
 MAX_ROUNDS = 200
@@ -50,3 +51,15 @@ def _small_star(edges: DataFrame) -> DataFrame:
     least = cut_lineage(edges.groupBy("u").agg(F.min("v").alias("m")))
     moved = edges.join(least, "u").where(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.unionByName(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
+
+
+def named(rows: DataFrame) -> DataFrame:
+    """Components of numbered rows by their ids: ``rows`` with ``component_id`` and ``kept``.
+
+    ``rows`` has a ``row`` number, an ``own_id`` that may be null or repeat, and a ``component``; it
+    should be a written table. A component has its smallest id, null if it has none, and keeps one
+    row: the first with that id, by row number.
+    """
+    first = F.min(F.struct(F.col("own_id").isNull().alias("missing"), "own_id", "row")).alias("first")
+    found = lookup(rows, rows.groupBy("component").agg(first), ["component"], "row")
+    return found.withColumn("component_id", F.col("first.own_id")).withColumn("kept", F.col("row") == F.col("first.row")).drop("first", "component")

@@ -32,7 +32,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tablewright.llm import graph
-from tablewright.llm.lookup import lookup
 from tablewright.llm.words import U64, mix, slices, text_shingles
 from tablewright.session import cut_lineage
 
@@ -428,10 +427,4 @@ def row_components(rows: DataFrame, plan: SketchPlan = SketchPlan(), id_col: str
     empty = scanned.where("n = 0").select("id", F.col("n").alias("n_shingles"), F.col("id").alias("component"))
     own = rows.select(F.col(ROW).alias("row"), F.col(id_col).cast("long").alias("own_id"))
     out = cut_lineage(placed.unionByName(empty).join(own, F.col("id") == F.col("row")).select("row", "own_id", "n_shingles", "component"))
-    # The first row of a component: the smallest id, nulls last, then the smallest number.
-    first = F.min(F.struct(F.col("own_id").isNull().alias("missing"), "own_id", "row")).alias("first")
-    heads = out.groupBy("component").agg(first)
-    out = lookup(out, heads, ["component"], "row")
-    return out.select(
-        F.col("row").alias(ROW), F.col("own_id").alias("id"), "n_shingles", F.col("first.own_id").alias("component_id"), (F.col("row") == F.col("first.row")).alias("kept")
-    )
+    return graph.named(out).select(F.col("row").alias(ROW), F.col("own_id").alias("id"), "n_shingles", "component_id", "kept")
