@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import chain
@@ -163,10 +164,12 @@ class Splitter:
     def __init__(self, pattern: str):
         self.pattern = regex.compile(pattern)
         self.stand_ins = class_differences()
-        self.odd = regex.compile("[" + "".join(map(regex.escape, map(chr, sorted(self.stand_ins)))) + "]") if self.stand_ins else None
+        self.odd = frozenset(map(chr, self.stand_ins))
+        # One range is a fast first test: most texts have no code point that could be among them.
+        self.high = re.compile(f"[{min(self.odd)}-\U0010ffff]").search if self.odd else lambda text: None
 
     def pieces(self, text: str) -> list[str]:
-        if self.odd is None or self.odd.search(text) is None:
+        if self.high(text) is None or self.odd.isdisjoint(text):
             return self.pattern.findall(text)
         # Every stand-in is one code point too, so places in both texts are the same.
         return [text[m.start() : m.end()] for m in self.pattern.finditer(text.translate(self.stand_ins))]
