@@ -234,12 +234,25 @@ def src_csv_bad(spark, sf):
     FROM customer"""
 )
 def src_csv_mixed(spark, sf):
-    """A folder of one UTF-8, one Latin-1, and one file with stray quotes."""
+    """A folder of UTF-8 files, Latin-1 files, and files with stray quotes."""
     path = scratch_path(spark, "mixed")
     for kind, (word, charset) in enumerate((("Zoë", "UTF-8"), ("José", "ISO-8859-1"), ('5" pipe', "UTF-8"))):
         lines = table(spark, sf, "customer").where(F.col("c_custkey") % 3 == kind)
         lines = lines.select(F.concat("c_custkey", F.lit(f",{word} "), "c_name").alias("c_custkey,label"))
         # A separator and a quote that the text never contains: lines are written as they are.
         options = {"header": True, "sep": "\u0001", "quote": "\u0002", "encoding": charset}
-        lines.coalesce(1).write.mode("append").options(**options).csv(path)
+        lines.write.mode("append").options(**options).csv(path)
+    return shaped(delimited.read_csv(spark, path))
+
+
+@query(
+    r"""SELECT o_orderkey, concat('No. ', o_orderkey, chr(10), '"', o_orderpriority, '", ', chr(13), chr(10), chr(10), 'status ', o_orderstatus) AS note,
+    o_totalprice FROM orders"""
+)
+def src_csv_quoted(spark, sf):
+    """Orders with notes of several lines, quotes and commas, cut into records by byte ranges."""
+    path = scratch_path(spark, "quoted")
+    note = F.expr("""concat('No. ', o_orderkey, '\n"', o_orderpriority, '", ', '\r\n\nstatus ', o_orderstatus)""")
+    notes = table(spark, sf, "orders").select("o_orderkey", note.alias("note"), "o_totalprice")
+    notes.write.options(header=True, escape='"').csv(path)
     return shaped(delimited.read_csv(spark, path))

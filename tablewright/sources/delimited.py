@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from tablewright.functions import fixed_values as V
 from tablewright.functions.columns import NUMBER_TEXT, is_text, ref
+from tablewright.sources import quoted
 
 RAW = "__raw_line"
 SURPLUS = "__surplus_field"
@@ -28,9 +29,10 @@ def read_csv(
 
     Rows with too many fields are skipped, short rows are padded with nulls.
     Encoding and quoted line breaks are found out file by file in one pass over
-    the lines, unless given: a file without them stays splittable, whatever
-    lies beside it. So are headers: every file is read with its own, and columns
-    that only some files have are null elsewhere.
+    the lines, unless given. Files with quoted line breaks are read by byte
+    ranges like all others; their records are written to the shared folder
+    once. So are headers: every file is read with its own, and columns that
+    only some files have are null elsewhere.
     """
     kinds = _kinds(spark, path, encoding, multi_line)
     parts = [
@@ -45,7 +47,7 @@ def _kinds(spark, path, encoding, multi_line) -> dict[tuple[str, bool, str], lis
     """Files by encoding, by whether a record may go over several lines, and by header."""
     place = F.struct(F.col("_metadata.file_block_start"), F.monotonically_increasing_id())
     lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), place.alias("place"))
-    quotes = lambda c: F.length(F.regexp_replace(c, '[^"]', ""))
+    quotes = lambda c: F.octet_length(c) - F.octet_length(F.replace(c, F.lit('"'), F.lit("")))
     first = F.min_by("value", F.when(F.trim("value") != "", F.col("place")))
     # One row per file reaches the driver, as every listing of files does.
     found = lines.groupBy("file").agg(
@@ -76,15 +78,15 @@ def _read_alike(spark: SparkSession, files: list[str], encoding: str, multi_line
     header = spark.read.options(**options).csv(files).columns
     fields = [T.StructField(c, T.StringType()) for c in header]
     extra = [T.StructField(SURPLUS, T.StringType()), T.StructField(RAW, T.StringType())]
-    lines = (
-        spark.read.options(**options)
-        .option("mode", "PERMISSIVE")
-        .option("columnNameOfCorruptRecord", RAW)
-        # Fields are counted only when whole lines are parsed.
-        .option("columnPruning", False)
-        .schema(T.StructType(fields + extra))
-        .csv(files)
-    )
+    schema = T.StructType(fields + extra)
+    # Fields are counted only when whole lines are parsed.
+    checked = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": RAW, "columnPruning": False}
+    found = quoted.records(spark, files, encoding) if multi_line and encoding.upper() in quoted.ENCODINGS else None
+    if found is None:
+        lines = spark.read.options(**options, **checked).schema(schema).csv(files)
+    else:
+        parsed = {k: str(v).lower() if isinstance(v, bool) else v for k, v in {**options, **checked, "header": False}.items()}
+        lines = found.select(F.from_csv("record", schema.toDDL(), parsed).alias("r")).select("r.*")
     # Every regular row is one field short of this schema, so its raw line is
     # kept; a row that fills the surplus field, or fits exactly, is too long.
     regular = lines.where(F.col(RAW).isNotNull() & F.col(SURPLUS).isNull())
