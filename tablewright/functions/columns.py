@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from itertools import groupby
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -102,23 +105,46 @@ def parse_number(c: Column) -> Column:
 
 def to_integer(c: Column) -> Column:
     """Drop ``$`` and ``,``, parse, round half to even."""
-    parsed = parse_number(F.regexp_replace(c.cast("string"), r"[$,]", ""))
+    parsed = parse_number(F.translate(c.cast("string"), "$,", ""))
     return F.bround(parsed, 0).try_cast("bigint")
 
 
 def to_decimal(c: Column) -> Column:
     """Drop ``$``, ``,`` and ``%`` and parse; percentages are not divided."""
-    return parse_number(F.regexp_replace(c.cast("string"), r"[$,%]", ""))
+    return parse_number(F.translate(c.cast("string"), "$,%", ""))
+
+
+def is_decimal(c: Column) -> Column:
+    """Whether ``to_decimal`` gives a number: all such text can be cast."""
+    return trimmed(F.translate(c.cast("string"), "$,%", "")).rlike(NUMBER_TEXT)
 
 
 def to_datetime(c: Column) -> Column:
     """Mixed-layout date text to TIMESTAMP_NTZ, month first, bad text null."""
-    text = trimmed(c.cast("string"))
+    # No date of any layout is shorter than 1/1/2024.
+    text = trimmed(F.when(F.length(c.cast("string")) >= 8, c.cast("string")))
     iso = F.when(text.rlike(ISO_DATE_START), text.try_cast("timestamp_ntz"))
-    others = [
-        F.try_to_timestamp(text, F.lit(layout)).cast("timestamp_ntz") for layout in V.DATE_LAYOUTS
-    ]
-    return F.coalesce(iso, *others)
+    # A failed parse costs far more than a look at the value's shape, which most layouts share
+    # with another one. Layouts of one shape stand next to each other, so their order stays.
+    tried = []
+    for shape, layouts in groupby(V.DATE_LAYOUTS, layout_shape):
+        parsed = [F.try_to_timestamp(text, F.lit(layout)) for layout in layouts]
+        tried.append(F.when(text.rlike(shape), F.coalesce(*parsed).cast("timestamp_ntz")))
+    return F.coalesce(iso, *tried)
+
+
+def layout_shape(layout: str) -> str:
+    """A pattern that all texts of a date layout match: kinds of characters and punctuation alone."""
+    out = []
+    for letter, run in groupby(layout):
+        n = len(list(run))
+        if letter in "[]":
+            out.append(("(?:" if letter == "[" else ")?") * n)
+        elif letter.isalpha():
+            out.append(r"\p{L}+" if letter == "M" and n > 2 else r"[+-]?\d+")
+        else:
+            out.append(re.escape(letter * n))
+    return f"^{''.join(out)}$"
 
 
 def to_boolean(c: Column) -> Column:

@@ -9,11 +9,12 @@ from pyspark.sql.window import Window
 from tablewright.functions import fixed_values as V
 from tablewright.functions.columns import (
     as_text,
+    is_decimal,
     ref,
     small_frame,
     to_datetime,
-    to_decimal,
     trimmed,
+    unrolled,
 )
 from tablewright.operators import frequencies, ordered
 from tablewright.plans.profile import TableProfile
@@ -89,24 +90,26 @@ def value_shares(profile: TableProfile) -> list[dict]:
     columns = _candidates(profile)
     if not columns:
         return []
-    aggs = []
-    for i, c in enumerate(columns):
-        word = trimmed(as_text(profile.df, c))
-        aggs += [
-            F.count(word).alias(f"values{i}"),
-            F.bool_and(F.lower(word).isin(V.BOOLEAN_WORDS)).alias(f"all_boolean{i}"),
-            F.count_if(word.rlike(r"(?U)^-?\d+$")).alias(f"integers{i}"),
-            F.count_if(to_decimal(word).isNotNull()).alias(f"decimals{i}"),
-            F.count_if(to_datetime(word).isNotNull()).alias(f"datetimes{i}"),
-            F.avg(F.length(word)).alias(f"mean_length{i}"),
-        ]
-    row = profile.df.agg(*aggs).first().asDict()
+    # One row per value: the code that reads a value is then the same, and small, for any number of
+    # columns; wide aggregates of it would no longer be compiled.
+    words = F.array(*[trimmed(as_text(profile.df, c)) for c in columns])
+    values = unrolled(profile.df.select(words.alias("words")), F.col("words"), "column_index", "word")
+    word = F.col("word")
+    counted = values.select("column_index", "word").groupBy("column_index").agg(
+        F.count(word).alias("values"),
+        F.bool_and(F.lower(word).isin(V.BOOLEAN_WORDS)).alias("all_boolean"),
+        F.count_if(word.rlike(r"(?U)^-?\d+$")).alias("integers"),
+        F.count_if(is_decimal(word)).alias("decimals"),
+        F.count_if(to_datetime(word).isNotNull()).alias("datetimes"),
+        F.avg(F.length(word)).alias("mean_length"),
+    )
+    found = {r["column_index"]: r for r in counted.collect()}
     shown: dict[str, list[str]] = {c: [] for c in columns}
     for r in first_values(profile, columns, 3).orderBy("column_index", "position").collect():
         shown[r["column"]].append(r["value"])
     names = ("values", "all_boolean", "integers", "decimals", "datetimes", "mean_length")
     return [
-        {"column": c, "first_three": ", ".join(shown[c]), **{n: row[f"{n}{i}"] for n in names}}
+        {"column": c, "first_three": ", ".join(shown[c]), **{n: found[i][n] for n in names}}
         for i, c in enumerate(columns)
     ]
 

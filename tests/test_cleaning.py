@@ -202,3 +202,14 @@ def test_cleaned_tables_do_not_use_local_checkpoints():
 
     root = pathlib.Path(__file__).parent.parent / "tablewright"
     assert not [p for p in root.rglob("*.py") if "localCheckpoint" in p.read_text()]
+
+
+@pytest.mark.parametrize("text", ["1/2/2024", "25/12/2023", "2024/3/4 5:06", "2024/3/4 5:06:07", "3-4-2024", "25-3-2024 1:02", "Jan 5, 2024", "january 5, 2024", "5 MAY 2024", "5 June 2024", "5-Mar-2024"])
+def test_every_layout_matches_its_own_shape(frame, text):
+    """What a shape lets through is what the layouts alone would read."""
+    from tablewright.functions import columns, fixed_values
+
+    df = frame("t string", (text,))
+    alone = F.coalesce(*[F.try_to_timestamp("t", F.lit(x)).cast("timestamp_ntz") for x in fixed_values.DATE_LAYOUTS])
+    r = df.select(columns.to_datetime(F.col("t")).alias("a"), alone.alias("b")).first()
+    assert r.a is not None and r.a == r.b
