@@ -37,7 +37,6 @@ NEXT_DUPLICATES = "Remove %s duplicate rows to ensure analysis accuracy."
 NEXT_DEFAULT = "Continue longitudinal monitoring of core transactional volume."
 
 # --- type detection and conversion ----------------------------------------
-DETECTION_SAMPLE = 50
 DETECTION_SHARE = 0.85
 BOOLEAN_WORDS = ["true", "false", "yes", "no", "y", "n", "1", "0"]
 TRUE_WORDS = ["true", "1", "yes", "y", "t"]
@@ -163,3 +162,6 @@ DOT_WEIGHT_PATTERN = r"weight\s*=\s*([0-9.]+)"
 
 # The slice that holds all groups a pie does not show.
 OTHER_SLICE = "Other"
+
+# Points of a custom scatter chart that does not say how many.
+SCATTER_POINTS = 1000

@@ -1,23 +1,29 @@
 """Order-dependent operators without a global single-task window.
 
 Rows are cut into consecutive key ranges ("buckets") by boundaries sampled
-once on the driver. A window then runs inside each bucket, and what has to
-cross a bucket border (one carried value per bucket) is bounded by the bucket
-count, never by the data.
+once. Rows with equal keys are told apart by a hash of the row, so that a key
+held by a third of all rows is many buckets too. A window then runs inside each
+bucket, and what has to cross a border is one carried value per bucket, that is
+one for every ``ROWS_PER_BUCKET`` rows.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from tablewright.functions import fixed_values as V
 from tablewright.functions.columns import clean_value, ref, small_frame
+from tablewright.session import cut_lineage
 
 ROWS_PER_BUCKET = 2_000_000
-MAX_BUCKETS = 4096
 SAMPLE_PER_BUCKET = 40
+# Keys that the boundaries are chosen from, at most. More buckets have fewer samples each and are
+# less even; results never depend on where a boundary lies.
+SAMPLE_KEYS = 400_000
+TIE = "__tie"
 # Up to this many rows a top-k runs directly.
 DIRECT_ROWS = 5_000_000
 NARROWING_SAMPLE = 2_000
@@ -30,36 +36,42 @@ def order_key(order_by: list[str]) -> Column:
     return F.struct(*[ref(c) for c in order_by])
 
 
-def boundaries(df: DataFrame, order_by: list[str], rows_per_bucket: int) -> list:
-    """At most MAX_BUCKETS − 1 increasing keys that cut the rows into even ranges."""
+def _hashable(dtype: T.DataType) -> bool:
+    return "map<" not in dtype.simpleString() and "variant" not in dtype.simpleString()
+
+
+def with_tie(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
+    """Add ``TIE``, a hash of the row (or of some columns): the order among equal keys."""
+    chosen = columns or [f.name for f in df.schema.fields if _hashable(f.dataType)]
+    return df.withColumn(TIE, F.xxhash64(*[ref(c) for c in chosen]))
+
+
+def _split_key(order_by: list[str]) -> Column:
+    """Ordering columns and tie as one comparable value; nulls come first in it."""
+    return F.struct(*[ref(c).alias(f"k{i}") for i, c in enumerate(order_by)], F.col(TIE))
+
+
+def boundaries(df: DataFrame, order_by: list[str], rows_per_bucket: int) -> DataFrame | None:
+    """One row with ``cuts``, an increasing array of keys that cut the rows into even ranges.
+
+    ``df`` has ties. None if one range is enough.
+    """
     total = df.count()
-    buckets = min(MAX_BUCKETS, -(-total // rows_per_bucket))
+    buckets = -(-total // rows_per_bucket)
     if buckets <= 1:
-        return []
-    keys = df.select(order_key(order_by).alias("key")).where(F.col("key").isNotNull())
-    fraction = min(1.0, SAMPLE_PER_BUCKET * buckets * 1.5 / total)
-    # Bounded: about SAMPLE_PER_BUCKET keys per bucket reach the driver.
-    sample = [r["key"] for r in keys.sample(fraction, seed=V.SAMPLE_SEED).collect()]
-    if not sample:
-        return []
-    sample.sort(key=_nulls_first)
-    cuts = []
-    for i in range(1, buckets):
-        cut = sample[len(sample) * i // buckets]
-        if not cuts or cut != cuts[-1]:
-            cuts.append(cut)
-    return cuts
-
-
-def _nulls_first(key) -> tuple:
-    parts = key if isinstance(key, tuple) else (key,)
-    return tuple((v is not None, v) if v is not None else (False,) for v in parts)
+        return None
+    wanted = min(SAMPLE_PER_BUCKET * buckets, SAMPLE_KEYS)
+    keys = df.select(_split_key(order_by).alias("key"))
+    sample = keys.sample(min(1.0, wanted * 1.5 / total), seed=V.SAMPLE_SEED)
+    # At most SAMPLE_KEYS and a half keys meet here; they never reach the driver.
+    found = sample.agg(F.array_sort(F.collect_list("key")).alias("keys"))
+    places = F.transform(F.sequence(F.lit(1), F.lit(buckets - 1)), lambda i: (F.size("keys") * i / buckets).cast("int"))
+    cuts = F.array_distinct(F.transform(places, lambda at: F.get("keys", at)))
+    return found.select(F.when(F.size("keys") > 0, cuts).otherwise(F.slice("keys", 1, 0)).alias("cuts"))
 
 
 def bucket_of(key: Column, cuts: Column, size: int) -> Column:
-    """Index of the range ``key`` falls in: a binary search over a literal array."""
-    if size == 0:
-        return F.lit(0)
+    """Index of the range ``key`` falls in: a binary search in an array of cuts."""
     steps = F.array(*[F.lit(1 << b) for b in reversed(range(size.bit_length()))])
     return F.aggregate(
         steps,
@@ -76,24 +88,23 @@ def with_bucket(
     order_by: list[str],
     rows_per_bucket: int = ROWS_PER_BUCKET,
     sampled_from: DataFrame | None = None,
+    tie: list[str] | None = None,
 ) -> DataFrame:
-    """Add ``bucket``: 0, 1, … in key order; rows with equal keys share a bucket."""
-    cuts = boundaries(df if sampled_from is None else sampled_from, order_by, rows_per_bucket)
-    if not cuts:
-        return df.withColumn("bucket", F.lit(0))
-    types = [df.schema[c].dataType for c in order_by]
-    if len(order_by) == 1:
-        literal = F.array(*[F.lit(c) for c in cuts]).cast(f"array<{types[0].simpleString()}>")
-    else:
-        literal = F.array(
-            *[
-                F.struct(*[F.lit(v).cast(t).alias(c) for v, t, c in zip(cut, types, order_by)])
-                for cut in cuts
-            ]
-        )
-    # Never null, which spares joins on the bucket a null check per row.
-    bucket = F.coalesce(bucket_of(order_key(order_by), literal, len(cuts)), F.lit(0))
-    return df.withColumn("bucket", bucket)
+    """Add ``bucket``: 0, 1, … in key order, and ``TIE``, the order among equal keys.
+
+    ``tie`` names the columns that tell rows with equal keys apart (all by default). Only rows that
+    are equal in all of them always share a bucket.
+    """
+    tied = with_tie(df, tie)
+    made = boundaries(tied if sampled_from is None else with_tie(sampled_from, tie), order_by, rows_per_bucket)
+    if made is None:
+        return tied.withColumn("bucket", F.lit(0))
+    made = cut_lineage(made)
+    size = made.select(F.size("cuts").alias("n")).first().n
+    if size == 0:
+        return tied.withColumn("bucket", F.lit(0))
+    placed = tied.withColumn("__cuts", made.scalar())
+    return placed.withColumn("bucket", bucket_of(_split_key(order_by), F.col("__cuts"), size)).drop("__cuts")
 
 
 def fill_forward(
@@ -118,7 +129,7 @@ def _fill(df, columns, order_by, rows_per_bucket, forward):
     """
     bucketed = with_bucket(df, order_by, rows_per_bucket)
     handed = _handed_over(bucketed, columns, order_by, forward)
-    keys = [ref(c).asc() if forward else ref(c).desc() for c in order_by]
+    keys = [ref(c).asc() if forward else ref(c).desc() for c in [*order_by, TIE]]
     upto = (
         Window.partitionBy("bucket")
         .orderBy(*keys)
@@ -134,8 +145,8 @@ def _fill(df, columns, order_by, rows_per_bucket, forward):
 
 
 def _handed_over(bucketed, columns, order_by, forward) -> DataFrame:
-    """Per bucket the value its leading gap takes: at most MAX_BUCKETS rows."""
-    key = order_key(order_by)
+    """Per bucket the value its leading gap takes."""
+    key = _split_key(order_by)
     aggs = []
     for i, c in enumerate(columns):
         v = clean_value(bucketed, c)
@@ -170,10 +181,10 @@ def numbered(df: DataFrame, order_by: list[str], rows_per_bucket: int = ROWS_PER
         starts.append((r["bucket"], before))
         before += r["n"]
     offsets = small_frame(df.sparkSession, starts, "bucket int, __before bigint")
-    place = F.row_number().over(Window.partitionBy("bucket").orderBy(*[ref(c) for c in order_by])) - 1
+    place = F.row_number().over(Window.partitionBy("bucket").orderBy(*[ref(c) for c in [*order_by, TIE]])) - 1
     # Bounded side: one row per bucket.
     joined = bucketed.withColumn("__place", place).join(F.broadcast(offsets), "bucket")
-    return joined.withColumn("__position", F.col("__before") + F.col("__place")).drop("bucket", "__before", "__place")
+    return joined.withColumn("__position", F.col("__before") + F.col("__place")).drop("bucket", TIE, "__before", "__place")
 
 
 def preview(df: DataFrame, n: int, order_by: list[str]) -> DataFrame:

@@ -230,7 +230,7 @@ def _spread_medians(data: DataFrame, name: str, buffer_values: int) -> DataFrame
     ranks, and only those buckets are sorted.
     """
     tally = data.groupBy("k", "v").agg(F.count("*").alias("n"))
-    tally = ordered.with_bucket(tally, ["v"], buffer_values, sampled_from=data)
+    tally = ordered.with_bucket(tally, ["v"], buffer_values, sampled_from=data, tie=["k"]).drop(ordered.TIE)
     by_bucket = tally.groupBy("k", "bucket").agg(F.sum("n").alias("m"))
     per_key = Window.partitionBy("k")
     running = per_key.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)

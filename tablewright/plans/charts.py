@@ -42,7 +42,7 @@ class ChartRequest:
     title: str | None = None
     # Groups shown by bars and slices; the rest of a pie is one slice of its own.
     top: int = 20
-    # Points of a line, an area or raw bars; None shows all.
+    # Points of a line, an area or raw bars (None shows all), or of a scatter (None shows 1,000).
     points: int | None = None
 
 
@@ -401,7 +401,7 @@ def _custom_scatter(df, request, order_by):
     if not request.x_column or not request.y_column:
         return small_frame(df.sparkSession, [], "x double, y double")
     return scatter(
-        df, request.x_column, request.y_column, order_by, 1000, color=request.color_column
+        df, request.x_column, request.y_column, order_by, request.points or V.SCATTER_POINTS, color=request.color_column
     )
 
 

@@ -86,3 +86,28 @@ def test_first_rows_with_a_hot_first_key(spark):
     df = spark.range(3000).selectExpr("if(id % 3 = 0, 0, id) as k", "id")
     found = ordered.first_rows(df, 5, [F.col("k"), F.col("id")], direct_rows=10).collect()
     assert [r["id"] for r in found] == [0, 3, 6, 9, 12]
+
+
+def test_a_key_held_by_many_rows_is_many_buckets(spark):
+    df = spark.range(3000).selectExpr("if(id < 1200, 7, id) as k", "id", "if(id % 3 = 0, id, null) as v")
+    bucketed = ordered.with_bucket(df, ["k"], 100)
+    sizes = [r["n"] for r in bucketed.groupBy("bucket").agg(F.count("*").alias("n")).collect()]
+    assert max(sizes) < 400 and len(sizes) > 15
+    hot = bucketed.where("k = 7").select("bucket").distinct().count()
+    assert hot >= 6
+    # Ranges follow the order of keys, then ties.
+    last, first = F.max(F.struct("k", ordered.TIE)), F.min(F.struct("k", ordered.TIE))
+    ends = bucketed.groupBy("bucket").agg(first.alias("a"), last.alias("b")).orderBy("bucket").collect()
+    assert all(tuple(x["b"]) < tuple(y["a"]) for x, y in zip(ends, ends[1:]))
+    numbered = ordered.numbered(df, ["k"], 100).orderBy("__position").collect()
+    assert [r["__position"] for r in numbered] == list(range(3000))
+    assert [r["k"] for r in numbered] == sorted(r["k"] for r in numbered)
+    one = ordered.fill_forward(df, ["v"], ["k"], 1_000_000).orderBy("id").collect()
+    assert ordered.fill_forward(df, ["v"], ["k"], 100).orderBy("id").collect() == one
+
+
+def test_many_null_keys_are_many_buckets(spark):
+    df = spark.range(1500).selectExpr("if(id < 700, null, id) as k", "id", "cast(id as string) as v")
+    bucketed = ordered.with_bucket(df, ["k"], 100)
+    assert bucketed.where("k is null").select("bucket").distinct().count() >= 4
+    assert [r["k"] for r in ordered.numbered(df, ["k"], 100).orderBy("__position").collect()][:700] == [None] * 700
