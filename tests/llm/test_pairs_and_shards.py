@@ -267,7 +267,7 @@ def test_native_operators_run_no_python(spark, small, plan_text):
 
 def test_every_operator_is_registered():
     names = [n for n in entries.queries() if n.startswith("op")]
-    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 11)) and "pipeline" in entries.queries()
+    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 14)) and "pipeline" in entries.queries()
 
 
 def test_pipeline_stages(spark, small):
