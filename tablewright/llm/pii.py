@@ -17,6 +17,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -46,9 +47,12 @@ _SPELLED = re.compile(r"(?<![A-Za-z0-9])[A-Za-z0-9][A-Za-z0-9._-]{0,63} ?(?:\(at
 _SPELLED_HINT = re.compile(r"[(\[ ]dot[)\] ]").search
 _LOCAL_PHONE = re.compile(r"(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9])").match
 
-# Shorter candidates stand alone. Longer ones may hold base spans and further candidates: all are
-# judged as wholes, and the outermost accepted one is taken.
-_LONG = 100
+# Labelers look at this many characters of a value; its digits, letters and entropy are of all.
+_LOOK = 100
+# A run of key characters without a name is a candidate from this length on.
+_KEY = 16
+# Digits in a card number: its last one is a check digit.
+_CARD_LENGTHS = range(13, 20)
 
 # Word lists of the labelers.
 _SECRET_NAMES = frozenset("token password passwd pwd secret apikey api_key key access_key auth credential passphrase pin private_key secret_key bearer".split())
@@ -93,10 +97,11 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 
 
 def added_candidates(text: str, base: list[tuple[str, int, int]]) -> list[tuple[str, int, int, str]]:
-    """Further candidates (kind, start, end, name before it), by start.
+    """Further candidates (kind, start, end, name before it), by start, the longest first.
 
-    Only candidates of more than ``_LONG`` characters overlap base spans, or others that begin
-    further in. A value or key has no largest length.
+    They may overlap base spans and each other; whatever their length, each is judged as a whole.
+    Those that lie in base spans are left out. A base span explains its own characters, so a run
+    of key characters without a name needs its length beside them.
     """
     found: list[tuple[str, int, int, str]] = []
     run_start = run_end = 0  # assignments inside one run of value characters all end with it
@@ -120,21 +125,33 @@ def added_candidates(text: str, base: list[tuple[str, int, int]]) -> list[tuple[
             while start > end and text[start - 1] in _KEY_CHARS:
                 start -= 1
             end = _KEY_TAIL(text, m.end()).end()
-            if end - start >= 16 and m.end() - m.start() < end - start:
+            if end - start >= _KEY and m.end() - m.start() < end - start:
                 found.append(("secret", start, end, ""))
     if _SPELLED_HINT(text):
         found += [("spelled_email", *m.span(), "") for m in _SPELLED(text)]
-    taken = sorted((s, e) for _, s, e in base)
-    kept, last = [], -1
-    k = 0
-    for c in sorted(found, key=lambda c: (c[1], -c[2], c[0])):
-        while k < len(taken) and taken[k][1] <= c[1]:
-            k += 1
-        free = k == len(taken) or taken[k][0] >= c[2]
-        if c[1] >= last and (free or c[2] - c[1] > _LONG):
-            kept.append(c)
-            last = min(c[2], c[1] + _LONG) if free else last
-    return kept
+    covered = _coverage(base)
+    return [
+        c
+        for c in sorted(set(found), key=lambda c: (c[1], -c[2], c[0]))
+        if c[2] - c[1] - (covered(c[2]) - covered(c[1])) >= (_KEY if c[0] == "secret" and not c[3] else 1)
+    ]
+
+
+def _coverage(spans: list[tuple[str, int, int]]):
+    """How many characters before a place lie in spans."""
+    starts, ends, before = [], [], [0]
+    for start, end in sorted((s, e) for _, s, e in spans):
+        start = max(start, ends[-1]) if ends else start
+        if start < end:
+            starts.append(start)
+            ends.append(end)
+            before.append(before[-1] + end - start)
+
+    def covered(place: int) -> int:
+        k = bisect_left(starts, place)
+        return before[k] - max(0, ends[k - 1] - place) if k else 0
+
+    return covered
 
 
 def measured(text: str, candidates: list[tuple[str, int, int, str]]) -> list[tuple[int, int, float]]:
@@ -155,12 +172,15 @@ def measured(text: str, candidates: list[tuple[str, int, int, str]]) -> list[tup
 
 def judged(text: str, kind: str, start: int, end: int, name: str, measures: tuple[int, int, float] | None = None) -> tuple[tuple[int, ...], tuple[int, ...]]:
     """Votes of the labelers (1, -1, 0) and features of a candidate."""
-    value, length = text[start : min(end, start + _LONG)], end - start
+    value, length = text[start : min(end, start + _LOOK)], end - start
     digits, letters, entropy = measures or measured(text, [(kind, start, end, name)])[0]
     around = {w.strip(".,:;()").lower() for w in text[max(0, start - 40) : start].split()[-5:]}
+    checked = 0
+    if kind in ("card", "number") and digits in _CARD_LENGTHS:
+        checked = 1 if luhn("".join(filter(str.isdigit, value))) else -1
     shape = {
         "secret": 1 if digits and letters and length >= 12 else -1,
-        "number": 1 if 9 <= length <= 18 and len(set(value)) > 3 else -1,
+        "number": 1 if checked > 0 or (not checked and 9 <= length <= 18 and len(set(value)) > 3) else -1,
         "local_phone": 1 if value[0] == "(" or value.count("-") == 2 else 0,
         "spelled_email": 1,
     }.get(kind, 1)
@@ -169,19 +189,20 @@ def judged(text: str, kind: str, start: int, end: int, name: str, measures: tupl
     if kind == "email":
         prefix = 1 if text[start:end].rsplit(".", 1)[-1].isalpha() else -1
     near = 1 if around & _NEAR_WORDS else -1 if around & _FAR_WORDS else 0
-    mixed = 1 if entropy >= 2.5 else -1 if entropy < 1.5 or (kind == "secret" and not digits) else 0
+    mixed = 1 if entropy >= 2.5 and kind != "number" else -1 if entropy < 1.5 or (kind == "secret" and not digits) else 0
     features = (
         KINDS.index(kind),
-        min(length // 8, 5) + (length > _LONG),
+        min(length // 8, 5) + (length > _LOOK),
         int(entropy),
         0 if not digits else 1 if digits < letters else 2 if letters else 3,
         1 if name in _SECRET_NAMES else 2 if name else 0,
         prefix + 1,
+        checked + 1,
     )
-    return (shape, listed, prefix, near, mixed), features
+    return (shape, listed, prefix, near, mixed, checked), features
 
 
-N_LABELERS = 5
+N_LABELERS = 6
 
 
 @dataclass
@@ -219,7 +240,7 @@ def estimate(votes: np.ndarray, counts: np.ndarray, rounds: int = 100) -> tuple[
 
 
 def _one_hot(features: list[tuple[int, ...]]) -> np.ndarray:
-    width = (len(KINDS), 7, 8, 4, 3, 3)
+    width = (len(KINDS), 7, 8, 4, 3, 3, 3)
     out = np.zeros((len(features), sum(width) + 1))
     out[:, -1] = 1
     for i, f in enumerate(features):
@@ -294,6 +315,7 @@ def added_spans(text: str, base: list[tuple[str, int, int]], model: Model) -> li
             k += 1
         if at < last:
             out.append((c[0], at, last))
+        last = max(last, at)
     return sorted(out)
 
 

@@ -271,6 +271,48 @@ def test_secrets_of_any_length_are_hidden_whole(docs):
         assert [c[2] - c[1] for c in pii.added_candidates(text, []) if c[0] == "number"] == [len(text.split()[-1])]
 
 
+def test_short_secrets_around_base_spans_are_hidden_whole(docs):
+    rng = random.Random(3)
+    made = lambda n: "".join(rng.choice("abcdefghijkmnpqrstuvwxyzABCDEFGH23456789") for _ in range(n)) + "z9"
+    training = [f"set {rng.choice(['password', 'token', 'secret'])}={made(rng.randint(12, 24))} here" for _ in range(400)]
+    inside = {
+        "password=hunter2abc+13035551234xyz9": ("[PHONE]", "hunter2abc", "xyz9"),
+        "password=hunter2abcXYZ99.10.0.0.1.kq7Zabc1": ("[IP]", "hunter2abc", "kq7Zabc1"),
+        "token=ab12cd34,ef: password=abcd1234+joe@example.org/kq7Zabc1": ("[EMAIL]", "kq7Zabc1"),
+        "secret: 4111111111111111abcdEFGH99": ("[CARD]", "abcdEFGH99"),
+    }
+    clean = ["write to joe.smith.of.springfield1985@example.org", "call +1 (303) 555-1234", "from 192.168.100.200", "card 4111 1111 1111 1111"]
+    model = pii.fit(docs(*training, *inside, *clean))
+    hidden = [r.text for r in pii.redact(docs(*inside, *clean), model).orderBy("doc_id").collect()]
+    for text, (kind, *parts) in zip(hidden, inside.values(), strict=False):
+        assert kind in text and not any(p in text for p in parts), text
+    assert hidden[len(inside) :] == ["write to [EMAIL]", "call [PHONE]", "from [IP]", "card [CARD]"]
+
+
+def test_numbers_with_a_wrong_check_digit_are_left_alone(docs):
+    numbers = [f"40{i}7318260954{i}" for i in range(10, 40)]
+    good = " ".join(n + next(d for d in "0123456789" if pii.luhn(n + d)) for n in numbers[:2])
+    texts = ["pay with 4111 1111 1111 1111 now"] * 20 + ["see 4111111111111112 there"] * 30 + [f"both {good} side by side"] * 20
+    model = pii.fit(docs(*texts))
+    hidden = {r.text for r in pii.redact(docs(*texts), model).collect()}
+    assert hidden == {"pay with [CARD] now", "see 4111111111111112 there", "both [NUMBER] [NUMBER] side by side"}
+
+
+def test_spans_do_not_overlap(docs):
+    rng = random.Random(8)
+    parts = ["password=", "token: ", "joe@example.org", "+13035551234", "10.0.0.1", "4111111111111111", "abc123DEF456ghi789", " ", "-", ".", "x", "303-555-1234"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(1, 14))) for _ in range(2_000)]
+    model = pii.fit(docs(*texts))
+    for text in texts:
+        base = pii.base_spans(text)
+        taken = pii._coverage(base)
+        added = sorted((s, e) for _, s, e in pii.added_spans(text, base, model))
+        assert all(a[1] <= b[0] for a, b in zip(added[:-1], added[1:], strict=True))
+        assert all(s < e and taken(s) == taken(e) for s, e in added)
+        plain = [any(s <= i < e for _, s, e in base) for i in range(len(text))]
+        assert [taken(i) for i in range(len(text) + 1)] == [sum(plain[:i]) for i in range(len(text) + 1)]
+
+
 def test_nested_assignments_take_linear_time():
     for text in ("ab=" * 100_000 + "x@y.zz", "ab=" * 100_000, "".join(f"ab={chr(0x4E00 + i % 20_000)}" for i in range(100_000))):
         started = time.monotonic()
