@@ -11,7 +11,7 @@ gradient ascent on windows of the sample.
 
 Scoring is one scan. Between tokens with candidate features potentials are constant, so the chain is stepped
 over with powers of one 2 x 2 matrix: exact forward-backward marginals at the cost of the hits
-alone. A document's score combines its tokens' marginals (that any of them is toxic) and is
+alone, for all texts of a batch at once. A document's score combines its tokens' marginals (that any of them is toxic) and is
 calibrated on the sample.
 """
 
@@ -33,17 +33,17 @@ from tablewright.session import cut_lineage
 class FitPlan:
     """Bounds of the fit: labelled documents per class, candidate features, windows, steps.
 
-    A candidate has ``support`` toxic texts, log-odds of at least ``odds``, and these are ``z``
-    standard errors above 0; so words of every second text are none, however often they occur.
+    A candidate has ``support`` toxic texts, and its log-odds are ``z`` standard errors above 0,
+    however small they are. All sampled documents have equal shares of the ``windows``: four at
+    most, and one at least.
     """
 
     documents: int = 4000
     candidates: int = 8192
     support: int = 3
     z: float = 2.5
-    odds: float = 2.0
     window: int = 6
-    windows: int = 10_000
+    windows: int = 16_000
     steps: int = 120
     ridge: float = 0.02
 
@@ -140,26 +140,58 @@ def fit(docs: DataFrame, labels: DataFrame, learns: Column, plan: FitPlan = FitP
         return Model()
     odds = F.log((F.col("t") + 0.5) / (sizes[1] + 1)) - F.log((F.col("c") + 0.5) / (sizes[0] + 1))
     z = odds / F.sqrt(1 / (F.col("t") + 0.5) + 1 / (F.col("c") + 0.5))
-    best = counted.where(F.col("t") >= plan.support).withColumn("z", z).where((F.col("z") >= plan.z) & (odds >= plan.odds)).orderBy(F.desc("z"), "word").limit(plan.candidates).collect()
+    best = counted.where(F.col("t") >= plan.support).withColumn("z", z).where(F.col("z") >= plan.z).orderBy(F.desc("z"), "word").limit(plan.candidates).collect()
     best = sorted(best, key=lambda r: r.word % (1 << 64))
     words = np.array([r.word for r in best], np.int64).view(U64)
 
-    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def held(part: pa.RecordBatch):
+        *_, counts, kinds = _tokens(part.column(0))
+        at, which = _hits(kinds, words)
+        cut = np.searchsorted(at, counts)
+        return np.diff(counts), cut, at - np.repeat(counts[:-1], np.diff(cut)), which
+
+    def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, column=0):
-                *_, counts, kinds = _tokens(part.column(0))
-                at, which = _hits(kinds, words)
-                cut = np.searchsorted(at, counts)
-                doc = lambda values: [values[a:b].tolist() for a, b in zip(cut[:-1], cut[1:], strict=True)]
-                own = at - np.repeat(counts[:-1], np.diff(cut))
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(1), part.column(2), pa.array(np.diff(counts)), pa.array(doc(own), pa.list_(pa.int64())), pa.array(doc(which), pa.list_(pa.int64()))],
-                    ["toxic", "family", "n", "at", "which"],
-                )
-
-    found = rows.mapInArrow(places, "toxic int, family long, n long, at array<long>, which array<long>").collect()
+                _, cut, _, which = held(part)
+                own = [np.unique(which[a:b]) for a, b in zip(cut[:-1], cut[1:], strict=True)]
+                yield pa.RecordBatch.from_arrays([part.column(1), part.column(2), pa.array(own, pa.list_(pa.int64()))], ["toxic", "family", "which"])
+
+    found = rows.mapInArrow(features, "toxic int, family long, which array<long>").collect()
     picked = _cover(found, np.array([r.t for r in best]), np.array([r.c for r in best]), plan)
-    return _train(found, words, picked, plan) if picked.any() else Model()
+    if not picked.any():
+        return Model()
+    share = max(1, min(4, plan.windows // len(found)))
+
+    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        small = pa.list_(pa.int32())
+        for batch in batches:
+            for part in slices(batch, column=0):
+                lengths, cut, at, which = held(part)
+                toxic, family, out = np.asarray(part.column(1)), np.asarray(part.column(2)), []
+                for d in np.flatnonzero(lengths):
+                    hit = slice(cut[d], cut[d + 1])
+                    for k, (kinds, states) in enumerate(_document_windows(int(lengths[d]), at[hit], which[hit], picked & bool(toxic[d]), plan.window, share)):
+                        out.append((family[d], toxic[d], k, kinds.ravel(), states))
+                columns = list(zip(*out, strict=True)) or [[]] * 5
+                yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int32()), pa.array(columns[2], pa.int32()), pa.array(columns[3], small), pa.array(columns[4], small)], ["family", "toxic", "k", "kinds", "states"])
+
+    cutouts = rows.mapInArrow(windows, "family long, toxic int, k int, kinds array<int>, states array<int>").collect()
+    cutouts.sort(key=lambda r: (r.family, r.toxic, r.k))  # the same sums in every run
+    if not cutouts:
+        return Model()
+    width = len(PREFIXES) + 2
+    model = _train(np.array([r.kinds for r in cutouts]).reshape(len(cutouts), -1, width), np.array([r.states for r in cutouts]), words, plan)
+
+    def raw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, column=0):
+                value = _chains(model, *held(part))[0]
+                yield pa.RecordBatch.from_arrays([part.column(2), part.column(1), pa.array(value)], ["family", "toxic", "raw"])
+
+    scores = sorted(tuple(r) for r in rows.mapInArrow(raw, "family long, toxic int, raw double").collect())
+    model.slope, model.shift = _calibrate(np.array([r[2] for r in scores]), np.array([r[1] for r in scores]))
+    return model
 
 
 def _family(hashes: np.ndarray) -> int:
@@ -192,35 +224,36 @@ def _cover(found, t: np.ndarray, c: np.ndarray, plan: FitPlan) -> np.ndarray:
     return picked
 
 
-def _train(found, words: np.ndarray, picked: np.ndarray, plan: FitPlan) -> Model:
+def _document_windows(n: int, at: np.ndarray, which: np.ndarray, picked: np.ndarray, window: int, share: int):
+    """At most ``share`` windows around places with features, spread over a text of ``n`` tokens.
+
+    Each is an array of features by token (the word's place first: ``len(picked)`` for a token
+    without any, one more beyond the text; ``len(picked) + 5`` for no more features) and the states.
+    """
+    size, width = 2 * window + 1, len(PREFIXES) + 2
+    other, beyond, none = len(picked), len(picked) + 1, len(picked) + 5
+    tokens = np.unique(at)
+    for k in range(max(1, min(len(tokens), share))):
+        centre = tokens[k * max(1, len(tokens) // share)] if len(tokens) else n // 2
+        row = np.full((size, width), none, np.int64)
+        inside = np.arange(size) + centre - window
+        row[:, 0] = np.where((inside >= 0) & (inside < n), other, beyond)
+        states, used = np.zeros(size, np.int64), np.ones(size, np.int64)
+        near = slice(*np.searchsorted(at, [centre - window, centre + window + 1]))
+        for place, feature in zip(at[near] - centre + window, which[near], strict=True):
+            if row[place, 0] == other:
+                row[place, 0] = feature
+            else:
+                row[place, used[place]] = feature
+                used[place] += 1
+            states[place] |= int(picked[feature])
+        yield row, states
+
+
+def _train(kinds: np.ndarray, labels: np.ndarray, words: np.ndarray, plan: FitPlan) -> Model:
     """Gradient ascent (Adam) on the mean log-likelihood of windows around candidate words."""
-    size, width, n_words = 2 * plan.window + 1, len(PREFIXES) + 2, len(words)
+    width, n_words = kinds.shape[2], len(words)
     beyond, other, none = n_words + 1, n_words, n_words + 5
-    kinds, labels = [], []
-    for r in found:
-        at, which = np.array(r.at, np.int64), np.array(r.which, np.int64)
-        if r.n == 0 or len(kinds) >= plan.windows:
-            continue
-        tokens = np.unique(at)
-        for k in range(max(1, min(len(tokens), 4))):
-            centre = tokens[k * max(1, len(tokens) // 4)] if len(tokens) else r.n // 2
-            row = np.full((size, width), none, np.int64)
-            inside = np.arange(size) + centre - plan.window
-            real = (inside >= 0) & (inside < r.n)
-            row[:, 0] = np.where(real, other, beyond)
-            toxic = np.zeros(size, np.int64)
-            used = np.ones(size, np.int64)
-            near = np.abs(at - centre) <= plan.window
-            for place, feature in zip(at[near] - centre + plan.window, which[near], strict=True):
-                if row[place, 0] == other:
-                    row[place, 0] = feature
-                else:
-                    row[place, used[place]] = feature
-                    used[place] += 1
-                toxic[place] |= int(picked[feature] and r.toxic)
-            kinds.append(row)
-            labels.append(toxic)
-    kinds, labels = np.array(kinds), np.array(labels)
     real = kinds[:, :, 0] != beyond
     both = real[:, 1:] & real[:, :-1]
     # Weights of features, of all other tokens, four transitions, and one that stays zero.
@@ -238,10 +271,7 @@ def _train(found, words: np.ndarray, picked: np.ndarray, plan: FitPlan) -> Model
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
         theta = theta + 0.15 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-9)
         theta[none] = 0.0
-    model = Model(words, theta[:n_words], float(theta[other]), theta[beyond:none].reshape(2, 2))
-    raw = np.array([_raw(model, r.n, np.array(r.at, np.int64), np.array(r.which, np.int64))[0] for r in found])
-    model.slope, model.shift = _calibrate(raw, np.array([r.toxic for r in found]))
-    return model
+    return Model(words, theta[:n_words], float(theta[other]), theta[beyond:none].reshape(2, 2))
 
 
 def _windows(emit: np.ndarray, trans: np.ndarray, real: np.ndarray):
@@ -286,41 +316,82 @@ def _logit(p):
 
 
 def _raw(model: Model, n: int, at: np.ndarray, which: np.ndarray) -> tuple[float, np.ndarray]:
-    """That any token with a candidate feature is toxic, and the marginal of each, over a chain of ``n``."""
-    if not len(at):
-        return 0.0, np.zeros(0)
-    first = np.flatnonzero(np.diff(at, prepend=-1))  # a token's features stand together
-    weights, at = np.add.reduceat(model.weights[which], first), at[first]
-    step = np.exp(model.transitions) * np.array([1.0, np.exp(model.other)])[None, :]
-    moves = np.exp(model.transitions)
-    powers = {0: np.eye(2)}
-
-    def power(k: int) -> np.ndarray:
-        if k not in powers:
-            half = power(k // 2)
-            full = half @ half @ (step if k % 2 else np.eye(2))
-            powers[k] = full / full.max()
-        return powers[k]
+    """What ``_chains`` gives for one text: its raw score and its marginals."""
+    raw, marginal, _, _ = _chains(model, np.array([n]), np.array([0, len(at)]), at, which)
+    return float(raw[0]), marginal
 
+
+def _chains(model: Model, lengths: np.ndarray, cut: np.ndarray, at: np.ndarray, which: np.ndarray):
+    """Marginals of all texts of a batch: ``lengths`` in tokens, hits of text d in ``cut[d]:cut[d + 1]``.
+
+    Returns for each text that any token with a candidate feature is toxic, and for each such token
+    its marginal, its text and its place. Exact: one matrix leads from a hit to the next one, and
+    the first of a text forgets what was before, so the batch is one chain.
+    """
+    text = np.repeat(np.arange(len(lengths)), np.diff(cut))
+    if not len(text):
+        return np.zeros(len(lengths)), np.zeros(0), text, at
+    new = np.ones(len(at), bool)  # a token's features stand together
+    new[1:] = (np.diff(at) != 0) | (np.diff(text) != 0)
+    weights, at, text = np.add.reduceat(model.weights[which], np.flatnonzero(new)), at[new], text[new]
+    start = np.diff(text, prepend=-1) != 0
+    last = np.append(start[1:], True)
+    moves, other = np.exp(model.transitions), np.array([1.0, np.exp(model.other)])
     own = np.stack([np.ones(len(at)), np.exp(np.clip(weights, -30, 30))], axis=1)
-    before = np.diff(at, prepend=-1) - 1
-    forward = np.zeros((len(at), 2))
-    state = np.array([1.0, np.exp(model.other)])
-    for k in range(len(at)):
-        if at[k] > 0:  # over the other words, then into this one
-            state = (state @ power(int(before[k]) - (k == 0))) @ moves if k or before[k] else state
-        state = state * own[k] if at[k] > 0 else own[k]
-        state = state / state.sum()
-        forward[k] = state
-    backward = np.ones((len(at), 2))
-    state = (power(int(n - 1 - at[-1])) @ np.ones(2)) if n - 1 > at[-1] else np.ones(2)
-    for k in range(len(at) - 1, -1, -1):
-        backward[k] = state / state.sum()
-        if k:
-            state = power(int(before[k])) @ (moves @ (own[k] * backward[k]))
-    both = forward * backward
-    marginal = both[:, 1] / both.sum(axis=1)
-    return float(1 - np.prod(1 - marginal)), marginal
+    before = np.where(start, at, np.diff(at, prepend=0)) - 1
+    onward = (_powers(moves * other, np.maximum(before, 0)) @ moves) * own[:, None, :]
+    entry = np.where(at[:, None] > 0, (other @ _powers(moves * other, np.maximum(before, 0))) @ moves, 1.0) * own
+    forward = _walk(np.where(start[:, None, None], entry[:, None, :], onward))
+    rest = _powers(moves * other, np.maximum(lengths[text] - 1 - at, 0)).sum(axis=2)
+    back = np.empty_like(onward)
+    back[:-1] = onward[1:].transpose(0, 2, 1)
+    back[last] = rest[last][:, None, :]
+    both = forward * _walk(back[::-1])[::-1]
+    both /= both.sum(axis=1, keepdims=True)
+    clean = np.bincount(text, np.log(np.maximum(both[:, 0], 1e-300)), len(lengths))
+    return -np.expm1(clean), both[:, 1], text, at
+
+
+def _powers(step: np.ndarray, k: np.ndarray) -> np.ndarray:
+    """``step`` to the powers ``k``, up to a factor: a positive 2 x 2 matrix has two real eigenvalues."""
+    (a, b), (c, d) = step
+    gap = ((a - d) ** 2 + 4 * b * c) ** 0.5
+    large, small = (a + d + gap) / 2, (a + d - gap) / 2
+    first = (step - small * np.eye(2)) / gap
+    return np.maximum(first + ((small / large) ** k)[:, None, None] * (np.eye(2) - first), 0.0)
+
+
+def _walk(steps: np.ndarray) -> np.ndarray:
+    """States (rows that add up to 1) after each matrix of a chain whose first one has equal rows.
+
+    The chain is cut into blocks; all are stepped through side by side, first for their products,
+    then from the states at their starts.
+    """
+    n = len(steps)
+    width = int(n**0.5) + 1
+    blocks = -(-n // width)
+    m = np.tile(np.eye(2), (blocks * width, 1, 1))
+    m[:n] = steps
+    m /= m.sum(axis=(1, 2), keepdims=True)
+    a, b, c, d = (np.ascontiguousarray(x) for x in m.reshape(blocks, width, 4).transpose(2, 1, 0))
+    p, q, r, s = np.ones(blocks), np.zeros(blocks), np.zeros(blocks), np.ones(blocks)
+    for j in range(width):
+        p, q, r, s = p * a[j] + q * c[j], p * b[j] + q * d[j], r * a[j] + s * c[j], r * b[j] + s * d[j]
+        total = p + q + r + s
+        p, q, r, s = p / total, q / total, r / total, s / total
+    x, y, heads = 0.5, 0.5, []
+    for k in range(blocks):
+        heads.append((x, y))
+        x, y = x * p[k] + y * r[k], x * q[k] + y * s[k]
+        x, y = x / (x + y), y / (x + y)
+    x, y = np.array(heads).T
+    out = np.empty((width, blocks, 2))
+    for j in range(width):
+        x, y = x * a[j] + y * c[j], x * b[j] + y * d[j]
+        total = x + y
+        x, y = x / total, y / total
+        out[j, :, 0], out[j, :, 1] = x, y
+    return out.transpose(1, 0, 2).reshape(-1, 2)[:n]
 
 
 def _scored(texts: pa.Array, model: Model, span_probability: float) -> tuple[np.ndarray, list[list[dict]]]:
@@ -328,17 +399,17 @@ def _scored(texts: pa.Array, model: Model, span_probability: float) -> tuple[np.
     data, borders, starts, ends, counts, kinds = _tokens(texts)
     at, which = _hits(kinds, model.words)
     cut = np.searchsorted(at, counts)
-    raw, spans = np.zeros(len(counts) - 1), [[] for _ in range(len(counts) - 1)]
-    for d in np.flatnonzero(np.diff(cut)):
-        hit = slice(cut[d], cut[d + 1])
-        raw[d], marginal = _raw(model, int(counts[d + 1] - counts[d]), at[hit] - counts[d], which[hit])
-        place, upto = borders[d], 0
-        for k, p in zip(np.unique(at[hit]), marginal, strict=True):
-            if p >= span_probability:
-                upto += _points(data[place : starts[k]])
-                size = _points(data[starts[k] : ends[k]])
-                spans[d].append({"start": upto, "end": upto + size, "probability": float(p)})
-                place, upto = ends[k], upto + size
+    raw, marginal, text, place = _chains(model, np.diff(counts), cut, at - np.repeat(counts[:-1], np.diff(cut)), which)
+    spans: list[list[dict]] = [[] for _ in raw]
+    upto, seen, before = 0, 0, -1  # code points of the text before the byte ``seen``
+    for k in np.flatnonzero(marginal >= span_probability):
+        d, token = text[k], counts[text[k]] + place[k]
+        if d != before:
+            upto, seen, before = 0, borders[d], d
+        upto += _points(data[seen : starts[token]])
+        size = _points(data[starts[token] : ends[token]])
+        spans[d].append({"start": upto, "end": upto + size, "probability": float(marginal[k])})
+        upto, seen = upto + size, ends[token]
     return 1 / (1 + np.exp(-np.clip(model.slope * _logit(raw) + model.shift, -40, 40))), spans
 
 

@@ -375,6 +375,45 @@ def test_exact_marginals_over_long_gaps():
     assert marginal == pytest.approx((toxic / total)[[0, 3, 9]], abs=1e-9)
 
 
+def test_chains_of_a_batch_are_those_of_each_text():
+    rng = np.random.default_rng(6)
+    model = toxicity.Model(np.zeros(5, np.uint64), np.array([3.0, -1.0, 0.5, 8.0, -4.0]), -2.0, np.array([[1.2, -1.0], [-0.5, 2.0]]))
+    lengths = np.array([0, 1, 1, 7, 900, 40, 3])
+    at = [np.sort(rng.integers(0, n, min(3 * n, 700))) if n != 3 else np.zeros(0, np.int64) for n in lengths]
+    which = [rng.integers(0, 5, len(a)) for a in at]
+    cut = np.concatenate([[0], np.cumsum([len(a) for a in at])])
+    raw, marginal, text, place = toxicity._chains(model, lengths, cut, np.concatenate(at), np.concatenate(which))
+    for d, n in enumerate(lengths):
+        emit = np.full(n, model.other)
+        emit[np.unique(at[d])] = 0.0
+        np.add.at(emit, at[d], model.weights[which[d]])
+        real = np.ones((1, n), bool)
+        truth = toxicity._windows(emit[None, :], model.transitions, real)[0][0] if n else np.zeros(0)
+        assert place[text == d].tolist() == np.unique(at[d]).tolist()
+        assert marginal[text == d] == pytest.approx(truth[np.unique(at[d])], abs=1e-9)
+        assert raw[d] == pytest.approx(1 - np.prod(1 - truth[np.unique(at[d])]), abs=1e-9)
+
+
+def test_many_mildly_toxic_words_count(spark):
+    rng = random.Random(5)
+    plain = ["".join(rng.choice("abdegilmnorst") for _ in range(rng.randint(2, 8))) for _ in range(400)]
+    mild = ["grumble", "bicker", "scoff", "sneer", "mocking", "loathe"]
+    rows, truth = [], {}
+    for i in range(1_600):
+        truth[i] = i % 4 == 0
+        text = [rng.choice(plain) for _ in range(rng.randint(20, 80))]
+        for word in rng.sample(mild, 4 if truth[i] else rng.choice([0, 1, 1])):
+            text.insert(rng.randrange(len(text)), word)
+        rows.append((i, " ".join(text)))
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(t)) for i, t in truth.items()], "doc_id long, toxic int")
+    model = toxicity.fit(frame, labels, F.col("doc_id") % 3 != 1)
+    held_out = {r.doc_id: r.score for r in toxicity.score(frame, model).collect() if r.doc_id % 3 == 1}
+    toxic, clean = ([s for i, s in held_out.items() if truth[i] == t] for t in (True, False))
+    auc = np.mean([(a > b) + 0.5 * (a == b) for a in toxic for b in clean])
+    assert auc >= 0.9
+
+
 def test_toxicity_without_labels(spark, docs):
     frame = docs("a b", None)
     labels = spark.createDataFrame([], "doc_id long, toxic int")
