@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from catalogue.registry import query, shaped
 from catalogue.views import DIRTY, DIRTY_COLUMNS, dirty, table
 from tablewright.functions import fixed_values as V
-from tablewright.operators import answers, frequencies
+from tablewright.operators import answers, correlation, frequencies
 from tablewright.plans import detect, report
 from tablewright.plans.profile import TableProfile
 from tablewright.sources.delimited import inferred_types
@@ -336,6 +336,34 @@ def correlation_with_gaps(spark, sf):
     return found.select("column_a", "column_b", "r")
 
 
+_GAPS = " UNION ALL ".join(
+    f"SELECT '{a}' AS column_a, '{b}' AS column_b, {j} AS j, pyround({_r(a, b, 'd')}, 3) AS r"
+    for a in DIRTY_NUMBERS
+    for j, b in enumerate(DIRTY_NUMBERS)
+)
+
+
+@query(DIRTY + f"SELECT column_a, column_b, r FROM ({_GAPS})")
+def correlation_tiled(spark, sf):
+    """The matrix by pairs of column blocks, as for tables of thousands of columns."""
+    half = correlation.tiled(dirty(spark, sf), DIRTY_NUMBERS, block=2)
+    return correlation.mirrored(half, 3).select("column_a", "column_b", "r")
+
+
+@query(
+    DIRTY
+    + f"""SELECT "column", CASE WHEN r <> 0 THEN partner END AS partner_column, r FROM (
+      SELECT column_a AS "column", column_b AS partner, r,
+        row_number() OVER (PARTITION BY column_a ORDER BY abs(r) DESC, j) AS k
+      FROM ({_GAPS}) WHERE column_a <> column_b) WHERE k = 1"""
+)
+def correlation_tiled_partner(spark, sf):
+    """Strongest partners out of the tiled matrix, ranked where it lies."""
+    half = correlation.tiled(dirty(spark, sf), DIRTY_NUMBERS, block=2)
+    found = correlation.strongest(correlation.mirrored(half, 3))
+    return found.select(F.col("column_a").alias("column"), F.col("column_b").alias("partner_column"), "r")
+
+
 _CV = union(
     LINE_NUMBERS,
     """SELECT {i} AS i, '{c}' AS "column", var_samp({c}) AS variance,

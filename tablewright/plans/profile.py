@@ -479,6 +479,10 @@ class TableProfile:
         """Strongest partner per column; earliest column on ties, none when every r is 0."""
         names = [c["column"] for c in self.numeric]
         found = {}
+        if len(names) > correlation.WIDE:
+            best = correlation.strongest(self.correlation_matrix()).collect()  # a row per column
+            by_name = {r["column_a"]: (r["column_b"], r["r"]) for r in best}
+            return {c: by_name[c] for c in names}
         for c in names:
             best, strength = None, 0.0
             for other in names:

@@ -1,6 +1,7 @@
 import math
 import random
 
+import numpy as np
 import pandas as pd
 import pytest
 
@@ -199,3 +200,49 @@ def test_statistics_read_only_their_columns(spark, small, plan_text):
     lines = table(spark, small, "lineitem")
     text = plan_text(answers.group(lines, "l_returnflag", "l_quantity"))
     assert "ReadSchema: struct<l_quantity:double,l_returnflag:string>" in text
+
+
+def wide_frame(spark, columns, rows=300):
+    rng = np.random.default_rng(9)
+    data = pd.DataFrame(rng.normal(size=(rows, columns)), columns=[f"c{i}" for i in range(columns)])
+    data["c1"] = data["c0"] * 3 + rng.normal(size=rows) / 10
+    data["c2"] = 7.0
+    data["c3"] = 1e9 + data["c4"]
+    data.loc[rng.random(rows) < 0.3, "c5"] = np.nan
+    data.loc[1:, "c6"] = np.nan
+    return data, spark.createDataFrame(data.astype(object).where(data.notna(), None), ", ".join(f"c{i} double" for i in range(columns)))
+
+
+def test_tiles_give_the_matrix(spark):
+    data, df = wide_frame(spark, 11)
+    names = list(data.columns)
+    for block in (3, 4, 100):
+        rows = correlation.tiled(df, names, block=block).collect()
+        assert len({(r.index_a, r.index_b) for r in rows}) == len(rows) == 66
+        for r in rows:
+            truth = 0.0 if {r.column_a, r.column_b} & {"c2", "c6"} else data[r.column_a].corr(data[r.column_b])
+            assert r.r == pytest.approx(truth, abs=1e-6), (r.column_a, r.column_b)
+    empty = correlation.tiled(df.limit(0), names).collect()
+    assert len(empty) == 66 and all(r.r == 0.0 for r in empty)
+
+
+def test_wide_tables_take_the_tiled_route(spark, monkeypatch):
+    data, df = wide_frame(spark, 11)
+    plain = TableProfile(df)
+    narrow = sorted(map(tuple, plain.correlation_matrix().collect()))
+    partners = plain.partners
+    ranked = [tuple(r)[:4] for r in correlation.ranked_pairs(df, list(data.columns)).collect()]
+    monkeypatch.setattr(correlation, "WIDE", 4)
+    wide = TableProfile(df)
+    assert sorted(map(tuple, wide.correlation_matrix().collect())) == narrow
+    assert wide.partners == partners
+    assert [tuple(r)[:4] for r in correlation.ranked_pairs(df, list(data.columns)).collect()] == ranked
+    assert wide.correlations == pytest.approx(plain.correlations, abs=1e-9)
+
+
+def test_six_hundred_columns(spark):
+    data, df = wide_frame(spark, 600, rows=40)
+    found = correlation.ranked_pairs(df, list(data.columns), top=2).collect()
+    truth = data.drop(columns=["c2", "c6"]).corr()
+    assert {(r.column_a, r.column_b) for r in found} == {("c0", "c1"), ("c3", "c4")}
+    assert all(r.r == pytest.approx(truth.loc[r.column_a, r.column_b], abs=1e-6) for r in found)
