@@ -562,7 +562,31 @@ def type_issues_of_all_values(spark, sf):
     return detect.type_issues(TableProfile(late, ORDER)).drop("column_index")
 
 
-@query()
+_SUMMARY_VALUES = [
+    "concat(overall, ' / 100')",
+    "format('{:,}', n)",
+    "concat(completeness_score, '%')",
+    "'13'",
+    "concat(uniqueness_score, '%')",
+    "concat(format('{:,}', missing), ' (', missing_share, '%)')",
+    "concat(consistency_score, '% / ', validity_score, '%')",
+    "format('{:,}', copies)",
+]
+
+
+@query(
+    DIRTY
+    + f""", {_SCORES}, sizes AS (SELECT count(*) AS n, CAST(13 * count(*) - ({_FILLED}) AS BIGINT) AS missing,
+      pyround((13 * count(*) - ({_FILLED})) / (13 * count(*)) * 100, 2) AS missing_share,
+      ({_COPIES}) AS copies FROM d),
+    facts AS (SELECT *, pyround(0.35 * completeness_score + 0.25 * uniqueness_score
+      + 0.2 * consistency_score + 0.2 * validity_score, 1) AS overall FROM parts, sizes)
+    """
+    + " UNION ALL ".join(
+        f"SELECT CAST({i + 1} AS INTEGER) AS position, '{label}' AS metric, {value} AS value FROM facts"
+        for i, (label, value) in enumerate(zip(V.SUMMARY_LABELS, _SUMMARY_VALUES))
+    )
+)
 def report_summary(spark, sf):
     return report.summary(TableProfile(dirty(spark, sf), ORDER))
 
