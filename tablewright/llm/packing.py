@@ -6,9 +6,10 @@ limits, so scarce dimensions weigh little and roomy ones much. Examples wait in
 size in each task; whole sequences leave the task as soon as they are closed. Packing therefore
 needs no shuffle, and a hot source or a long document is just more rows of its task.
 
-Where pieces may be cut, an open sequence is filled to the last token with the head of the example
-that would have been chosen, and what a task has left at its end goes into sequences whose sizes
-are powers of two, which need no padding.
+Where pieces may be cut, an open sequence that nothing fits is filled with the head of the example
+that would have been chosen, as far as its loss-bearing tokens allow. A sequence that another limit
+closes early keeps the largest power of two of its tokens, which needs no padding; the rest goes back
+into the pool. What a task has left at its end goes into sequences whose sizes are powers of two.
 """
 
 from __future__ import annotations
@@ -49,15 +50,48 @@ class Limits:
 
 @dataclass
 class Example:
-    """Something to place: ``loss`` of its ``tokens`` count towards the loss, from its start on.
+    """Something to place: ``loss`` of its ``tokens`` count towards the loss.
 
-    ``tag`` says what it is to the caller, ``start`` where it lies in its document.
+    ``tag`` says what it is to the caller, ``start`` where it lies in its document. ``bearing[i]`` is
+    the number of loss-bearing tokens before token ``first + i`` of the document; without it they
+    are the example's first ones.
     """
 
     tag: object
     start: int
     tokens: int
     loss: int
+    bearing: np.ndarray | None = None
+    first: int = 0
+
+    def head_loss(self, tokens: int) -> int:
+        """Loss-bearing tokens among the first ``tokens``."""
+        if self.bearing is None:
+            return min(self.loss, tokens)
+        at = self.start - self.first
+        return int(self.bearing[at + tokens] - self.bearing[at])
+
+    def head_within(self, room: int) -> int:
+        """How many tokens of the head bear at most ``room`` loss."""
+        if self.loss <= room:
+            return self.tokens
+        if self.bearing is None:
+            return room
+        at = self.start - self.first
+        return int(np.searchsorted(self.bearing[at : at + self.tokens + 1], self.bearing[at] + room, "right")) - 1
+
+    def divide(self, tokens: int) -> tuple[Example, Example | None]:
+        if tokens >= self.tokens:
+            return self, None
+        loss = self.head_loss(tokens)
+        return (
+            Example(self.tag, self.start, tokens, loss, self.bearing, self.first),
+            Example(self.tag, self.start + tokens, self.tokens - tokens, self.loss - loss, self.bearing, self.first),
+        )
+
+
+# Shorter heads are cut only if they fill the sequence.
+LEAST_HEAD = 32
 
 
 class Packer:
@@ -66,10 +100,13 @@ class Packer:
     def __init__(self, limits: Limits, cut: bool):
         self.limits, self.cut = limits, cut
         self.caps = np.array([limits.tokens, limits.segments, limits.loss_tokens], np.float64)
-        self.waiting: list[Example | None] = []
-        self.demand = np.zeros((limits.pool, 3))
-        self.free = list(range(limits.pool - 1, -1, -1))
-        self.waiting = [None] * limits.pool
+        # A sequence that closes early returns members to the pool: at most its segments.
+        slots = limits.pool + limits.segments + 1
+        # Demands of the slots as shares of the limits (0 where nothing waits), and as they are (inf).
+        self.shares = np.zeros((3, slots))
+        self.tokens, self.loss = np.full(slots, np.inf), np.full(slots, np.inf)
+        self.free = list(range(slots - 1, -1, -1))
+        self.waiting: list[Example | None] = [None] * slots
         self.count = 0
 
     def add(self, example: Example) -> Iterator[list[Example]]:
@@ -78,93 +115,92 @@ class Packer:
         if not self.cut and (example.tokens > lim.tokens or example.loss > lim.loss_tokens):
             yield [example]  # fits nowhere: alone, and over the limit
             return
-        while example.tokens >= lim.tokens and self.cut:
-            head, example = self._divide(example, min(lim.tokens, self._loss_room(example, lim.loss_tokens)))
-            yield [head]
-            if example is None:
-                return
-        slot = self.free.pop()
-        self.waiting[slot] = example
-        self.demand[slot] = (example.tokens, 1, example.loss)
-        self.count += 1
-        if not self.free:
-            yield from self._close(self.limits.pool // 2)
+        self._wait(example)
+        if self.count >= lim.pool:
+            yield from self._close(lim.pool // 2)
 
     def finish(self) -> Iterator[list[Example]]:
         yield from self._close(0)
 
-    @staticmethod
-    def _loss_room(example: Example, room: int) -> int:
-        """How many tokens of the example's head bear at most ``room`` loss."""
-        return example.tokens if example.loss <= room else room
+    def _wait(self, example: Example) -> None:
+        self._put(self.free.pop(), example)
+        self.count += 1
 
-    @staticmethod
-    def _divide(example: Example, tokens: int) -> tuple[Example, Example | None]:
-        if tokens >= example.tokens:
-            return example, None
-        loss = min(example.loss, tokens)
-        return (
-            Example(example.tag, example.start, tokens, loss),
-            Example(example.tag, example.start + tokens, example.tokens - tokens, example.loss - loss),
-        )
+    def _put(self, slot: int, example: Example) -> None:
+        self.waiting[slot], self.tokens[slot], self.loss[slot] = example, example.tokens, example.loss
+        self.shares[:, slot] = (example.tokens, 1, example.loss) / self.caps
 
     def _close(self, leave: int) -> Iterator[list[Example]]:
         """Fill sequences until at most ``leave`` examples wait."""
         while self.count > leave:
             left, members = self.caps.copy(), []
             while self.count and left[0] > 0 and left[1] > 0:
-                slot, head = self._choose(left)
-                if slot is None:
+                head = self._choose(left)
+                if head is None:
                     break
                 members.append(head)
                 left -= (head.tokens, 1, head.loss)
             used = sum(m.tokens for m in members)
-            last = self.cut and self.count == 0 and used & (used - 1) and used < self.limits.tokens
-            yield from self._powers(members) if last else (members,)
+            if not self.cut or used == self.limits.tokens or not used & (used - 1):
+                yield members
+            elif self.count == 0:
+                yield from self._powers(members)
+            else:
+                kept, back = self._split(members, 1 << (used.bit_length() - 1))
+                for example in back:
+                    self._wait(example)
+                yield kept
 
-    def _choose(self, left: np.ndarray):
-        scores = (self.demand / self.caps) @ (left / self.caps)
-        fits = (self.demand <= left).all(axis=1) & (self.demand[:, 0] > 0)
+    def _choose(self, left: np.ndarray) -> Example | None:
+        scores = (left / self.caps) @ self.shares
         if self.cut and left[1] == 1:
-            fits &= self.demand[:, 0] == left[0]  # the last segment has to fill the sequence
-        if fits.any():
-            slot = int(np.argmax(np.where(fits, scores, -1.0)))
-            return slot, self._take(slot)
+            fits = (self.tokens == left[0]) & (self.loss <= left[2])  # the last segment has to fill the sequence
+        else:
+            fits = (self.tokens <= left[0]) & (self.loss <= left[2])
+        slot = int((scores * fits).argmax())
+        if fits[slot]:
+            return self._take(slot)
         if not self.cut:
-            return None, None
-        slot = int(np.argmax(np.where(self.demand[:, 0] > 0, scores, -1.0)))
+            return None
+        slot = int(scores.argmax())
         waiting = self.waiting[slot]
-        tokens = min(int(left[0]), self._loss_room(waiting, int(left[2])))
-        if tokens < 1:
-            return None, None
-        head, rest = self._divide(waiting, tokens)
+        tokens = min(int(left[0]), waiting.head_within(int(left[2])))
+        if tokens < min(int(left[0]), LEAST_HEAD, waiting.tokens):
+            return None
+        head, rest = waiting.divide(tokens)
         if rest is None:
-            return slot, self._take(slot)
-        self.waiting[slot] = rest
-        self.demand[slot] = (rest.tokens, 1, rest.loss)
-        return slot, head
+            return self._take(slot)
+        self._put(slot, rest)
+        return head
 
     def _take(self, slot: int) -> Example:
         example, self.waiting[slot] = self.waiting[slot], None
-        self.demand[slot] = 0
+        self.tokens[slot] = self.loss[slot] = np.inf
+        self.shares[:, slot] = 0
         self.free.append(slot)
         self.count -= 1
         return example
 
+    @staticmethod
+    def _split(members: list[Example], tokens: int) -> tuple[list[Example], list[Example]]:
+        """The first ``tokens`` tokens of a sequence, and what lies behind them."""
+        kept, back = [], []
+        for m in members:
+            if tokens > 0:
+                head, rest = m.divide(tokens)
+                kept.append(head)
+                tokens -= head.tokens
+                back += [rest] if rest is not None else []
+            else:
+                back.append(m)
+        return kept, back
+
     def _powers(self, members: list[Example]) -> Iterator[list[Example]]:
         """Divide an unfilled sequence into sequences of powers of two."""
-        total = sum(m.tokens for m in members)
-        queue = list(reversed(members))
-        while total:
-            room, out = 1 << (total.bit_length() - 1), []
-            total -= room
-            while room:
-                head, rest = self._divide(queue.pop(), room)
-                out.append(head)
-                room -= head.tokens
-                if rest is not None:
-                    queue.append(rest)
-            yield out
+        while members:
+            total = sum(m.tokens for m in members)
+            kept, members = self._split(members, 1 << (total.bit_length() - 1))
+            yield kept
 
 
 def pack_examples(examples: DataFrame, limits: Limits, id_col: str = "id", tokens_col: str = "n_tokens", loss_col: str = "n_loss") -> DataFrame:
@@ -324,19 +360,53 @@ def _tokens(path: str) -> DocumentTokens:
 TEXT_BLOCK = 1 << 21
 
 
-def pack_documents(docs: DataFrame, tokenizer_path: str, limits: Limits = Limits(), id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
+# Tokens of a document that wait as one example.
+WINDOW = 1 << 14
+#: Limits and loss law under which a corpus of documents is packed.
+DOCUMENT_LIMITS, DOCUMENT_LOSS = Limits(tokens=1024, segments=4, loss_tokens=320), "first"
+
+
+class Bearing:
+    """Which ids of a document bear loss: ``all`` but the closing one, or of these only each id's
+    ``first`` occurrence, so that repetition is read but not learned."""
+
+    def __init__(self, law: str):
+        if law not in ("all", "first"):
+            raise ValueError(f"loss is 'all' or 'first', not {law!r}")
+        self.law = law
+        self.place = np.zeros(1, np.int32)
+
+    def before(self, ids: np.ndarray) -> np.ndarray:
+        """How many ids bear loss before each position, and in all."""
+        n = len(ids) - 1
+        bears = np.ones(n, bool)
+        if self.law == "first" and n:
+            if (top := int(ids.max())) >= len(self.place):
+                self.place = np.zeros(top + 1, np.int32)
+            order = np.arange(n, dtype=np.int32)
+            # Written from the end, an id's place is its first one.
+            self.place[ids[:n][::-1]] = order[::-1]
+            bears = self.place[ids[:n]] == order
+        out = np.zeros(n + 2, np.int32)
+        np.cumsum(bears, out=out[1 : n + 1])
+        out[n + 1] = out[n]
+        return out
+
+
+def pack_documents(docs: DataFrame, tokenizer_path: str, limits: Limits = Limits(), id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False, loss: str = "all") -> DataFrame:
     """Tokenize documents, close each with id 0, and pack them into sequences, cutting freely.
 
     One row per piece: the document's id, ``start``, ``length``, ``ids_crc32`` (of little-endian
     unsigned 32-bit ids), ``doc_tokens``, ``sequence_id``, ``offset``, ``segment``, ``n_loss`` and,
-    if asked for, ``ids``. All but the closing id bear loss. Null text is the empty text: one
+    if asked for, ``ids``. ``loss`` is the law of ``Bearing``. Null text is the empty text: one
     piece with the closing id. Repeated rows are separate documents; an empty table gives no rows.
     """
+    Bearing(loss)  # a law that is unknown is reported here
     names = ["id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "segment", "n_loss"] + ["ids"] * with_ids
     types = [pa.int64()] * 7 + [pa.int32(), pa.int64()] + [pa.list_(pa.int32())] * with_ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder, packer = _tokens(tokenizer_path), Packer(limits, cut=True)
+        coder, packer, bearing = _tokens(tokenizer_path), Packer(limits, cut=True), Bearing(loss)
         base, made = TaskContext.get().partitionId() << TASK_SHIFT, 0
         kind = pa.int64()
 
@@ -362,12 +432,13 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, limits: Limits = Limits
                 block.append((doc.as_py(), text.as_py() or ""))
                 held += len(block[-1][1])
                 if held >= TEXT_BLOCK:
-                    closed += _placed(coder, packer, block, limits)
+                    for sequence in _placed(coder, packer, bearing, block):
+                        closed.append(sequence)
+                        if len(closed) >= 4096:
+                            yield emit(closed)
+                            closed = []
                     block, held = [], 0
-                    if len(closed) >= 4096:
-                        yield emit(closed)
-                        closed = []
-            closed += _placed(coder, packer, block, limits)
+            closed += _placed(coder, packer, bearing, block)
             yield emit(closed)
         yield emit(packer.finish())
 
@@ -377,13 +448,11 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, limits: Limits = Limits
     return chosen.mapInArrow(run, ", ".join([f"id {kind_name}", *schema])).withColumnRenamed("id", id_col)
 
 
-def _placed(coder: DocumentTokens, packer: Packer, block: list, limits: Limits) -> Iterator[list[Example]]:
+def _placed(coder: DocumentTokens, packer: Packer, bearing: Bearing, block: list) -> Iterator[list[Example]]:
     for (doc, _), ids in zip(block, coder.encode([t for _, t in block]), strict=True):
-        whole = len(ids) // limits.tokens * limits.tokens if limits.loss_tokens >= limits.tokens else 0
-        # What waits in the pool should not hold the long document that it ends.
-        for at in range(0, whole, limits.tokens):
-            loss = min(limits.tokens, len(ids) - 1 - at)
-            yield [Example((doc, len(ids), 0, ids), at, limits.tokens, loss)]
-        if whole < len(ids):
-            rest = ids[whole:].copy()
-            yield from packer.add(Example((doc, len(ids), whole, rest), whole, len(rest), len(rest) - 1))
+        before = bearing.before(ids)
+        for at in range(0, len(ids), WINDOW):
+            # What waits in the pool should not hold the long document that it belongs to.
+            end = min(at + WINDOW, len(ids))
+            own, marks = (ids, before) if end - at == len(ids) else (ids[at:end].copy(), before[at : end + 1].copy())
+            yield from packer.add(Example((doc, len(ids), at, own), at, end - at, int(marks[-1] - marks[0]), marks, at))

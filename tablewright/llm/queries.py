@@ -91,8 +91,9 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query()
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents in sequences of at most 1,024 tokens and 512 segments."""
-    return packing.pack_documents(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    """All documents in sequences of at most 1,024 tokens, 4 segments and 320 loss-bearing tokens."""
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    return packing.pack_documents(_table(spark, sf_dir, "documents"), path, packing.DOCUMENT_LIMITS, loss=packing.DOCUMENT_LOSS)
 
 
 @_query(filter_audit.oracle())

@@ -105,6 +105,43 @@ def test_little_padding(sample):
     assert padding <= 0.001 * used.sum()
 
 
+def test_packed_documents_reach_every_limit(sample):
+    out = packing.pack_documents(sample, TOKENIZER, packing.DOCUMENT_LIMITS, with_ids=True, loss="first").toPandas()
+    whole = out.sort_values("start").groupby("doc_id")
+    for _, own in whole:
+        ids = [x for p in own.ids for x in p]
+        assert own.n_loss.sum() == len(set(ids[:-1])) and own.doc_tokens.iloc[0] == len(ids)
+        at = 0
+        for p in own.itertuples():
+            seen = set(ids[:at])
+            assert p.n_loss == len(set(p.ids[: len(ids) - 1 - at]) - seen)
+            at += p.length
+    used = out.groupby("sequence_id").agg(tokens=("length", "sum"), segments=("length", "size"), loss=("n_loss", "sum"))
+    assert tuple(used.max()) == (1024, 4, 320)
+    assert ((used.tokens & (used.tokens - 1)) == 0).all() and (used.tokens == 1024).mean() > 0.9
+    with pytest.raises(ValueError, match="loss"):
+        packing.pack_documents(sample, TOKENIZER, loss="none")
+
+
+def test_packing_without_room_for_loss_needs_no_padding():
+    """Short examples that are all loss: sequences close early, at powers of two."""
+    rng = random.Random(4)
+    packer, placed = packing.Packer(packing.Limits(tokens=1024, segments=3, loss_tokens=100, pool=16), cut=True), []
+    sizes = [rng.randint(1, 90) for _ in range(500)] + [1, 1, 5000, 1]
+    for i, n in enumerate(sizes):
+        placed += packer.add(packing.Example(i, 0, n, n))
+    placed += packer.finish()
+    own: dict[int, list] = {}
+    for members in placed:
+        used = sum(m.tokens for m in members)
+        assert used & (used - 1) == 0 and len(members) <= 3 and sum(m.loss for m in members) <= 100
+        for m in members:
+            own.setdefault(m.tag, []).append((m.start, m.tokens))
+    for i, n in enumerate(sizes):
+        ends = [0] + [a + b for a, b in sorted(own[i])]
+        assert [a for a, _ in sorted(own[i])] == ends[:-1] and ends[-1] == n
+
+
 def test_whole_examples_keep_all_limits(spark):
     rng = random.Random(2)
     rows = [(i, n := rng.randint(1, 700), rng.randint(0, n)) for i in range(3000)] + [(9000, None, None), (9001, 0, 0), (9002, 5000, 10)]
