@@ -39,8 +39,9 @@ def hide_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents as pieces of sequences of at most 1,024 tokens."""
-    return packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"))
+    """All documents as pieces of sequences of at most 1,024 tokens, within all limits of ``op10``."""
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    return packing.pack_documents(docs, path, packing.DOCUMENT_LIMITS, loss=packing.DOCUMENT_LOSS)
 
 
 STAGES = [
