@@ -136,9 +136,16 @@ def fill_statistic(df: DataFrame, name: str, method: str):
         else:
             found = quantiles.quantiles(df, [name], [0.5])[name][0]
         return None if found is None else round(float(found), 2)
-    found = frequencies.mode(df, name)
-    if found is None and kind in ("numeric", "categorical"):
-        return 0 if kind == "numeric" else V.EMPTY_MODE_TEXT
+    return mode_fills(df, [name])[name]
+
+
+def mode_fills(df: DataFrame, names: list[str]) -> dict:
+    """The value that ``mode`` filling puts into each column, from one count of all their values."""
+    found = frequencies.modes(df, names)
+    for name in names:
+        kind = profile_class(df.schema[name].dataType)
+        if found[name] is None and kind in ("numeric", "categorical"):
+            found[name] = 0 if kind == "numeric" else V.EMPTY_MODE_TEXT
     return found
 
 

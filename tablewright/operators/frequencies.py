@@ -106,6 +106,37 @@ def mode(df: DataFrame, column: str):
     return None if row is None else row["value"]
 
 
+def modes(df: DataFrame, columns: list[str]) -> dict:
+    """Most frequent value of each column (smallest on ties), or None, in the column's own type.
+
+    One scan and one count of (column, value) for all columns; what reaches the driver is one row
+    per column. Columns of one type share a field of the counted key.
+    """
+    if not columns:
+        return {}
+    types = {df.schema[c].dataType.json(): df.schema[c].dataType for c in columns}
+    field = {kind: f"v{k}" for k, kind in enumerate(types)}
+    own = {c: field[df.schema[c].dataType.json()] for c in columns}
+    cells = [
+        F.struct(
+            F.lit(i).alias("column_index"),
+            *[
+                (clean_value(df, c) if own[c] == field[kind] else F.lit(None)).cast(dtype).alias(field[kind])
+                for kind, dtype in types.items()
+            ],
+        )
+        for i, c in enumerate(columns)
+    ]
+    values = df.select(F.explode(F.array(*cells)).alias("cell")).select("cell.*")
+    values = values.where(" OR ".join(f"{v} IS NOT NULL" for v in field.values()))
+    counted = values.groupBy("column_index", *field.values()).agg(F.count("*").alias("n"))
+    best = counted.groupBy("column_index").agg(
+        F.min(F.struct((-F.col("n")).alias("rank"), *field.values())).alias("best")
+    )
+    found = {r["column_index"]: r["best"] for r in best.collect()}
+    return {c: found[i][own[c]] if i in found else None for i, c in enumerate(columns)}
+
+
 def _marked(df: DataFrame) -> DataFrame:
     """The rows with an 8-byte fingerprint of all their cells."""
     cells = [clean_value(df, c) for c in df.columns]

@@ -218,7 +218,7 @@ class _Run:
         return d.fill_method or ("median" if profile_class(dtype) == "numeric" else "mode")
 
     def statistics(self, known, fields) -> dict:
-        """Null counts and means in one aggregate, medians in one, modes one each."""
+        """Null counts and means in one aggregate, medians in one, modes in one."""
         if not known:
             return {}
         names = [d.column for d in known]
@@ -243,11 +243,9 @@ class _Run:
         facts["median"] = {
             c: q[0] for c, q in quantiles.quantiles(self.df, medians, [0.5], sizes=sizes).items()
         }
-        facts["mode"] = {
-            d.column: cleaning.fill_statistic(self.df, d.column, "mode")
-            for d in filled
-            if self.method_of(d, fields[d.column]) == "mode"
-        }
+        facts["mode"] = cleaning.mode_fills(
+            self.df, [d.column for d in filled if self.method_of(d, fields[d.column]) == "mode"]
+        )
         return facts
 
     def needs_median(self, d, dtype) -> bool:

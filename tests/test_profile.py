@@ -137,6 +137,19 @@ def test_unique_counts_ignore_negative_zero(frame):
     assert {r["column"]: r["unique_count"] for r in found.collect()} == {"v": 2, "t": 1}
 
 
+def test_modes_of_all_columns_at_once(frame):
+    nan = float("nan")
+    df = frame(
+        "a int, b string, c double, d boolean, e string, f int",
+        (10, "x", 2.5, True, None, 3), (9, "X", -0.0, False, None, 2), (9, "x", 0.0, None, None, 3), (10, "X", nan, True, None, 2),
+        (None, None, nan, None, None, 2),
+    )
+    found = frequencies.modes(df, df.columns)
+    assert found == {c: frequencies.mode(df, c) for c in df.columns}
+    assert found == {"a": 9, "b": "X", "c": 0.0, "d": True, "e": None, "f": 2}
+    assert frequencies.modes(df, []) == {} and frequencies.modes(df.limit(0), ["a"]) == {"a": None}
+
+
 def test_mode_takes_the_smallest_on_ties(frame):
     assert frequencies.mode(frame("v int", (10,), (9,), (9,), (10,), (None,)), "v") == 9
 
