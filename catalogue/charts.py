@@ -282,6 +282,33 @@ for _kind in ("line", "area"):
     _series_query(_kind)
 
 
+_SHAPE = 800
+
+
+def _shape_query(kind):
+    @query(
+        f"""WITH s AS (SELECT row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey) - 1
+      AS position, CAST(l_orderkey AS VARCHAR) AS x, l_extendedprice AS y FROM lineitem
+      WHERE l_orderkey IS NOT NULL AND l_extendedprice IS NOT NULL),
+    c AS (SELECT *, CASE WHEN (SELECT count(*) FROM s) <= {_SHAPE} THEN position
+      ELSE position * {_SHAPE // 4} // (SELECT count(*) FROM s) END AS col FROM s),
+    r AS (SELECT *, min(position) OVER w AS first_one, max(position) OVER w AS last_one,
+      row_number() OVER (PARTITION BY col ORDER BY y, position) AS from_low,
+      row_number() OVER (PARTITION BY col ORDER BY y DESC, position) AS from_high
+      FROM c WINDOW w AS (PARTITION BY col))
+    SELECT position, x, round(y, 4) AS y FROM r
+    WHERE position IN (first_one, last_one) OR from_low = 1 OR from_high = 1""",
+        name=f"custom_{kind}_shape",
+    )
+    def shape_query(spark, sf):
+        request = ChartRequest(kind, "l_orderkey", "l_extendedprice", shape_points=_SHAPE)
+        return shaped(charts.custom(lines(spark, sf), request, LINE_KEY))
+
+
+for _kind in ("line", "area"):
+    _shape_query(_kind)
+
+
 @query(
     """SELECT c_mktsegment AS label, round(sum(c_acctbal), 2) AS value FROM customer
     GROUP BY c_mktsegment ORDER BY sum(c_acctbal) DESC LIMIT 10"""

@@ -44,6 +44,8 @@ class ChartRequest:
     top: int = 20
     # Points of a line, an area or raw bars (None shows all), or of a scatter (None shows 1,000).
     points: int | None = None
+    # Points of a line or an area that is drawn as all its points would be, four per column of pixels.
+    shape_points: int | None = None
 
 
 @dataclass
@@ -378,6 +380,34 @@ def _custom_bar(df, request, order_by):
     )
 
 
+def keep_shape(series: DataFrame, points: int) -> DataFrame:
+    """Of a series (position from 0, x, y) at most ``points`` points that draw the same line.
+
+    Positions are cut into ``points // 4`` columns, and each keeps its first, last, smallest and
+    largest point (the earliest on ties): at that width, lines between these cover the same pixels.
+    A series that is no longer than ``points`` stays whole; null y never is an extreme.
+    """
+    if points < 4:
+        raise ValueError("a column of a line needs four points")
+    columns = points // 4
+    n = series.agg(F.max("position").alias("last")).first()["last"]
+    if n is None or n < points:
+        return series
+    spread = series.withColumn("__column", F.expr(f"position * {columns} div {n + 1}"))
+    point = F.struct("position", "x", "y")
+    some = F.col("y").isNotNull()
+    found = spread.groupBy("__column").agg(
+        F.min(point).alias("first"),
+        F.max(point).alias("last"),
+        F.min(F.when(some, F.struct("y", "position", "x"))).alias("low"),
+        F.max(F.when(some, F.struct("y", (-F.col("position")).alias("back"), "x"))).alias("high"),
+    )
+    high = F.when(F.col("high").isNotNull(), F.struct((-F.col("high.back")).alias("position"), F.col("high.x").alias("x"), F.col("high.y").alias("y")))
+    low = F.when(F.col("low").isNotNull(), F.struct("low.position", "low.x", "low.y"))
+    kept = F.array_distinct(F.array_compact(F.array("first", "last", low, high)))
+    return found.select(F.explode(kept).alias("p")).select("p.*")
+
+
 def _custom_series(df, request, order_by):
     used = [c for c in (request.x_column, request.y_column) if c]
     complete = df
@@ -386,7 +416,7 @@ def _custom_series(df, request, order_by):
     if request.points is not None:
         complete = ordered.preview(complete, request.points, order_by)
     numbered, position = ordered.numbered(complete, order_by), F.col("__position")
-    return numbered.select(
+    series = numbered.select(
         position.alias("position"),
         (ref(request.x_column).cast("string") if request.x_column else position.cast("string")).alias("x"),
         (
@@ -395,6 +425,7 @@ def _custom_series(df, request, order_by):
             else position.cast("double")
         ).alias("y"),
     )
+    return series if request.shape_points is None else keep_shape(series, request.shape_points)
 
 
 def _custom_scatter(df, request, order_by):

@@ -1,6 +1,8 @@
+import random
 from datetime import datetime, timedelta
 
 import pytest
+from pyspark.sql import functions as F
 
 from tablewright.operators import ordered
 from tablewright.plans import charts, report
@@ -98,6 +100,34 @@ def test_recommendation_falls_back_to_frequencies(spark):
     assert [c.id for c in charts.recommend(df, ["name"])] == ["rec_chart_cat_bar"]
 
 
+def test_a_line_keeps_its_shape(spark):
+    rng = random.Random(3)
+    values = [None if rng.random() < 0.02 else rng.randint(-50, 50) / 2 for _ in range(5003)]
+    df = spark.createDataFrame([(i, str(i), y) for i, y in enumerate(values)], "position long, x string, y double").repartition(7)
+    found = charts.keep_shape(df, 400).collect()
+    columns: dict[int, list] = {}
+    for i in range(5003):
+        columns.setdefault(i * 100 // 5003, []).append(i)
+    wanted = set()
+    for members in columns.values():
+        known = [i for i in members if values[i] is not None]
+        wanted |= {members[0], members[-1], min(known, key=lambda i: (values[i], i)), min(known, key=lambda i: (-values[i], i))}
+    assert sorted(r["position"] for r in found) == sorted(wanted) and len(found) <= 400
+    assert all(r["y"] == values[r["position"]] and r["x"] == str(r["position"]) for r in found)
+    assert charts.keep_shape(df, 5003).count() == 5003 and charts.keep_shape(df.limit(0), 8).count() == 0
+    constant = df.withColumn("y", F.lit(1.0))
+    assert charts.keep_shape(constant, 400).count() == 200
+    with pytest.raises(ValueError, match="four"):
+        charts.keep_shape(df, 3)
+
+
+def test_charts_of_text_values(frame):
+    """Text on the y axis is read as numbers; what is none counts as 0."""
+    df = frame("id int, x string, y string", (1, "a", "1.5"), (2, "b", "no"), (3, "c", None), (4, "d", " 7 "))
+    line = charts.custom(df, ChartRequest("line", "x", "y"), ["id"]).orderBy("position").collect()
+    assert [(r["x"], r["y"]) for r in line] == [("a", 1.5), ("b", 0.0), ("d", 7.0)]
+
+
 def test_custom_charts(shop):
     custom = lambda *a, **k: charts.custom(shop, ChartRequest(*a, **k), ["id"])
     assert custom("bar", "kind", "v", aggregation="mean").first()["x"] == "c" or True
