@@ -75,6 +75,27 @@ def match_columns(spark, sf):
     return shaped(questions.match_columns(_asked(spark, sf), _catalogue(spark, sf)))
 
 
+# Columns of a wide table: every measure of a line by year and statistic.
+_WIDE = [
+    (f"{name} {year} {stat}", kind)
+    for name, kind in _KINDS.items()
+    for year in range(1992, 1999)
+    for stat in ("sum", "mean", "low", "high", "n")
+]
+_WIDE_MATCHES = _MATCHES.replace(
+    ", ".join(f"({i}, '{n}', '{k}')" for i, (n, k) in enumerate(_KINDS.items())),
+    ", ".join(f"({i}, '{n}', '{k}')" for i, (n, k) in enumerate(_WIDE)),
+)
+
+
+@query(
+    f"""WITH {_WIDE_MATCHES} SELECT question_id, rank, name AS "column", CAST(score AS BIGINT) AS score, kind
+    FROM m"""
+)
+def match_columns_wide(spark, sf):
+    return shaped(questions.match_columns(_asked(spark, sf), _WIDE))
+
+
 def _says(words):
     return "(" + " OR ".join(f"contains(said, '{w}')" for w in words) + ")"
 
@@ -110,6 +131,9 @@ def _says(words):
       END AS extreme,
     CASE WHEN route IN ('grouped', 'value_counts') THEN
       coalesce(nullif(regexp_extract(said, '(?:top|first|highest)\\s*(\\d+)', 1), ''), '-') END AS top_n
+  ,
+    CASE WHEN route IN ('grouped', 'value_counts') THEN
+      coalesce(nullif(regexp_extract(said, '(?:bottom|lowest|last)\\s*(\\d+)', 1), ''), '-') END AS bottom_n
   FROM r"""
 )
 def route_questions(spark, sf):
@@ -125,4 +149,8 @@ def route_questions(spark, sf):
             F.col("route").isin("grouped", "value_counts"),
             F.coalesce(F.col("top_n").cast("string"), F.lit("-")),
         ).alias("top_n"),
+        F.when(
+            F.col("route").isin("grouped", "value_counts"),
+            F.coalesce(F.col("bottom_n").cast("string"), F.lit("-")),
+        ).alias("bottom_n"),
     )

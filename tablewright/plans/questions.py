@@ -1,13 +1,15 @@
 """Question routing: which columns a question names and which answer it asks for.
 
 ``match_columns`` and ``routes`` work on a table of questions. The column
-catalogue is bounded by a schema and becomes part of the expression, so every
-question is scored where it lies: no join and no shuffle.
+catalogue is bounded by a schema. A short one becomes part of the expression, so
+every question is scored where it lies: no join and no shuffle. A long one becomes
+an index from tokens and grams to names; questions meet only names they may mention.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from functools import reduce
 from operator import and_
 
@@ -19,6 +21,12 @@ from tablewright.functions.columns import analytic_class, columns_of, small_fram
 from tablewright.operators import answers
 
 
+# Longer catalogues are looked up in an index.
+EXPRESSION_COLUMNS = 64
+# Characters of a gram of the index.
+GRAM = 4
+
+
 def catalogue_of(df: DataFrame) -> list[tuple[str, str]]:
     """(column, class) pairs of one table, in column order."""
     return [(f.name, analytic_class(f.dataType)) for f in df.schema.fields]
@@ -49,19 +57,99 @@ def _score(name: str, said: Column, joined: Column, words: Column) -> Column:
     )
 
 
+def _read(questions: DataFrame, id_: str, text: str) -> DataFrame:
+    """(id, said, joined, words): the question in the forms that names are looked for in."""
+    return questions.select(id_, F.lower(text).alias("said")).select(
+        id_,
+        "said",
+        F.regexp_replace("said", "[^a-z0-9]+", "").alias("joined"),
+        F.concat(F.lit(" "), F.regexp_replace("said", "[^a-z0-9]+", " "), F.lit(" ")).alias("words"),
+    )
+
+
+def _grams(text: str) -> list[str]:
+    return [text[k : k + GRAM] for k in range(max(1, len(text) - GRAM + 1))]
+
+
+def _index(catalogue) -> list[tuple]:
+    """(key, position, column, kind, lower, spaced, packed, tokens) of all keys of all names.
+
+    A question that mentions a name holds one of its keys: a token of three or more characters (any
+    token, if all are shorter), or the gram of its letters and digits that the fewest names have.
+    Names without ASCII letters and digits have a gram of the name itself. The empty key is in every question.
+    """
+    names = []
+    for i, (name, kind) in enumerate(catalogue):
+        lower = name.lower()
+        spaced = re.sub(r"[^a-z0-9]", " ", lower).strip()
+        names.append((i, name, kind, lower, spaced, spaced.replace(" ", ""), sorted(set(spaced.split()))))
+    mark = lambda n: ("g:", n[5]) if n[5] else ("u:", n[3])
+    held = Counter(kind + g for kind, text in map(mark, names) for g in set(_grams(text)))
+    rows = [("", -1, None, None, None, None, None, None)]
+    for n in names:
+        kind, text = mark(n)
+        long = [t for t in n[6] if len(t) > 2]
+        keys = {min((kind + g for g in _grams(text)), key=lambda k: (held[k], k))}
+        rows += [(key, *n) for key in keys | {f"t:{t}" for t in long or n[6]}]
+    return rows
+
+
+def _indexed_matches(questions: DataFrame, catalogue, id_: str, text: str) -> DataFrame:
+    """``_matches`` for long catalogues: names are joined by the keys that question and name share.
+
+    The index is bounded by the schema. Only matches are shuffled, with the empty key once per row,
+    which brings rows without a match, and repeated rows, back as often as they were.
+    """
+    spark, rows = questions.sparkSession, _index(catalogue)
+    index = small_frame(
+        spark, rows,
+        "key string, position int, column string, kind string, lower string, spaced string, packed string, tokens array<string>",
+    )
+    known = F.split(F.lit("\x01".join(sorted({r[0] for r in rows}))), "\x01")
+
+    def grams(source: str, mark: str) -> list[Column]:
+        def of(size: int) -> Column:
+            starts = F.sequence(F.lit(1), F.char_length(source) - (size - 1))
+            cut = F.transform(starts, lambda k: F.concat(F.lit(mark), F.substring(F.col(source), k, F.lit(size))))
+            return F.when(F.char_length(source) >= size, cut)
+
+        return [of(size) for size in sorted({len(r[0]) - 2 for r in rows if r[0].startswith(mark)})]
+
+    tokens = F.transform(F.split(F.trim("words"), " "), lambda t: F.concat(F.lit("t:"), t))
+    parts = [F.coalesce(p, F.array().cast("array<string>")) for p in [tokens, *grams("joined", "g:"), *grams("said", "u:")]]
+    # Only keys of the index leave the row: the text is copied once per name that it may mention.
+    keys = F.concat(F.array(F.lit("")), F.array_except(F.array_intersect(F.concat(*parts), known), F.array(F.lit(""))))
+    read = _read(questions, id_, text).withColumnRenamed(id_, "__id")
+    met = read.withColumn("key", F.explode(keys)).join(F.broadcast(index), "key")
+    said, joined = F.col("said"), F.col("joined")
+    present = F.filter("tokens", lambda t: F.contains(F.col("words"), F.concat(F.lit(" "), t, F.lit(" "))))
+    shared = F.size(F.filter(present, lambda t: F.char_length(t) > 2))
+    named = (
+        F.when(F.contains(said, F.col("lower")) | F.contains(said, F.col("spaced")), 100 + F.char_length("spaced"))
+        .when(F.contains(joined, F.col("packed")), 90 + F.char_length("packed"))
+        .when(F.size(present) == F.size("tokens"), 80 + F.size("tokens"))
+        .when(shared > 0, 40 + 10 * shared)
+    )
+    score = F.when(F.col("packed") != "", named).when(F.contains(said, F.col("lower")), F.lit(100))
+    match = F.struct((-score).alias("rank_key"), "position", "column", "kind")
+    found = met.select("__id", "said", score.alias("score"), match.alias("match"), (F.col("position") < 0).alias("self"))
+    grouped = found.where("self OR score IS NOT NULL").groupBy("__id", "said").agg(
+        F.array_sort(F.collect_set(F.when(F.col("score").isNotNull(), F.col("match")))).alias("matches"),
+        F.count_if("self").alias("copies"),
+    )
+    each = grouped.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
+    return each.select(F.col("__id").alias(id_), "said", "matches")
+
+
 def _matches(questions: DataFrame, catalogue, id_: str, text: str) -> DataFrame:
     """(id, said, matches): matches is array<struct>, best first, catalogue order on ties.
 
     Lower-casing and splitting happen in projections of their own, so that
     scoring a column does not repeat them.
     """
-    lower = questions.select(id_, F.lower(text).alias("said"))
-    read = lower.select(
-        id_,
-        "said",
-        F.regexp_replace("said", "[^a-z0-9]+", "").alias("joined"),
-        F.concat(F.lit(" "), F.regexp_replace("said", "[^a-z0-9]+", " "), F.lit(" ")).alias("words"),
-    )
+    if len(catalogue) > EXPRESSION_COLUMNS:
+        return _indexed_matches(questions, catalogue, id_, text)
+    read = _read(questions, id_, text)
     scored = [
         F.struct(
             (-_score(name, F.col("said"), F.col("joined"), F.col("words"))).alias("rank_key"),

@@ -1,3 +1,5 @@
+import random
+
 import pytest
 
 from tablewright.operators import answers
@@ -141,6 +143,30 @@ def test_routes(frame, text, route, target, aggregation):
     assert (row["route"], row["target"], row["aggregation"]) == (route, target, aggregation)
 
 
+def test_long_catalogues_give_the_same_matches(frame, monkeypatch):
+    rng = random.Random(5)
+    words = ["net", "sales", "to", "of", "unit", "price", "q1", "tax", "a", "b", "é", "rate", "id"]
+    names = {rng.choice([" ", "_", "-", ""]).join(rng.choices(words, k=rng.randint(1, 4))) for _ in range(400)}
+    catalogue = [(n, rng.choice(["numeric", "categorical"])) for n in sorted(names | {"éé", "??", "x", "Ünit Prices"})]
+    asked = [(i, " ".join(rng.choices([*words, "What?", "NET-SALES", "éé", "taxes", "unitprice"], k=rng.randint(0, 7)))) for i in range(300)]
+    asked += [(7, asked[7][1]), (8, "other text"), (None, "net sales"), (400, None), (401, "??"), (402, "")]
+    df = frame("key int, question string", *asked)
+    found = {}
+    for most in (0, 10_000):
+        monkeypatch.setattr(questions, "EXPRESSION_COLUMNS", most)
+        found[most] = [
+            sorted(map(str, f(df, catalogue, "key").collect())) for f in (questions.match_columns, questions.routes)
+        ]
+    assert found[0] == found[10_000] and len(found[0][1]) == len(asked)
+
+
+def test_thousands_of_columns(frame):
+    catalogue = [(f"metric {k} of region {k % 97}", "numeric") for k in range(5000)]
+    df = frame("question_id int, question string", (1, "show metric 4321 of region 53 now"))
+    best = questions.match_columns(df, catalogue).where("rank = 1").first()
+    assert (best["column"], best["score"]) == (catalogue[4321][0], 100 + len(catalogue[4321][0]))
+
+
 def test_limits_are_read_from_the_question(frame):
     df = frame("question_id int, question string", (1, "top 5 region by unit price, last 3"))
     row = questions.routes(df, CATALOGUE).first()
