@@ -120,18 +120,23 @@ def bar(df: DataFrame, by: str, metric: str, top: int = 15) -> DataFrame:
 def pie(df: DataFrame, by: str, metric: str, top: int = 10) -> DataFrame:
     """Largest totals, all others as one slice, and shares of the whole; at least three slices."""
     slices = _labelled(_at_least(answers.group(df, by, metric, "sum", top=top), 3), by)
-    slices = slices.unionByName(_others(df.where(ref(by).isNotNull()), slices, F.sum(number(df, metric))))
+    slices = slices.unionByName(_others(_pie_marks(answers.grouped(df, by, metric, "sum"), by, "value"), slices))
     whole = slices.agg(F.sum("value")).scalar()
     return slices.withColumn(
         "share_percent", F.round(F.try_divide(F.col("value"), whole) * 100, 2)
     )
 
 
-def _others(df: DataFrame, shown: DataFrame, total: Column) -> DataFrame:
-    """What the slices shown leave of the whole; no row if they leave nothing."""
-    sums = shown.agg(F.sum("value").alias("part"), F.count("value").alias("slices"))
-    rest = sums.withColumn("value", F.round(df.agg(total.cast("double").alias("t")).scalar() - F.col("part"), 2))
-    return rest.where("slices > 0 and abs(value) >= 0.01").select(F.lit(V.OTHER_SLICE).alias("label"), "value")
+def _others(groups: DataFrame, shown: DataFrame) -> DataFrame:
+    """The total of the groups (``label``, ``value``) that no slice shows; no row if it is nothing.
+
+    It is summed from those groups alone: the whole less the slices would leave their rounding.
+    """
+    # One label per slice reaches the driver.
+    labels = [r["label"] for r in shown.select("label").collect()]
+    rest = groups.where(~F.col("label").isin(labels)) if labels else groups.limit(0)
+    total = rest.agg(F.round(F.sum("value"), 2).alias("value"))
+    return total.where("abs(value) >= 0.01").select(F.lit(V.OTHER_SLICE).alias("label"), "value")
 
 
 def frequency(df: DataFrame, column: str, top: int = 15) -> DataFrame:
@@ -441,13 +446,12 @@ def _custom_pie(df, request, order_by):
     by = request.x_column or request.y_column or (texts[0] if texts else df.columns[0])
     y = request.y_column
     if y and y != by and analytic_class(df.schema[y].dataType) == "numeric":
-        marks = answers.group(df, by, y, "sum", top=request.top).select(
-            ref(by).cast("string").alias("label"), F.col("value").cast("double").alias("value")
-        )
-        whole = F.sum(number(df, y))
-    else:
-        marks = answers.value_counts(df, by, top=request.top).select(
-            F.col("value").cast("string").alias("label"), F.col("n").cast("double").alias("value")
-        )
-        whole = F.count(ref(by))
-    return marks.unionByName(_others(df.where(ref(by).isNotNull()), marks, whole))
+        groups = answers.grouped(df, by, y, "sum")
+        marks = _settled(_pie_marks(answers.group(df, by, y, "sum", top=request.top), by, "value"))
+        return marks.unionByName(_others(_pie_marks(groups, by, "value"), marks))
+    marks = _settled(_pie_marks(answers.value_counts(df, by, top=request.top), "value", "n"))
+    return marks.unionByName(_others(_pie_marks(frequencies.value_counts(df, by), "value", "n"), marks))
+
+
+def _pie_marks(groups: DataFrame, label: str, value: str) -> DataFrame:
+    return groups.select(ref(label).cast("string").alias("label"), F.col(value).cast("double").alias("value"))

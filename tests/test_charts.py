@@ -170,6 +170,14 @@ def test_pie_shares_are_of_the_whole(spark):
     assert len(rows) == 11 and rows["Other"] == 16.67 and rows["k0"] == 8.33
 
 
+def test_a_pie_that_shows_all_groups_has_no_other_slice(spark):
+    df = spark.range(50).selectExpr("concat('k', id % 5) as kind", "if(id < 5, 1.004, 0.0) as v")
+    shown = [r["label"] for r in charts.pie(df, "kind", "v").collect()]
+    assert sorted(shown) == ["k0", "k1", "k2", "k3", "k4"]
+    custom = charts.custom(df, ChartRequest("pie", "kind", "v", top=3), ["kind"]).collect()
+    assert {r["label"]: r["value"] for r in custom}["Other"] == 2.01 and len(custom) == 4
+
+
 def test_positions_over_several_ranges(spark):
     df = spark.range(1000).selectExpr("id * 7 % 1000 as k")
     found = ordered.numbered(df, ["k"], rows_per_bucket=90).collect()
