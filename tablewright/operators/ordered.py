@@ -19,6 +19,8 @@ from tablewright.functions.columns import clean_value, ref, small_frame
 from tablewright.session import cut_lineage
 
 ROWS_PER_BUCKET = 2_000_000
+# Rows that are sorted and numbered together.
+ROWS_PER_RANGE = 500_000
 SAMPLE_PER_BUCKET = 40
 # Keys that the boundaries are chosen from, at most. More buckets have fewer samples each and are
 # less even; results never depend on where a boundary lies.
@@ -172,19 +174,26 @@ def _handed_over(bucketed, columns, order_by, forward) -> DataFrame:
     )
 
 
-def numbered(df: DataFrame, order_by: list[str], rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
-    """Add ``__position``: 0, 1, … in key order, counted bucket by bucket."""
-    bucketed = with_bucket(df, order_by, rows_per_bucket)
-    sizes = bucketed.groupBy("bucket").agg(F.count("*").alias("n")).orderBy("bucket").collect()
+def numbered(df: DataFrame, order_by: list[str], rows_per_bucket: int = ROWS_PER_RANGE) -> DataFrame:
+    """Add ``__position``: 0, 1, … in key order, counted range by range.
+
+    The sorted ranges are written once, so every later pass reads positions instead of sorting again.
+    """
+    keys = [ref(c) for c in [*order_by, TIE]]
+    ranges = max(1, -(-df.count() // rows_per_bucket))
+    placed = with_tie(df).repartitionByRange(ranges, *keys).sortWithinPartitions(*keys).drop(TIE)
+    # The number of the range above, the row's own in it below.
+    placed = cut_lineage(placed.withColumn("__id", F.monotonically_increasing_id()))
+    placed = placed.withColumn("__range", F.shiftright("__id", 33))
+    sizes = placed.groupBy("__range").agg(F.count("*").alias("n")).orderBy("__range").collect()
     starts, before = [], 0
     for r in sizes:
-        starts.append((r["bucket"], before))
+        starts.append((r["__range"], before - (r["__range"] << 33)))
         before += r["n"]
-    offsets = small_frame(df.sparkSession, starts, "bucket int, __before bigint")
-    place = F.row_number().over(Window.partitionBy("bucket").orderBy(*[ref(c) for c in [*order_by, TIE]])) - 1
-    # Bounded side: one row per bucket.
-    joined = bucketed.withColumn("__place", place).join(F.broadcast(offsets), "bucket")
-    return joined.withColumn("__position", F.col("__before") + F.col("__place")).drop("bucket", TIE, "__before", "__place")
+    offsets = small_frame(df.sparkSession, starts, "__range bigint, __shift bigint")
+    # Bounded side: one row per range.
+    joined = placed.join(F.broadcast(offsets), "__range")
+    return joined.withColumn("__position", F.col("__id") + F.col("__shift")).drop("__range", "__id", "__shift")
 
 
 def preview(df: DataFrame, n: int, order_by: list[str]) -> DataFrame:

@@ -399,18 +399,17 @@ def keep_shape(series: DataFrame, points: int) -> DataFrame:
     if n is None or n < points:
         return series
     spread = series.withColumn("__column", F.expr(f"position * {columns} div {n + 1}"))
-    point = F.struct("position", "x", "y")
-    some = F.col("y").isNotNull()
-    found = spread.groupBy("__column").agg(
-        F.min(point).alias("first"),
-        F.max(point).alias("last"),
-        F.min(F.when(some, F.struct("y", "position", "x"))).alias("low"),
-        F.max(F.when(some, F.struct("y", (-F.col("position")).alias("back"), "x"))).alias("high"),
+    # Aggregates of numbers alone, which are hashed: points with their texts would be sorted by column.
+    ends = spread.groupBy("__column").agg(
+        F.min("position").alias("first"), F.max("position").alias("last"), F.min("y").alias("low"), F.max("y").alias("high")
     )
-    high = F.when(F.col("high").isNotNull(), F.struct((-F.col("high.back")).alias("position"), F.col("high.x").alias("x"), F.col("high.y").alias("y")))
-    low = F.when(F.col("low").isNotNull(), F.struct("low.position", "low.x", "low.y"))
-    kept = F.array_distinct(F.array_compact(F.array("first", "last", low, high)))
-    return found.select(F.explode(kept).alias("p")).select("p.*")
+    # Bounded sides: one row per column here, four below.
+    found = spread.join(F.broadcast(ends), "__column").groupBy("__column", "first", "last").agg(
+        F.min(F.when(F.col("y") == F.col("low"), F.col("position"))).alias("low"),
+        F.min(F.when(F.col("y") == F.col("high"), F.col("position"))).alias("high"),
+    )
+    kept = found.select(F.explode(F.array_distinct(F.array_compact(F.array("first", "last", "low", "high")))).alias("position"))
+    return series.join(F.broadcast(kept), "position", "left_semi")
 
 
 def _custom_series(df, request, order_by):
@@ -420,6 +419,8 @@ def _custom_series(df, request, order_by):
         complete = complete.where(clean_value(df, c).isNotNull())
     if request.points is not None:
         complete = ordered.preview(complete, request.points, order_by)
+    wanted = {c.lower() for c in [*used, *order_by]}
+    complete = complete.select(*[ref(c) for c in df.columns if c.lower() in wanted])
     numbered, position = ordered.numbered(complete, order_by), F.col("__position")
     series = numbered.select(
         position.alias("position"),

@@ -111,3 +111,22 @@ def test_many_null_keys_are_many_buckets(spark):
     bucketed = ordered.with_bucket(df, ["k"], 100)
     assert bucketed.where("k is null").select("bucket").distinct().count() >= 4
     assert [r["k"] for r in ordered.numbered(df, ["k"], 100).orderBy("__position").collect()][:700] == [None] * 700
+
+
+def test_positions_are_sorted_once_and_shapes_need_no_sort(spark, plan_text):
+    from tablewright.plans import charts
+
+    df = spark.range(1000).selectExpr("id * 7 % 1000 as k", "concat('t', id) as t", "cast(id as double) as v")
+    numbered = ordered.numbered(df, ["k"], 90)
+    assert "Window" not in plan_text(numbered) and "Sort" not in plan_text(numbered)
+    series = numbered.selectExpr("__position as position", "t as x", "if(k < 300, null, v % 50) as y")
+    shape = charts.keep_shape(series, 40)
+    assert "SortAggregate" not in plan_text(shape)
+    found, points = shape.collect(), series.orderBy("position").collect()
+    want = set()
+    for c in range(10):
+        own = points[100 * c : 100 * c + 100]
+        known = [p for p in own if p["y"] is not None]
+        want |= {own[0], own[-1]}
+        want |= {min(known, key=lambda p: p["y"]), max(known, key=lambda p: p["y"])} if known else set()
+    assert len(found) == len(want) and set(found) == want
