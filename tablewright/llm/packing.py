@@ -301,10 +301,15 @@ class DocumentTokens(dict):
         special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.special = re.compile("|".join(map(re.escape, special))).search if special else lambda text: None
         self.old: dict[str, bytes] = {}
+        self.missed: list[str] = []
         self.ranked = _ranked(json.loads(self.tokenizer.to_str()))
         line = self.ranked.encode_ordinary("\n") if self.ranked else []
         self.line = line[0] if len(line) == 1 else None
 
+    def __missing__(self, piece: str) -> None:
+        """Pieces that are asked for in vain are noted, so that no list of ids is searched for gaps."""
+        self.missed.append(piece)
+
     def _coded(self, texts: list[str]) -> Iterator[bytes]:
         for coded in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False):
             yield array("I", coded.ids).tobytes()
@@ -339,16 +344,20 @@ class DocumentTokens(dict):
         if len(self) > CACHED_PIECES:
             self.old = dict(self)
             self.clear()
-        whole = [self.special(t) is not None for t in texts]
-        pieces = [[] if w else _SPLIT(t) if _NOT_PLAIN(t) else _PLAIN_SPLIT(t) for w, t in zip(whole, texts, strict=True)]
-        found = [list(map(self.get, parts)) for parts in pieces]
-        self._learn({p for parts, ids in zip(pieces, found, strict=True) if None in ids for p, i in zip(parts, ids, strict=True) if i is None})
-        for text, apart, parts, ids in zip(texts, whole, pieces, found, strict=True):
-            if apart:
-                ids = [next(self._coded([text]))]
-            elif None in ids:
-                ids = [self[p] if i is None else i for p, i in zip(parts, ids, strict=True)]
-            yield np.frombuffer(b"".join(ids) + b"\0\0\0\0", "<u4")
+        known, missed, found = self.__getitem__, self.missed, []
+        for text in texts:
+            if self.special(text) is not None:
+                found.append((None, None, text))
+                continue
+            parts, before = _SPLIT(text) if _NOT_PLAIN(text) else _PLAIN_SPLIT(text), len(missed)
+            ids = list(map(known, parts))
+            found.append((parts, None, text) if len(missed) > before else (None, b"".join(ids), text))
+        self._learn(set(missed))
+        missed.clear()
+        for parts, ids, text in found:
+            if ids is None:
+                ids = next(self._coded([text])) if parts is None else b"".join(map(known, parts))
+            yield np.frombuffer(ids + b"\0\0\0\0", "<u4")
 
 
 @lru_cache(maxsize=2)

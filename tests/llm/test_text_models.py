@@ -457,3 +457,18 @@ def test_toxicity_without_labels(spark, docs):
     model = toxicity.fit(frame, labels, F.lit(True))
     assert toxicity.score(frame, model).count() == 2
     assert toxicity.score(frame.limit(0), model).count() == 0
+
+
+def test_unknown_pieces_are_noted_once_and_texts_keep_their_ids(monkeypatch):
+    from tokenizers import Tokenizer
+
+    library, coder = Tokenizer.from_file(TOKENIZER), packing.DocumentTokens(TOKENIZER)
+    texts = ["one two  three", "", "one two", "caf\u00e9 \n42 \u0663x", "<|endoftext|> one", " two\x85three ", "one new"]
+    want = [[*library.encode(t, add_special_tokens=False).ids, 0] for t in texts]
+    asked = []
+    learn = coder._learn
+    monkeypatch.setattr(coder, "_learn", lambda pieces: (asked.append(set(pieces)), learn(pieces)))
+    monkeypatch.setattr(packing, "CACHED_PIECES", 3)
+    assert [ids.tolist() for ids in coder.encode(texts[:3])] == want[:3]
+    assert [ids.tolist() for ids in coder.encode(texts)] == want  # the first pieces are of an older generation
+    assert asked[0] == {"one", " two", " ", " three"} and not coder.missed
