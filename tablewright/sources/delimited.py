@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from tablewright.functions import fixed_values as V
 from tablewright.functions.columns import NUMBER_TEXT, is_text, ref
+from tablewright.session import cut_lineage
 from tablewright.sources import quoted
 
 RAW = "__raw_line"
@@ -45,20 +46,33 @@ def read_csv(
 
 def _kinds(spark, path, encoding, multi_line) -> dict[tuple[str, bool, str], list[str]]:
     """Files by encoding, by whether a record may go over several lines, and by header."""
-    place = F.struct(F.col("_metadata.file_block_start"), F.monotonically_increasing_id())
-    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), place.alias("place"))
     quotes = lambda c: F.octet_length(c) - F.octet_length(F.replace(c, F.lit('"'), F.lit("")))
-    first = F.min_by("value", F.when(F.trim("value") != "", F.col("place")))
-    # One row per file reaches the driver, as every listing of files does.
-    found = lines.groupBy("file").agg(
-        F.bool_and(F.is_valid_utf8("value")).alias("utf8"),
-        F.bool_or(quotes("value") % 2 == 1).alias("open_quote"),
-        # Bytes, as the text may be in any encoding.
-        F.hex(first.cast("binary")).alias("header"),
-        (quotes(first) % 2 == 1).alias("header_goes_on"),
-    )
+    with quoted.held_ranges(spark):
+        lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"))
+        lines = lines.withColumn("id", F.monotonically_increasing_id())
+        # Numbers and truth values alone are hashed; with the headers' texts, lines would be sorted by file.
+        ranges = lines.groupBy("file", "start").agg(
+            F.bool_and(F.is_valid_utf8("value")).alias("utf8"),
+            F.bool_or(quotes("value") % 2 == 1).alias("open_quote"),
+            F.min(F.when(F.trim("value") != "", F.col("id"))).alias("id"),
+        )
+        place = F.when(F.col("id").isNotNull(), F.struct("start", "id"))
+        facts = ranges.groupBy("file").agg(F.bool_and("utf8").alias("utf8"), F.bool_or("open_quote").alias("open_quote"), F.min(place)["id"].alias("id"))
+        facts = cut_lineage(facts.where("id IS NOT NULL"))
+        # One row per file is broadcast and reaches the driver, as every listing of files does.
+        headers = lines.select("file", "id", "value").join(F.broadcast(facts), ["file", "id"])
+        found = headers.select(
+            "file",
+            "utf8",
+            "open_quote",
+            # Bytes, as the text may be in any encoding.
+            F.hex(F.col("value").cast("binary")).alias("header"),
+            (quotes("value") % 2 == 1).alias("header_goes_on"),
+        ).collect()
+    if len(found) != facts.count():
+        raise RuntimeError("byte ranges changed between two scans")
     out: dict[tuple[str, bool, str], list[str]] = {}
-    for r in found.where("header IS NOT NULL").collect():
+    for r in found:
         charset = encoding or ("UTF-8" if r["utf8"] else "ISO-8859-1")
         several = bool(r["open_quote"]) if multi_line is None else multi_line
         # A header of several lines is not known by its first one: such a file is read by itself.

@@ -60,7 +60,7 @@ def records(spark: SparkSession, files: list[str], encoding: str) -> DataFrame |
 
     None if a file has carriage returns alone as line ends; such files have to be read whole.
     """
-    with _held_ranges(spark):
+    with held_ranges(spark):
         lines = spark.read.option("lineSep", "\n").text(files)
         place = [F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.col("_metadata.file_block_length").alias("size")]
         lines = lines.select(*place, F.col("value").cast("binary").alias("line"))
@@ -70,16 +70,18 @@ def records(spark: SparkSession, files: list[str], encoding: str) -> DataFrame |
         found = cut_lineage(_cut(lines, _with_state(ranges)))
     whole = found.where(F.col("piece") == WHOLE).select("file", "start", "n", "text")
     found = whole.unionByName(_joined(found.where(F.col("piece") != WHOLE)))
-    first = found.groupBy("file").agg(F.min(F.struct("start", "n", "text")).alias("first"))
-    kept = found.join(first, "file").where((F.col("start") != F.col("first.start")) | (F.col("n") != F.col("first.n")))
+    # Numbers alone are hashed; with their texts, records would be sorted by file. One row per file is broadcast.
+    first = found.groupBy("file", "start").agg(F.min("n").alias("n")).groupBy("file").agg(F.min(F.struct("start", "n")).alias("at"))
+    header = found.join(F.broadcast(first.select("file", "at.*")), ["file", "start", "n"])
+    header = cut_lineage(header.select("file", F.col("start").alias("first_start"), F.col("n").alias("first_n"), _ends_in_cr(F.col("text")).alias("cr")))
+    kept = found.join(F.broadcast(header), "file").where((F.col("start") != F.col("first_start")) | (F.col("n") != F.col("first_n")))
     # As the reader of whole files has it: where lines end in CR LF, quoted ends become LF too.
     record = _decoded(F.col("text"), encoding)
-    ends_in_cr = F.endswith(F.substring_index(F.col("first.text").cast("string"), "\n", 1), F.lit("\r"))
-    return kept.select(F.when(ends_in_cr, F.replace(record, F.lit("\r\n"), F.lit("\n"))).otherwise(record).alias("record"))
+    return kept.select(F.when(F.col("cr"), F.replace(record, F.lit("\r\n"), F.lit("\n"))).otherwise(record).alias("record"))
 
 
 @contextmanager
-def _held_ranges(spark: SparkSession):
+def held_ranges(spark: SparkSession):
     name = "spark.sql.files.minPartitionNum"
     before = spark.conf.get(name, None)
     spark.conf.set(name, before or str(spark.sparkContext.defaultParallelism))
@@ -90,6 +92,11 @@ def _held_ranges(spark: SparkSession):
             spark.conf.unset(name)
 
 
+def _ends_in_cr(text: Column) -> Column:
+    """Whether the first line of a record ends in CR."""
+    return F.endswith(F.substring_index(text.cast("string"), "\n", 1), F.lit("\r"))
+
+
 def _decoded(text: Column, encoding: str) -> Column:
     ended = F.when(F.endswith(text, F.lit(b"\r")), F.expr("substring(text, 1, length(text) - 1)")).otherwise(text)
     return ended.cast("string") if encoding.upper() == "UTF-8" else F.decode(ended, encoding)

@@ -129,3 +129,13 @@ def test_what_lines_do_with_an_open_quote(line, outside, inside):
 def test_long_lines_take_linear_time():
     assert quoted.ends_open(b'"' + b'""' * 500_000, False) and not quoted.ends_open(b'"a",' * 300_000, False)
     assert not quoted.ends_open(b'x",' + b"," * 1_000_000, True)
+
+
+def test_records_are_not_sorted_by_file(spark, tmp_path, tiny_ranges, plan_text):
+    """Neither a sort of all lines or records by their file, nor a shuffle of them by it."""
+    for k in range(3):
+        (tmp_path / f"{k}.csv").write_bytes(b"\n\nid,note\n" + b"".join(b'%d,"a\n%d"\n' % (i, k) for i in range(300)))
+    tiny_ranges(1000)
+    found = delimited.read_csv(spark, f"{tmp_path}/*.csv")
+    assert found.columns == ["id", "note"] and found.count() == 900 and found.agg({"id": "sum"}).first()[0] == 3 * 44850
+    assert "SortMergeJoin" not in plan_text(found) and "SortAggregate" not in plan_text(found)
