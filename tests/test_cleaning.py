@@ -213,3 +213,19 @@ def test_every_layout_matches_its_own_shape(frame, text):
     alone = F.coalesce(*[F.try_to_timestamp("t", F.lit(x)).cast("timestamp_ntz") for x in fixed_values.DATE_LAYOUTS])
     r = df.select(columns.to_datetime(F.col("t")).alias("a"), alone.alias("b")).first()
     assert r.a is not None and r.a == r.b
+
+
+def test_profiles_of_a_quality_diff_read_written_tables(spark, plan_text, monkeypatch):
+    from tablewright.plans import cleaning_plan
+
+    df = spark.range(60).selectExpr("id", "if(id % 7 = 0, null, id * 1.5) as v", "concat('$', id % 9) as t")
+    plan = cleaning_plan.CleaningPlan(
+        (cleaning_plan.ColumnDecision("v", "fill", "median"), cleaning_plan.ColumnDecision("t", convert_type="integer")),
+        order_by=("id",),
+    )
+    result = cleaning_plan.run(df, plan)
+    own, read = cleaning_plan.TableProfile, []
+    wanted = [own(d).scores()["overall"] for d in (result.before, result.df)]
+    monkeypatch.setattr(cleaning_plan, "TableProfile", lambda d: (read.append(plan_text(d)), own(d))[1])
+    assert [*result.quality_diff().first()] == wanted
+    assert len(read) == 2 and all("Scan parquet" in p and "Project" not in p for p in read)
